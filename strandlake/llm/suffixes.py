@@ -11,22 +11,21 @@ exactly which strings are equal, and the smallest document of each.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
 
-from .common import arrow_rows, written
+from .common import arrow_rows
+from .sharing import arrow_schema, arrow_table, groups, shared_tags, tagged
 
 LENGTH, K = 50, 20
 SPAN = LENGTH - K + 1
-#: Windows hashed at once, hashes and suffixes that a task holds before it sends a run, and suffixes that are settled at once.
-BLOCK, HELD_HASHES, HELD_SUFFIXES, BATCH = 1 << 20, 1 << 20, 150_000, 60_000
+#: Windows hashed at once, suffixes that a task holds before it sends a run, and suffixes that are settled at once.
+BLOCK, HELD_SUFFIXES, BATCH = 1 << 20, 150_000, 60_000
 #: Text bytes for each task and bucket.
 TASK_BYTES = 24 << 20
 
@@ -71,92 +70,6 @@ def anchors(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, n
         yield h[place], place + start, first + start, last + start
 
 
-def _tagged(h: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket, and 32 bits of the rest of the hash."""
-    return (((h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
-
-
-def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of runs of equal sorted keys."""
-    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-    return start, np.append(start[1:], len(keys)) if len(keys) else start
-
-
-def _by_doc(docs: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(docs, kind="stable")
-    docs, values = docs[order], values[order]
-    for a, b in zip(*_groups(docs), strict=True):
-        yield int(docs[a]), np.unique(values[a:b]).tobytes()
-
-
-def _first_of_content(tags: np.ndarray, content: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by tag; of a tag's equal contents only the smallest document stays."""
-    order = np.lexsort((docs, content, tags))
-    tags, content, docs = tags[order], content[order], docs[order]
-    if len(tags):
-        keep = np.append(True, (tags[1:] != tags[:-1]) | (content[1:] != content[:-1]))
-        tags, content, docs = tags[keep], content[keep], docs[keep]
-    return tags, content, docs
-
-
-_MANY = np.iinfo(np.int64).max
-
-
-def _survey(docs: DataFrame, buckets: int) -> DataFrame:
-    """Anchor hashes by bucket, one for each task and hash; those that a task finds shared itself come back by document."""
-
-    def flush(tags: list, content: list, ids: list) -> Iterator[tuple]:
-        tag, same, doc = _first_of_content(np.concatenate(tags), np.concatenate(content), np.concatenate(ids))
-        start, end = _groups(tag)
-        many = np.repeat(end - start > 1, end - start)
-        yield from ((None, doc_id, data, None, None) for doc_id, data in _by_doc(doc[many], tag[many]))
-        doc = np.where(many, _MANY, doc)[start]
-        tag, same = tag[start], same[start]
-        bucket = (tag >> np.uint64(32)).astype(np.int64)
-        for a, b in zip(*_groups(bucket), strict=True):
-            yield int(bucket[a]), None, tag[a:b].astype(np.uint32).tobytes(), doc[a:b].tobytes(), same[a:b].tobytes()
-
-    def rows(it: Iterator[tuple]) -> Iterator[tuple]:
-        tags, content, ids, held = [], [], [], 0
-        for doc_id, data in it:
-            if len(data) < LENGTH:
-                continue
-            same = np.uint64(xxhash.xxh64_intdigest(data))
-            for h, _, _, _ in anchors(data):
-                tags.append(np.unique(_tagged(h, buckets)))
-                content.append(np.full(len(tags[-1]), same))
-                ids.append(np.full(len(tags[-1]), doc_id, np.int64))
-                held += len(tags[-1])
-            if held >= HELD_HASHES:
-                yield from flush(tags, content, ids)
-                tags, content, ids, held = [], [], [], 0
-        if held:
-            yield from flush(tags, content, ids)
-
-    return arrow_rows(docs, "bucket int, doc_id long, tags binary, docs binary, content binary", rows, out_batch=64)
-
-
-def _shared(key: tuple, found: pa.Table) -> Iterator[tuple]:
-    bucket = np.uint64(key[0].as_py()) << np.uint64(32)
-    join = lambda name, kind: np.frombuffer(b"".join(found[name].to_pylist()), kind)
-    tag, content, doc = join("tags", np.uint32).astype(np.uint64) | bucket, join("content", np.uint64), join("docs", np.int64)
-    some = doc == _MANY
-    tag_m = np.unique(tag[some])
-    tag, content, doc = _first_of_content(tag[~some], content[~some], doc[~some])
-    start, end = _groups(tag)
-    shared = np.repeat(end - start > 1, end - start) | np.isin(tag, tag_m)
-    return _by_doc(doc[shared], tag[shared])
-
-
-def _arrow(schema: str) -> pa.Schema:
-    return to_arrow_schema(_parse_datatype_string(schema))
-
-
-def _table(rows: Iterable[tuple], schema: pa.Schema) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
-    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
 def common(a: bytes, b: bytes, known: int = 0) -> int:
     """The length of the common prefix of a and b, of which known bytes are known."""
     n = min(len(a), len(b))
@@ -166,6 +79,14 @@ def common(a: bytes, b: bytes, known: int = 0) -> int:
     return n if not x else n - (x.bit_length() + 7) // 8
 
 
+def neighbours(texts: list[bytes], width: int) -> np.ndarray:
+    """The common prefix of each text, none over width, with the one before."""
+    flat = np.frombuffer(b"".join([t.ljust(width, b"\0") for t in texts]), np.uint8).reshape(-1, width)
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    same = flat[1:] == flat[:-1]
+    return np.append(0, np.minimum(np.where(same.all(1), width, same.argmin(1)), np.minimum(n[1:], n[:-1])))
+
+
 class LoserTree:
     """Merges sorted sources of (prefix shared with the source's last item, bytes, payload).
 
@@ -222,7 +143,7 @@ class LoserTree:
             self.climb(s)
 
 
-def repeats(prefix: list[int], suffixes: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+def repeats(prefix: np.ndarray | list[int], suffixes: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """Of sorted suffixes (bytes, (left context from the anchor on, doc, place, least, most)) and their common prefixes with
     the one before: windows by suffix and offset of the anchor in it; which there are, and which a smaller document has too.
     """
@@ -233,7 +154,7 @@ def repeats(prefix: list[int], suffixes: list[tuple]) -> tuple[np.ndarray, np.nd
     right = np.array(prefix, np.int64)
     right[0] = 0
     order = sorted(range(n), key=left.__getitem__)
-    near = np.array([0, *(common(left[a], left[b]) for a, b in zip(order, order[1:], strict=False))], np.int64)
+    near = neighbours([left[k] for k in order], SPAN)
     there, gone = np.zeros((n, SPAN), bool), np.zeros((n, SPAN), bool)
     rank = np.empty(n, np.int64)
     for o in range(SPAN):
@@ -245,7 +166,7 @@ def repeats(prefix: list[int], suffixes: list[tuple]) -> tuple[np.ndarray, np.nd
         key = np.cumsum(right < LENGTH - o)[active] * n + rank[active]
         by = np.lexsort((doc[active], key))
         sorted_key = key[by]
-        start, end = _groups(sorted_key)
+        start, end = groups(sorted_key)
         first = np.repeat(doc[active][by][start], end - start)
         gone[active[by], o] = doc[active][by] > first
     return there, gone
@@ -255,7 +176,7 @@ def _spans(doc: np.ndarray, window: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """By document, the byte ranges that its removed windows cover, as pairs of 64-bit numbers."""
     order = np.lexsort((window, doc))
     doc, window = doc[order], window[order]
-    for a, b in zip(*_groups(doc), strict=True):
+    for a, b in zip(*groups(doc), strict=True):
         w = window[a:b]
         cut = np.flatnonzero(np.diff(w) > LENGTH) + 1
         start = w[np.append(0, cut)]
@@ -274,7 +195,7 @@ _RUN = "bucket int, doc_id long, spans binary, prefix binary, length binary, res
 
 def _run(bucket: int, suffixes: list[tuple]) -> tuple:
     """A front-coded sorted run."""
-    prefix = [0, *(common(a[0], b[0]) for a, b in zip(suffixes, suffixes[1:], strict=False))]
+    prefix = neighbours([x[0] for x in suffixes], LENGTH).tolist()
     columns = list(zip(*(x[1] for x in suffixes), strict=True))
     return (
         bucket, None, None, bytes(prefix), bytes(len(x[0]) for x in suffixes), b"".join(x[0][p:] for x, p in zip(suffixes, prefix, strict=True)), bytes(map(len, columns[0])), b"".join(columns[0]),
@@ -295,9 +216,8 @@ def _unrun(run: dict) -> Iterator[tuple[int, bytes, tuple]]:
 def _suffix_runs(docs: DataFrame, buckets: int) -> DataFrame:
     def flush(held: list[tuple]) -> Iterator[tuple]:
         held.sort(key=lambda x: x[:2])
-        prefix = [0, *(common(a[0], b[0]) for a, b in zip(held, held[1:], strict=False))]
-        there, gone = repeats(prefix, held)
-        yield from ((None, doc_id, spans, *[None] * 8) for doc_id, spans in _gone_spans(held, gone))
+        there, gone = repeats(neighbours([x[0] for x in held], LENGTH), held)
+        yield from ((k % buckets, doc_id, spans, *[None] * 8) for k, (doc_id, spans) in enumerate(_gone_spans(held, gone)))
         ask = there & ~gone
         least, most = ask.argmax(1), SPAN - 1 - ask[:, ::-1].argmax(1)
         by: dict[int, list] = {}
@@ -311,10 +231,12 @@ def _suffix_runs(docs: DataFrame, buckets: int) -> DataFrame:
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         held: list[tuple] = []
-        for doc_id, data, lists in it:
-            known = np.unique(np.frombuffer(b"".join(lists), np.uint64))
+        for doc_id, data, tags in it:
+            if not tags:
+                continue
+            known = np.unique(np.array(tags, np.int64)).view(np.uint64)
             for h, place, first, last in anchors(data):
-                tag = _tagged(h, buckets)
+                tag = tagged(h, buckets)
                 hit = known[np.minimum(np.searchsorted(known, tag), len(known) - 1)] == tag
                 bucket = (tag[hit] >> np.uint64(32)).astype(np.int64)
                 for m, p, q, b in zip(place[hit].tolist(), first[hit].tolist(), last[hit].tolist(), bucket.tolist(), strict=True):
@@ -328,9 +250,10 @@ def _suffix_runs(docs: DataFrame, buckets: int) -> DataFrame:
     return arrow_rows(docs, _RUN, rows, out_batch=32)
 
 
-def _merged(key: tuple, found: pa.Table) -> Iterator[tuple]:
-    prefix, held = [], []
-    for shared, text, payload in LoserTree([_unrun(r) for r in found.to_pylist()]):
+def _merged(found: pa.Table) -> Iterator[tuple]:
+    prefix, held, runs = [], [], found.to_pylist()
+    yield from ((r["doc_id"], r["spans"]) for r in runs if r["doc_id"] is not None)
+    for shared, text, payload in LoserTree([_unrun(r) for r in runs if r["doc_id"] is None]):
         if shared < K and len(held) >= BATCH:
             yield from _gone_spans(held, repeats(prefix, held)[1])
             prefix, held = [], []
@@ -340,7 +263,7 @@ def _merged(key: tuple, found: pa.Table) -> Iterator[tuple]:
         yield from _gone_spans(held, repeats(prefix, held)[1])
 
 
-def _cleaned(docs: DataFrame) -> DataFrame:
+def _cleaned(docs: DataFrame, with_kept: bool) -> DataFrame:
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, data, whole, lists in it:
             n, removed, kept = len(data), [], []
@@ -357,35 +280,45 @@ def _cleaned(docs: DataFrame) -> DataFrame:
                 kept.append(data[at:a])
                 at = b
             kept = b"".join([*kept, data[at:]])
-            yield doc_id, n, n - len(kept), len(removed), hashlib.sha256(kept).hexdigest(), kept
+            row = doc_id, n, n - len(kept), len(removed), hashlib.sha256(kept).hexdigest()
+            yield (*row, kept) if with_kept else row
+
+    return arrow_rows(docs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept, rows, out_batch=256)
 
-    return arrow_rows(docs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", rows, out_batch=256)
 
+def _anchor_tags(buckets: int):
+    def tags_of(it: Iterator[tuple]) -> Iterator[tuple]:
+        for doc_id, data in it:
+            if doc_id is not None and len(data) >= LENGTH:
+                same = np.uint64(xxhash.xxh64_intdigest(data))
+                for h, _, _, _ in anchors(data):
+                    yield doc_id, same, np.unique(tagged(h, buckets))
+
+    return tags_of
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = TASK_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) of every document.
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = TASK_BYTES, with_kept: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_kept, kept (the bytes left) of every document.
 
     Bytes go that are covered by a string of LENGTH bytes which also starts in a document with a smaller doc_id. Null texts
-    are empty; texts under LENGTH bytes stay. Rows that share a doc_id are no smaller than each other. A row with a null id
-    stays whole, and no other is compared with it. An empty table gives none. Other columns of docs are not read.
+    are empty; texts under LENGTH bytes stay. A doc_id names one text; rows that repeat are treated alike, and are no smaller
+    than each other. A row with a null id stays whole, and no other is compared with it. An empty table gives none. Other
+    columns of docs are not read.
     """
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), F.encode(F.coalesce(docs[text_col], F.lit("")), "UTF-8").alias("data"))
     size = docs.agg(F.sum(F.length("data"))).first()[0] or 0
     buckets = max(1, -(-size // task_bytes))
-
-    survey = written(_survey(docs.where("doc_id is not null"), buckets), "anchors")
-    shared = _arrow("doc_id long, tags binary")
-    met = survey.where("bucket is not null").select("bucket", "tags", "docs", "content").groupBy("bucket").applyInArrow(lambda k, t: _table(_shared(k, t), shared), "doc_id long, tags binary")
-    tags = survey.where("bucket is null").select("doc_id", "tags").union(met).groupBy("doc_id").agg(F.collect_list("tags").alias("lists"))
+    tags = shared_tags(docs, _anchor_tags(buckets), buckets).groupBy("doc_id").agg(F.collect_list("tag").alias("tags"))
 
     # Equal texts: the smallest doc_id stands for all, the others go whole.
     copies = docs.where(f"doc_id is not null and length(data) >= {LENGTH}").select("doc_id", F.sha2("data", 256).alias("sha"))
     firsts = copies.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    whole = copies.join(firsts, "sha").where("doc_id > first").select("doc_id", "sha").distinct()
-
-    runs = written(_suffix_runs(docs.join(tags, "doc_id").select("doc_id", "data", "lists"), buckets), "runs")
-    span = _arrow("doc_id long, spans binary")
-    merged = runs.where("bucket is not null").drop("doc_id", "spans").groupBy("bucket").applyInArrow(lambda k, t: _table(_merged(k, t), span), "doc_id long, spans binary")
-    spans = written(runs.where("bucket is null").select("doc_id", "spans").union(merged), "spans").groupBy("doc_id").agg(F.collect_list("spans").alias("lists"))
-    given = docs.withColumn("sha", F.sha2("data", 256)).join(whole.withColumn("whole", F.lit(True)), ["doc_id", "sha"], "left").join(spans, "doc_id", "left")
-    return _cleaned(given.select("doc_id", "data", F.coalesce("whole", F.lit(False)).alias("whole"), "lists"))
+    whole = copies.join(firsts, "sha").where("doc_id > first").select("doc_id", F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("whole"))
+
+    # Both joins ask for the same deal of docs, which is made once.
+    runs = _suffix_runs(docs.join(tags, "doc_id", "left").select("doc_id", "data", "tags"), buckets)
+    span = arrow_schema("doc_id long, spans binary")
+    merged = runs.groupBy("bucket").applyInArrow(lambda key, t: arrow_table(_merged(t), span), "doc_id long, spans binary").withColumn("whole", F.lit(False))
+    verdicts = merged.union(whole).groupBy("doc_id").agg(F.max("whole").alias("whole"), F.collect_list("spans").alias("lists"))
+    given = docs.join(verdicts, "doc_id", "left").select("doc_id", "data", F.coalesce("whole", F.lit(False)).alias("whole"), "lists")
+    return _cleaned(given, with_kept)

@@ -58,13 +58,21 @@ def test_brute_force(spark):
     assert key(run(spark, docs)) == key(brute(docs))
 
 
-def test_many_buckets_and_small_batches(spark, monkeypatch):
+def test_many_buckets(spark):
     docs = corpus(2, 40)
-    for name, v in (("BLOCK", 64), ("HELD_HASHES", 50), ("HELD_SUFFIXES", 40), ("BATCH", 8)):
-        monkeypatch.setattr(suffixes, name, v)
     assert key(run(spark, docs, task_bytes=2000)) == key(brute(docs))
 
 
+def test_blocks_batches_and_runs_in_process(monkeypatch):
+    rng = random.Random(4)
+    data = bytes(rng.choices(b"abc ", k=3000))
+    whole = [[list(map(int, c)) for c in zip(*a, strict=True)] for a in suffixes.anchors(data)]
+    monkeypatch.setattr(suffixes, "BLOCK", 64)
+    parts = [[list(map(int, c)) for c in zip(*a, strict=True)] for a in suffixes.anchors(data)]
+    window = lambda blocks: {w: (h, m) for block in blocks for h, m, p, q in block for w in range(p, q + 1)}
+    assert window(whole) == window(parts) and len(window(whole)) == 3000 - LENGTH + 1
+
+
 def test_empty_table_and_extra_columns(spark):
     assert run(spark, []) == []
     df = spark.createDataFrame([(1, "a" * 60, "x"), (2, "a" * 60, "y")], "doc_id long, text string, bucket string")
