@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,32 +23,52 @@ from pyspark.sql.window import Window
 
 from .common import arrow_rows, written
 from .graphs import components
+from .sharing import shared_tags, tagged
 
 WORDS, PERCENT = 5, 75
 #: Min-hashes by which classes meet first.
 BANDS = 4
 #: Counters of the frequency sketch, whatever the input's size, and how they are cut into rows.
 COUNTERS, CHUNK = 1 << 20, 1 << 12
-#: Bits of the token unions that bound overlaps, as longs.
-LONGS = 32
-KEPT_WORDS = 1_000_000
+#: Bytes of text that are hashed at once.
+BLOCK = 1 << 20
+#: Tokens for each bucket of the exchange, and ids up to which a list of them is broadcast.
+BUCKET_TOKENS, BROADCAST_IDS = 1 << 20, 1_000_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _P = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < KEPT_WORDS:
-            self[word] = h
-        return h
+_IN_WORD = np.array([not (c == 32 or 9 <= c <= 13) for c in range(256)], np.int8)
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 @functools.cache
-def _word_hashes() -> _WordHashes:
-    """One for each Python worker."""
-    return _WordHashes()
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd base, and of its inverse, modulo 2^64; 2^bits of each."""
+    base = 0xA0761D6478BD642F
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full((1 << bits) - 1, b, np.uint64)])) for b in (base, pow(base, -1, 1 << 64)))
+
+
+def _block_hashes(data: np.ndarray) -> np.ndarray:
+    edge = np.diff(_IN_WORD[data], prepend=np.int8(0), append=np.int8(0))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    power, inverse = _powers(max(14, int(len(data)).bit_length()))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+    return _mixed((sums[end] - sums[start]) * inverse[start])
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, from its bytes alone."""
+    whole = np.frombuffer(data, np.uint8)
+    if len(whole) <= BLOCK:
+        return _block_hashes(whole)
+    parts, at = [], 0
+    while at < len(whole):
+        cut = _WHITE.search(data, at + BLOCK)
+        end = cut.start() if cut else len(whole)
+        parts.append(_block_hashes(whole[at:end]))
+        at = end
+    return np.concatenate(parts)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -59,12 +80,14 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The text's distinct shingles as sorted 64-bit hashes; with fewer words the whole sequence as one, without words none."""
-    found = (text or "").encode().translate(_LOWER).split()
-    if not found:
-        return np.empty(0, np.uint64)
-    if len(found) < words:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(found), seed=len(found))], np.uint64)
-    h = np.fromiter(map(_word_hashes().__getitem__, found), np.uint64, len(found))
+    h = word_hashes((text or "").encode().translate(_LOWER))
+    if not len(h):
+        return h
+    if len(h) < words:
+        out = np.array([len(h)], np.uint64)
+        for x in h:
+            out = _mixed(out * _P + x)
+        return out
     n = len(h) - words + 1
     out = h[:n].copy()
     for k in range(1, words):
@@ -81,21 +104,31 @@ def _longs(values: np.ndarray) -> list[int]:
     return values.view(np.int64).tolist()
 
 
+_BAND_KEYS = [np.uint64((2 * k + 1) * 0xD6E8FEB86659FD93 % 2**64) for k in range(BANDS)]
+
+
+def _counted(sets: list[np.ndarray]) -> np.ndarray:
+    return np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+
+
 def _surveyed(docs: DataFrame) -> DataFrame:
     """A row for each document, and each task's counts of tokens by their lowest bits."""
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
-        counts = np.zeros(COUNTERS, np.int64)
+        counts, held, n_held = np.zeros(COUNTERS, np.int64), [], 0
         for doc_id, text in it:
             s = shingles(text)
-            if len(s):
-                counts += np.bincount((s & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS) if len(s) > COUNTERS // 8 else 0
-                if len(s) <= COUNTERS // 8:
-                    np.add.at(counts, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-                mins = [int(_mixed(s ^ np.uint64((2 * k + 1) * 0xD6E8FEB86659FD93 % 2**64)).min().view(np.int64)) for k in range(BANDS)]
-                yield doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), mins, None, None
-            else:
+            if not len(s):
                 yield doc_id, 0, None, None, None, None
+                continue
+            held.append(s)
+            n_held += len(s)
+            if n_held >= COUNTERS:
+                counts += _counted(held)
+                held, n_held = [], 0
+            yield doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), [int(((s ^ k) * _P).min() >> np.uint64(1)) for k in _BAND_KEYS], None, None
+        if held:
+            counts += _counted(held)
         if counts.any():
             for at in range(0, COUNTERS, CHUNK):
                 yield None, None, None, None, at // CHUNK, counts[at : at + CHUNK].astype("<u4").tobytes()
@@ -121,28 +154,35 @@ def _levels(survey: DataFrame) -> np.ndarray:
     return np.where(over > 1, np.floor(np.log2(np.maximum(over, 1))) + 1, 0).astype(np.uint8)
 
 
-def _prefixes(docs: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(levels)  # COUNTERS bytes
+def _prefix_tags(levels, buckets: int, percent: int):
+    """Of a partition's documents, the tokens that a partner must share one of."""
 
-    def rows(it: Iterator[tuple]) -> Iterator[tuple]:
+    def tags_of(it: Iterator[tuple]) -> Iterator[tuple]:
+        level = levels.value
         for doc_id, text in it:
-            s = shingles(text)
+            s = shingles(text) if doc_id is not None else ()
             if len(s):
-                order = np.argsort(held.value[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
-                yield doc_id, len(s), _longs(s[order[: prefix_length(len(s), percent)]])
+                order = np.argsort(level[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
+                yield doc_id, np.uint64(xxhash.xxh64_intdigest(s.tobytes())), np.unique(tagged(s[order[: prefix_length(len(s), percent)]], buckets))
+
+    return tags_of
+
 
-    return arrow_rows(docs, "doc_id long, n long, prefix array<long>", rows, out_batch=512)
+def _few(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast where they are few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The whole sets of the documents in pairs (a, b), once for each text."""
+
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in it:
-            s = shingles(text)
-            bits = np.zeros(LONGS * 64, np.uint8)
-            bits[((s >> np.uint64(20)) % np.uint64(LONGS * 64)).astype(np.int64)] = 1
-            yield doc_id, len(s), s.tobytes(), _longs(np.packbits(bits).view(np.uint64))
+            yield doc_id, shingles(text).tobytes()
 
-    return arrow_rows(docs, "id long, n long, tokens binary, bits array<long>", rows, out_batch=256)
+    ids = pairs.selectExpr("a doc_id").union(pairs.selectExpr("b")).distinct()
+    sets = arrow_rows(docs.join(_few(ids), "doc_id", "left_semi"), "id long, tokens binary", rows, out_batch=256)
+    return written(sets.dropDuplicates(["id", "tokens"]), "sets")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -160,14 +200,16 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_rows(both.select("a", "b", "ta", "tb"), "a long, b long", rows)
 
 
-def _ones(bits: Column) -> Column:
-    return F.aggregate(bits, F.lit(0), lambda n, x: n + F.bit_count(x))
+def _bound(n: Column, least: Column, most: Column, percent: int, slack: int) -> Column:
+    """So many tokens among their first ones does a set of n share with a linked set of least to most tokens.
 
-
-def _reaches(query: str, n: str, union: str, percent: int) -> Column:
-    """Whether the query's overlap with the union can be percent of the query: shared bits, and tokens that share a bit."""
-    shared = F.aggregate(F.zip_with(query, union, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, x: n + x)
-    return 100 * (shared + F.col(n) - _ones(F.col(query))) >= percent * F.col(n)
+    Linked sets share percent / (100 + percent) of n + m tokens, all but so many of either; so their first ones, of which
+    there are prefix_length(), share the rest. One less, for two tokens that one tag stands for.
+    """
+    first = lambda x: x - F.ceil(percent * x / F.lit(100)) + 1
+    both = lambda m: F.ceil(percent * (n + m) / F.lit(100 + percent) - 1e-9)
+    low, high = F.greatest(least, F.ceil(percent * n / F.lit(100) - 1e-9)), F.least(most, F.floor(100 * n / F.lit(percent) + 1e-9))
+    return F.greatest(F.lit(1), F.least(first(n) - n + both(low), first(high) - high + both(high)) - slack)
 
 
 def _fits(n: str, m: str, percent: int) -> Column:
@@ -187,36 +229,37 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     classes = written(each.where("n > 0").groupBy("n", "sig").agg(F.min("doc_id").alias("id"), F.first("mins").alias("mins")), "classes")
 
     # Tokens that a partner must share one of, where another class has them too.
-    rare = _prefixes(docs, _levels(survey), percent).join(classes.selectExpr("id doc_id", "n"), ["doc_id", "n"], "left_semi")
-    rare = rare.select(F.col("doc_id").alias("id"), "n", F.explode("prefix").alias("token"))
-    by_token = Window.partitionBy("token")
-    spread = rare.withColumn("lo", F.min("id").over(by_token)).withColumn("hi", F.max("id").over(by_token))
-    shared = written(spread.where("lo < hi").select("token", "id", "n").distinct(), "tokens")
+    tokens = each.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-tokens * (100 - percent) // (100 * BUCKET_TOKENS)))
+    levels = docs.sparkSession.sparkContext.broadcast(_levels(survey))  # COUNTERS bytes
+    known = classes.where("id is not null").select("id", "n")
+    rare = shared_tags(docs, _prefix_tags(levels, buckets, percent), buckets).select(F.col("doc_id").alias("id"), F.col("tag").alias("token"))
+    shared = written(rare.join(known, "id").select("token", "id", "n").distinct(), "tokens")
 
     # Groups: classes that a min-hash brings together and the whole sets link.
     met = classes.where("id is not null").select("id", "n", F.posexplode("mins").alias("band", "low"))
     pivots = met.groupBy("band", "low").agg(F.min(F.struct(F.xxhash64("band", "id").alias("h"), F.col("id").alias("b"), F.col("n").alias("m"))).alias("p"), F.count("*").alias("k")).where("k > 1").select("band", "low", "p.b", "p.m")
     first = written(met.join(pivots, ["band", "low"]).where("id <> b").where(_fits("n", "m", percent)).select(F.col("id").alias("a"), "b").distinct(), "pairs")
-    touched = shared.select("id").union(first.select("a")).union(first.select("b")).distinct()
-    sets = written(_sets(docs.join(touched.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")).dropDuplicates(["id", "tokens"]), "sets")
-    links = written(_linked(first, sets, percent), "links")
+    links = written(_linked(first, _sets_of(docs, first), percent), "links")
     group = components(links)
 
     # The matrix, and the queries that may reach another group.
-    grouped = sets.select("id", "n", "bits").join(group.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "bits", F.coalesce("component", "id").alias("g"))
-    grouped = written(grouped, "groups")
-    placed = shared.join(grouped.select("id", "g").distinct(), "id")
-    between = placed.withColumn("lo", F.min("g").over(by_token)).withColumn("hi", F.max("g").over(by_token)).where("lo < hi")
+    by_token = Window.partitionBy("token")
+    placed = shared.join(group.withColumnRenamed("node", "id"), "id", "left").withColumn("g", F.coalesce("component", "id"))
+    between = placed.withColumn("lo", F.min("g").over(by_token)).withColumn("hi", F.max("g").over(by_token)).where("lo < hi").select("token", "id", "n", "g")
+    between = written(between, "between")
     matrix = between.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     reach = between.join(matrix, "token").where("h < g").where((100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n")))
-    asked = written(reach.select("id", "h").distinct(), "asked")
-
-    union = grouped.groupBy("g").agg(*[F.bit_or(F.col("bits")[k]).alias(f"u{k}") for k in range(LONGS)]).select(F.col("g").alias("h"), F.array(*[f"u{k}" for k in range(LONGS)]).alias("union"))
-    queries = asked.join(grouped.select("id", "n", "bits"), "id").join(union, "h").where(_reaches("bits", "n", "union", percent)).select("h", F.col("id").alias("a"), "n", "bits")
-    members = grouped.select(F.col("g").alias("h"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("other"))
-    opened = queries.join(members, "h").where(_fits("n", "m", percent)).where(_reaches("bits", "n", "other", percent) & _reaches("other", "m", "bits", percent))
-    more = _linked(written(opened.select("a", "b").distinct(), "opened"), sets, percent)
-    whole = components(links.union(more))
+    overlap = reach.groupBy("id", "n", "h").agg(F.count("*").alias("k"), F.min("least").alias("least"), F.max("most").alias("most"))
+    asked = written(overlap.where(F.col("k") >= _bound(F.col("n"), F.col("least"), F.col("most"), percent, 2)).select("id", "h"), "asked")
+
+    # Open them: members that share enough of the query's first tokens, then whole sets.
+    queries = asked.join(between.select("id", "token", "n"), "id")
+    members = between.select(F.col("g").alias("h"), "token", F.col("id").alias("b"), F.col("n").alias("m"))
+    opened = queries.join(members, ["h", "token"]).where(_fits("n", "m", percent)).groupBy(F.col("id").alias("a"), "b", "n", "m").agg(F.count("*").alias("k"))
+    opened = opened.where(F.col("k") >= _bound(F.col("n"), F.col("m"), F.col("m"), percent, 1))
+    opened = written(opened.select("a", "b").distinct(), "opened")
+    whole = components(links.union(_linked(opened, _sets_of(docs, opened), percent)))
 
     named = classes.select("n", "sig", "id").join(whole.withColumnRenamed("node", "id"), "id", "left").select("n", "sig", F.coalesce("component", "id").alias("component_id"))
     full = each.where("n > 0").join(named, ["n", "sig"]).select("doc_id", "n", "component_id")
