@@ -73,22 +73,43 @@ class Bands:
         return True
 
 
+class Rules:
+    """The counts and verdicts of a text."""
+
+    def __init__(self) -> None:
+        self.bands = Bands()
+
+    def judge(self, text: str | None) -> tuple[int, int, int, int, int, bool, bool]:
+        text = text or ""
+        words = _WORDS.findall(text)
+        repeated = repeated_words(words)
+        failed = len(words) < 50 or 100 * repeated > 50 * len(words)
+        kept = not failed and self.bands.within(text.encode())
+        return len(words), sum(map(len, words)), len(_SYMBOLS.findall(text)), duplicate_lines(text), repeated, failed, kept
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for every whole text.
 
     A null text counts as empty: all counts 0, base_failed true, kept false. Rows that repeat are each judged; a null id
-    stays null. Other columns of docs are not read. One document is in memory at a time, however long.
+    stays null. Other columns of docs are not read. One document is judged at a time, however long.
     """
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
-        bands = Bands()
+        rules = Rules()
         for doc_id, text in it:
-            text = text or ""
-            words = _WORDS.findall(text)
-            repeated = repeated_words(words)
-            failed = len(words) < 50 or 100 * repeated > 50 * len(words)
-            kept = not failed and bands.within(text.encode())
-            yield doc_id, len(words), sum(map(len, words)), len(_SYMBOLS.findall(text)), duplicate_lines(text), repeated, failed, kept
+            yield doc_id, *rules.judge(text)
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
     return arrow_rows(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), schema, rows)
+
+
+def kept_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text the rules keep."""
+    at = docs.columns.index(text_col)
+
+    def rows(it: Iterator[tuple]) -> Iterator[tuple]:
+        rules = Rules()
+        return (row for row in it if rules.judge(row[at])[-1])
+
+    return arrow_rows(docs, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), rows, out_batch=256)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
+from .chat import format_chats
 from .common import table
 from .compression import quality_rules
 from .decontamination import contaminated
@@ -53,6 +55,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
@@ -63,4 +69,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_suffix_array_dedup": oracles.REPEATS,
+    "op5_ngram_jaccard_join": oracles.JACCARD,
+    "op6_license_scans": oracles.LICENSES,
+    "op8_line_dedup": oracles.LINES,
+    "op9_chat_formatting": oracles.CHATS,
+    "op10_benchmark_decontamination": oracles.LEAKS,
+}
