@@ -74,3 +74,8 @@ def words_of(text: Column) -> Column:
 def lowered(text: Column) -> Column:
     """A-Z lowered and nothing else, alike in every locale."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once, however often then looks at it."""
+    return F.get(F.transform(F.array(value), then), 0)

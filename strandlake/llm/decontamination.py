@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered, words_of, written
+from .common import let, lowered, words_of, written
 
 WORDS, PERCENT = 5, 75
 #: Fingerprints of 64 bits in blocks of 8. Within the radius, one block at least differs in ERRORS bits at most.
@@ -24,10 +24,14 @@ FIELD, SMALL = 16, (1 << 15) - 1
 BROADCAST_ROWS = 2_000_000
 
 
-def _shingles(words: str, width: int) -> Column:
+def _shingles(words: Column, width: int) -> Column:
     """The hashes of all runs of width words, in order."""
-    at = lambda i: F.xxhash64(*[F.get(F.col(words), i + k) for k in range(width)])
-    return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(0), F.size(words) - width), at)).otherwise(F.array().cast("array<bigint>"))
+
+    def of(w: Column) -> Column:
+        at = lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)])
+        return F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(0), F.size(w) - width), at)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(words, of)
 
 
 def _fingerprints(sets: DataFrame, key: list[str], field: int = FIELD) -> DataFrame:
@@ -75,11 +79,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, perc
     items = benchmark.select(benchmark[item_col].alias("item_id"), words_of(lowered(benchmark[text_col])).alias("w")).where(F.size("w") > 0)
     items = items.withColumn("width", F.least(F.size("w"), F.lit(words)))
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # as many as words at most
-    by_width = lambda df: [df.select("*", F.lit(k).alias("width"), _shingles("w", k).alias("s")).drop("w") for k in widths]
+    by_width = lambda df: [df.select("*", F.lit(k).alias("width"), _shingles(F.col("w"), k).alias("s")).drop("w") for k in widths]
     none = F.array().cast("array<bigint>")
     shingled = F.lit(None).cast("array<bigint>")
     for k in widths:
-        shingled = F.when(F.col("width") == k, _shingles("w", k)).otherwise(shingled)
+        shingled = F.when(F.col("width") == k, _shingles(F.col("w"), k)).otherwise(shingled)
     items = written(items.select("item_id", "width", F.coalesce(shingled, none).alias("s")).select("item_id", "width", "s", F.size("s").alias("m"), F.xxhash64("item_id", "width", "s").alias("item")), "items")
     field = FIELD if (items.agg(F.max("m")).first()[0] or 0) <= SMALL else 32
     known = items.select("width", "m", F.explode("s").alias("h")).distinct()

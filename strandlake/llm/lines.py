@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import let, written
 
 #: Edits up to which lines are alike, and characters from which a line is looked at (shorter ones meet by chance).
 EDITS, LEAST = 2, 40
@@ -42,11 +42,6 @@ def _keys(line: str, length: str, edits: int) -> Column:
     return F.array(*out)
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), which is computed once."""
-    return F.get(F.transform(F.array(value), then), 0)
-
-
 def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     """The edit distance in code points if it is edits at most, else a larger number; nulls give null.
 
@@ -62,13 +57,13 @@ def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
         """x: struct of the two lines' characters, a no shorter than b; where they differ."""
         n = F.size(x["b"])
         same = F.zip_with(F.slice(x["a"], 1, n), x["b"], lambda p, q: p == q)
-        ahead = _let(F.array_position(same, F.lit(False)), lambda k: F.when(k == 0, n).otherwise((k - 1).cast("int")))
+        ahead = let(F.array_position(same, F.lit(False)), lambda k: F.when(k == 0, n).otherwise((k - 1).cast("int")))
 
         def cut(k: Column) -> Column:
             back = F.zip_with(F.slice(F.reverse(x["a"]), 1, n - k), F.slice(F.reverse(x["b"]), 1, n - k), lambda p, q: p == q)
-            return _let(F.array_position(back, F.lit(False)), lambda r: F.struct(F.slice(x["a"], k + 1, F.size(x["a"]) - k - F.when(r == 0, n - k).otherwise((r - 1).cast("int"))).alias("a"), F.slice(x["b"], k + 1, n - k - F.when(r == 0, n - k).otherwise((r - 1).cast("int"))).alias("b")))
+            return let(F.array_position(back, F.lit(False)), lambda r: F.struct(F.slice(x["a"], k + 1, F.size(x["a"]) - k - F.when(r == 0, n - k).otherwise((r - 1).cast("int"))).alias("a"), F.slice(x["b"], k + 1, n - k - F.when(r == 0, n - k).otherwise((r - 1).cast("int"))).alias("b")))
 
-        return _let(ahead, cut)
+        return let(ahead, cut)
 
     def distance(x: Column) -> Column:
         m, n = F.size(x["a"]), F.size(x["b"])  # a is the pattern, down the matrix; b runs along it
@@ -94,11 +89,11 @@ def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
                         shifted = F.shiftright(d, 1)
                         return F.struct(h["n"].bitwiseOR(flip(shifted.bitwiseOR(h["p"]))).bitwiseAND(F.lit(ones)).alias("vp"), shifted.bitwiseAND(h["p"]).alias("vn"), (state["d"] + more).cast("int").alias("d"))
 
-                    return _let(F.struct(hp.alias("p"), hn.alias("n")), down)
+                    return let(F.struct(hp.alias("p"), hn.alias("n")), down)
 
-                return _let(d0, across)
+                return let(d0, across)
 
-            return F.when(state["d"] > 3 * edits, state).otherwise(_let(equal, moved))
+            return F.when(state["d"] > 3 * edits, state).otherwise(let(equal, moved))
 
         start = F.struct(F.lit(ones & ~((1 << (edits + 1)) - 1)).alias("vp"), F.lit((1 << (edits + 1)) - 1).alias("vn"), F.least(F.lit(edits), m).alias("d"))
         run = F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: s["d"])
@@ -108,7 +103,7 @@ def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     chars = F.struct(F.split(F.when(swap, b).otherwise(a), "").alias("a"), F.split(F.when(swap, a).otherwise(b), "").alias("b"))
     # split("", "") is one empty string, which stands for no character.
     empty = (F.char_length(a) == 0) | (F.char_length(b) == 0)
-    return F.when(F.abs(F.char_length(a) - F.char_length(b)) > edits, F.abs(F.char_length(a) - F.char_length(b))).when(empty, F.greatest(F.char_length(a), F.char_length(b))).otherwise(_let(chars, lambda x: _let(middle(x), distance)))
+    return F.when(F.abs(F.char_length(a) - F.char_length(b)) > edits, F.abs(F.char_length(a) - F.char_length(b))).when(empty, F.greatest(F.char_length(a), F.char_length(b))).otherwise(let(chars, lambda x: let(middle(x), distance)))
 
 
 def _near(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
@@ -133,7 +128,8 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_c
     place = F.struct("doc_id", "at")
     firsts = written(lines.select(F.xxhash64("line").alias("h"), "doc_id", "at").groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("k")).select("h", "first.*", "k"), "lines")
     of_doc = firsts.groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
-    texts = given.join(of_doc, "doc_id").select("doc_id", F.explode("ats").alias("at"), F.split("text", "\n").alias("all")).select("doc_id", "at", F.get("all", F.col("at")).alias("line"))
+    picked = F.inline(let(F.split("text", "\n"), lambda x: F.transform("ats", lambda k: F.struct(k.alias("at"), F.get(x, k).alias("line")))))
+    texts = given.join(of_doc, "doc_id").select("doc_id", picked)
     keyed = texts.withColumn("n", F.char_length("line")).select("doc_id", "at", F.inline(_keys("line", "n", edits)))
 
     # Keys at which different lines meet, in one pass over each key's rows.
@@ -146,7 +142,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_c
     towards = F.when(F.col("role") == 1, F.col("e0")).otherwise(F.col("e1"))
     once = met.join(ends, "key").select("doc_id", "at", towards.alias("w")).where(F.col("w") < place).select("doc_id", "at", F.col("w.doc_id").alias("w_doc"), F.col("w.at").alias("w_at")).distinct()
     wanted = lambda pairs: pairs.select("doc_id", "at").union(pairs.select("w_doc", "w_at")).distinct().groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
-    lines_of = lambda pairs: given.join(wanted(pairs), "doc_id").select("doc_id", F.explode("ats").alias("at"), F.split("text", "\n").alias("all")).select("doc_id", "at", F.get("all", F.col("at")).alias("line")).distinct()
+    lines_of = lambda pairs: given.join(wanted(pairs), "doc_id").select("doc_id", picked).distinct()
     once = written(once, "once")
     near = written(_near(once, lines_of(once), edits), "near")
 
@@ -170,6 +166,6 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Data
     gone = repeated_lines(docs, edits, least).select(F.col("doc_id").alias("_id"), "gone")
     lines = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_let(lines, lambda x: F.array_join(F.transform(left, lambda k: F.get(x, k)), "\n")))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(lines, lambda x: F.array_join(F.transform(left, lambda k: F.get(x, k)), "\n")))
     out = docs.join(gone, docs["doc_id"] == gone["_id"], "left").withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed": F.coalesce(F.size("gone"), F.lit(0)), "text": text}).drop("_id", "gone")
     return out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
