@@ -1 +1 @@
-
+"""Composite pipelines: design, specificity, variants, multiplex panels, probes and reports."""
