@@ -7,8 +7,6 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
 
 from .common import arrow_rows
 
@@ -30,15 +28,6 @@ def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.append(start[1:], len(keys))
 
 
-def arrow_schema(schema: str) -> pa.Schema:
-    return to_arrow_schema(_parse_datatype_string(schema))
-
-
-def arrow_table(rows: Iterable[tuple], schema: pa.Schema) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
-    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
 def _by_doc(docs: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, bytes]]:
     order = np.argsort(docs, kind="stable")
     docs, values = docs[order], values[order]

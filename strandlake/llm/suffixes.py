@@ -10,8 +10,10 @@ exactly which strings are equal, and the smallest document of each.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows
-from .sharing import arrow_schema, arrow_table, groups, shared_tags, tagged
+from .sharing import groups, shared_tags, tagged
 
 LENGTH, K = 50, 20
 SPAN = LENGTH - K + 1
@@ -148,49 +150,47 @@ def repeats(prefix: np.ndarray | list[int], suffixes: list[tuple]) -> tuple[np.n
     the one before: windows by suffix and offset of the anchor in it; which there are, and which a smaller document has too.
     """
     n = len(suffixes)
-    left = [x[1][0] for x in suffixes]
-    doc = np.array([x[1][1] for x in suffixes], np.int64)
     least, most = (np.array([x[1][k] for x in suffixes], np.int64) for k in (3, 4))
+    there = (least[:, None] <= np.arange(SPAN)) & (np.arange(SPAN) <= most[:, None])
+    gone = np.zeros((n, SPAN), bool)
     right = np.array(prefix, np.int64)
     right[0] = 0
-    order = sorted(range(n), key=left.__getitem__)
+    meets = right >= K
+    some = np.flatnonzero(meets | np.append(meets[1:], False))  # an anchor that no other suffix has is done
+    if not len(some):
+        return there, gone
+    left = [suffixes[k][1][0] for k in some.tolist()]
+    doc = np.array([suffixes[k][1][1] for k in some.tolist()], np.int64)
+    right, now = right[some], there[some]
+    order = sorted(range(len(some)), key=left.__getitem__)
     near = neighbours([left[k] for k in order], SPAN)
-    there, gone = np.zeros((n, SPAN), bool), np.zeros((n, SPAN), bool)
-    rank = np.empty(n, np.int64)
+    rank = np.empty(len(some), np.int64)
     for o in range(SPAN):
-        active = np.flatnonzero((least <= o) & (o <= most))
-        if not len(active):
+        active = np.flatnonzero(now[:, o])
+        if len(active) < 2:
             continue
-        there[active, o] = True
         rank[order] = np.cumsum(near < o)
         key = np.cumsum(right < LENGTH - o)[active] * n + rank[active]
         by = np.lexsort((doc[active], key))
-        sorted_key = key[by]
-        start, end = groups(sorted_key)
+        start, end = groups(key[by])
         first = np.repeat(doc[active][by][start], end - start)
-        gone[active[by], o] = doc[active][by] > first
+        gone[some[active[by]], o] = doc[active][by] > first
     return there, gone
 
 
-def _spans(doc: np.ndarray, window: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """By document, the byte ranges that its removed windows cover, as pairs of 64-bit numbers."""
-    order = np.lexsort((window, doc))
-    doc, window = doc[order], window[order]
-    for a, b in zip(*groups(doc), strict=True):
-        w = window[a:b]
-        cut = np.flatnonzero(np.diff(w) > LENGTH) + 1
-        start = w[np.append(0, cut)]
-        end = w[np.append(cut, len(w)) - 1] + LENGTH
-        yield int(doc[a]), np.stack([start, end], 1).astype(np.int64).tobytes()
-
-
-def _gone_spans(suffixes: list[tuple], gone: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def _gone_spans(suffixes: list[tuple], gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and byte ranges of removed windows that follow each other: the start times 256, and the length."""
     at, o = np.nonzero(gone)
-    doc, place = (np.array([x[1][k] for x in suffixes], np.int64) for k in (1, 2))
-    return _spans(doc[at], place[at] - o)
+    rows = np.flatnonzero(gone.any(1)).tolist()
+    place, doc = np.zeros(len(gone), np.int64), np.zeros(len(gone), np.int64)
+    doc[rows], place[rows] = [suffixes[k][1][1] for k in rows], [suffixes[k][1][2] for k in rows]
+    first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (o[1:] != o[:-1] + 1))[: len(at)])
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    start = place[at[first]] - o[last]
+    return doc[at[first]], start * 256 + (o[last] - o[first] + LENGTH)
 
 
-_RUN = "bucket int, doc_id long, spans binary, prefix binary, length binary, rest binary, left_length binary, lefts binary, docs binary, places binary, least binary"
+_RUN = "bucket int, docs_gone binary, spans binary, prefix binary, length binary, rest binary, left_length binary, lefts binary, docs binary, places binary, least binary"
 
 
 def _run(bucket: int, suffixes: list[tuple]) -> tuple:
@@ -215,9 +215,10 @@ def _unrun(run: dict) -> Iterator[tuple[int, bytes, tuple]]:
 
 def _suffix_runs(docs: DataFrame, buckets: int) -> DataFrame:
     def flush(held: list[tuple]) -> Iterator[tuple]:
-        held.sort(key=lambda x: x[:2])
+        held.sort(key=itemgetter(0))
         there, gone = repeats(neighbours([x[0] for x in held], LENGTH), held)
-        yield from ((k % buckets, doc_id, spans, *[None] * 8) for k, (doc_id, spans) in enumerate(_gone_spans(held, gone)))
+        docs_gone, spans = _gone_spans(held, gone)
+        yield len(held) % buckets, docs_gone.tobytes(), spans.tobytes(), *[None] * 8
         ask = there & ~gone
         least, most = ask.argmax(1), SPAN - 1 - ask[:, ::-1].argmax(1)
         by: dict[int, list] = {}
@@ -230,6 +231,7 @@ def _suffix_runs(docs: DataFrame, buckets: int) -> DataFrame:
             yield _run(bucket, suffixes)
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
+        gc.disable()  # hundreds of thousands of tuples, and no circles among them
         held: list[tuple] = []
         for doc_id, data, tags in it:
             if not tags:
@@ -250,17 +252,23 @@ def _suffix_runs(docs: DataFrame, buckets: int) -> DataFrame:
     return arrow_rows(docs, _RUN, rows, out_batch=32)
 
 
-def _merged(found: pa.Table) -> Iterator[tuple]:
+def _merged(found: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     prefix, held, runs = [], [], found.to_pylist()
-    yield from ((r["doc_id"], r["spans"]) for r in runs if r["doc_id"] is not None)
-    for shared, text, payload in LoserTree([_unrun(r) for r in runs if r["doc_id"] is None]):
+    yield from ((np.frombuffer(r["docs_gone"], np.int64), np.frombuffer(r["spans"], np.int64)) for r in runs if r["spans"] is not None)
+    for shared, text, payload in LoserTree([_unrun(r) for r in runs if r["spans"] is None]):
         if shared < K and len(held) >= BATCH:
-            yield from _gone_spans(held, repeats(prefix, held)[1])
+            yield _gone_spans(held, repeats(prefix, held)[1])
             prefix, held = [], []
         prefix.append(shared)
         held.append((text, payload))
     if held:
-        yield from _gone_spans(held, repeats(prefix, held)[1])
+        yield _gone_spans(held, repeats(prefix, held)[1])
+
+
+def _merged_table(key: tuple, found: pa.Table) -> pa.Table:
+    gc.disable()
+    docs, spans = zip(*_merged(found), strict=True)
+    return pa.table({"doc_id": np.concatenate(docs), "span": np.concatenate(spans)})
 
 
 def _cleaned(docs: DataFrame, with_kept: bool) -> DataFrame:
@@ -270,7 +278,8 @@ def _cleaned(docs: DataFrame, with_kept: bool) -> DataFrame:
             if whole:
                 removed = [[0, n]]
             elif lists:
-                for a, b in sorted(np.frombuffer(b"".join(lists), np.int64).reshape(-1, 2).tolist()):
+                for span in sorted(lists):
+                    a, b = span >> 8, (span >> 8) + (span & 255)
                     if removed and a <= removed[-1][1]:
                         removed[-1][1] = max(b, removed[-1][1])
                     else:
@@ -313,12 +322,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Equal texts: the smallest doc_id stands for all, the others go whole.
     copies = docs.where(f"doc_id is not null and length(data) >= {LENGTH}").select("doc_id", F.sha2("data", 256).alias("sha"))
     firsts = copies.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    whole = copies.join(firsts, "sha").where("doc_id > first").select("doc_id", F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("whole"))
+    whole = copies.join(firsts, "sha").where("doc_id > first").select("doc_id", F.lit(None).cast("long").alias("span"), F.lit(True).alias("whole"))
 
     # Both joins ask for the same deal of docs, which is made once.
     runs = _suffix_runs(docs.join(tags, "doc_id", "left").select("doc_id", "data", "tags"), buckets)
-    span = arrow_schema("doc_id long, spans binary")
-    merged = runs.groupBy("bucket").applyInArrow(lambda key, t: arrow_table(_merged(t), span), "doc_id long, spans binary").withColumn("whole", F.lit(False))
-    verdicts = merged.union(whole).groupBy("doc_id").agg(F.max("whole").alias("whole"), F.collect_list("spans").alias("lists"))
+    merged = runs.groupBy("bucket").applyInArrow(_merged_table, "doc_id long, span long").withColumn("whole", F.lit(False))
+    verdicts = merged.union(whole).groupBy("doc_id").agg(F.max("whole").alias("whole"), F.collect_list("span").alias("lists"))
     given = docs.join(verdicts, "doc_id", "left").select("doc_id", "data", F.coalesce("whole", F.lit(False)).alias("whole"), "lists")
     return _cleaned(given, with_kept)
