@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from strandlake.functions import masks, thermo
 from strandlake.operators.intervals import overlapping
 from strandlake.operators.rules import severity, worst
+from strandlake.operators.tables import settled
 from strandlake.operators.products import pair_products
 
 
@@ -76,7 +77,7 @@ def rerank(pairs: DataFrame, variant_verdicts: DataFrame | None = None, order: l
     columns = ["_level", "n_off", "n_flags", *order, "pair_id"]
     parts = keyed.repartitionByRange(*columns).withColumn("_part", F.spark_partition_id())
     # A checkpoint keeps the deal by range the same for both of its uses.
-    local = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*columns))).checkpoint()
+    local = settled(parts.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*columns))))
     sizes = local.groupBy("_part").agg(F.max("_n").alias("_size"))
     offsets = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["_before"])
     return local.join(F.broadcast(offsets.select("_part", "_before")), "_part").withColumn("final_rank", F.col("_before") + F.col("_n")).drop("_part", "_n", "_before", "_level")
