@@ -92,3 +92,18 @@ def digest() -> str:
     """SHA-256 over the canonical JSON of each table, in order of names."""
     each = (f"{name}:{hashlib.sha256(json.dumps(t, sort_keys=True, separators=(',', ':')).encode()).hexdigest()}" for name, t in sorted(tables().items()))
     return hashlib.sha256("|".join(each).encode()).hexdigest()
+
+
+def consistency(tolerance: float = 0.35) -> list[tuple[str, str]]:
+    """What of the tables contradicts itself: (table, key) of steps that differ from their reverse complement, mismatches that
+    aren't, and loops that get more stable with length by more than the tolerance."""
+    faults = [("steps", s) for s, v in all_steps().items() if all_steps()[reversed_complement(s)] != v]
+    for name, table in (("mismatches", MISMATCHES), ("terminal_mismatches", TERMINAL_MISMATCHES)):
+        for key in table:
+            top, bottom = key.split("/")
+            if sum(a == b.translate(_OTHER) for a, b in zip(top, bottom, strict=True)) != 1:
+                faults.append((name, key))
+    for kind, table in LOOPS.items():
+        sizes = sorted(k for k in table if k >= 6)
+        faults += [(kind, str(b)) for a, b in zip(sizes, sizes[1:], strict=False) if table[b] < table[a] - tolerance]
+    return faults

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from strandlake.functions.dna import hamming, is_strict, normalized, reverse_complement
 from strandlake.functions.masks import mismatch_mask, rendered
 
+from .intervals import merge_intervals
+
 #: Starts that a chunk owns, rows of seeds that are broadcast, and the most mismatches of the anchored search.
 CHUNK, BROADCAST_SEEDS, MOST_ANCHORED = 1 << 16, 2_000_000, 3
 
@@ -102,3 +104,47 @@ def valid_bindings(bindings: DataFrame, contigs: DataFrame, most: int = 3, ancho
     oriented = F.when(F.col("strand") == "+", site).otherwise(reverse_complement(site))
     right = is_strict(oriented) & (F.length(site) == F.length("primer")) & (hamming("primer", oriented) == F.col("mismatches")) & (F.col("mismatches") <= most) & (F.right(oriented, F.lit(anchor)) == F.right("primer", F.lit(anchor)))
     return at.withColumn("ok", F.coalesce(right, F.lit(False))).drop("_seq")
+
+
+def profiled(contigs: DataFrame, primers: DataFrame, profile: str = "STRICT", most: int = 3, anchor: int = 12) -> DataFrame:
+    """The anchored (STRICT) or the unanchored (SENSITIVE) search."""
+    if profile == "STRICT":
+        return strict_search(contigs, primers, anchor, most)
+    if profile == "SENSITIVE":
+        return sensitive_search(contigs, primers, most)
+    raise ValueError(f"no such profile: {profile}")
+
+
+def strategy(difficulty: DataFrame, most: int = 3) -> DataFrame:
+    """difficulty with strategy: candidate where three mismatches meet few anchors, else branching. A label; the plan is the same."""
+    few = F.col("difficulty").isin("EASY", "MODERATE") & F.lit(most == 3)
+    return difficulty.withColumn("strategy", F.when(few, "candidate").otherwise("branching"))
+
+
+def near_contigs(contigs: DataFrame, sites: DataFrame, reach: int, longest: int) -> DataFrame:
+    """The parts of contigs (chrom, part_start, seq) within reach of sites: where a mate can lie. Parts that touch are one."""
+    around = merge_intervals(sites.select("chrom", "start", "end"), ["chrom"], pad=reach + longest)
+    return around.join(contigs.select("chrom", normalized("seq").alias("seq")), "chrom").select("chrom", F.col("start").alias("part_start"), F.expr("substring(seq, cast(start as int) + 1, cast(end - start as int))").alias("seq"))
+
+
+def constrained_search(contigs: DataFrame, first: DataFrame, mates: DataFrame, most: int = 3, reach: int = 3000, longest: int = 63) -> DataFrame:
+    """Unanchored sites of mates, looked for only within reach of the sites of first (which were found before).
+
+    What pairs within reach is the same as after two global searches; the mate's candidates are fewer.
+    """
+    parts = near_contigs(contigs, first, reach, longest).withColumn("whole", F.col("chrom")).withColumn("chrom", F.concat_ws(":", F.col("chrom"), F.col("part_start").cast("string")))
+    found = sensitive_search(parts, mates, most).join(parts.select("chrom", "whole", "part_start"), "chrom")
+    return found.withColumns({"start": F.col("start") + F.col("part_start"), "end": F.col("end") + F.col("part_start"), "chrom": F.col("whole")}).drop("whole", "part_start").distinct()
+
+
+def seed_cost(contigs: DataFrame, primers: DataFrame, most: int = 3) -> DataFrame:
+    """primer, n_candidates: places at which a seed of the unanchored search fits, a measure of what its check costs."""
+    wanted = _primers(primers, most + 1).select("primer", F.floor(F.length("primer") / (most + 1)).cast("int").alias("k"))
+    seeds = wanted.select("primer", "k", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.substring(F.col("primer"), i * F.col("k") + 1, F.col("k")))).alias("kmer"))
+    both = seeds.select("primer", "k", F.explode(F.array("kmer", reverse_complement("kmer"))).alias("kmer"))
+    out = None
+    for (k,) in sorted(wanted.select("k").distinct().collect()):
+        counts = kmers(chunks(contigs, k), k).groupBy("kmer").agg(F.count("*").alias("n"))
+        found = both.where(F.col("k") == k).join(counts, "kmer", "left").groupBy("primer").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_candidates"))
+        out = found if out is None else out.union(found)
+    return out if out is not None else wanted.select("primer", F.lit(0).cast("long").alias("n_candidates"))

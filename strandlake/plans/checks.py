@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.functions import dna, thermo
+from strandlake.functions import dna, masks, thermo
 from strandlake.functions.structures import dimer_udf, fold_udf, hairpin_udf, melt_udf, on_distinct, unpaired_udf
 from strandlake.functions.parameters import all_steps
 from strandlake.operators.intervals import containment_join, merge_intervals
@@ -292,3 +292,24 @@ def isoform_coverage(pairs: DataFrame, exons: DataFrame) -> DataFrame:
 def condition_checks(cond: thermo.Conditions) -> list[tuple[str, str]]:
     """COND-01, COND-02 of a run: rule and severity."""
     return [("COND-01", "INFO"), ("COND-02", "WARN" if cond.magnesium - cond.dntp <= 0 else "INFO")]
+
+
+def contig_checks(sites: DataFrame, targets: DataFrame) -> DataFrame:
+    """SPC-08: primer with n_sites, n_anchored (last three bases match) of its sites on contaminating contigs, and severity."""
+    anchored = masks.anchor_intact("mask", 3)
+    sums = sites.groupBy("primer").agg(F.count("*").alias("n_sites"), F.count_if(anchored).alias("n_anchored"))
+    whole = targets.select("primer").distinct().join(sums, "primer", "left").fillna(0)
+    return whole.withColumn("spc08", severity(F.col("n_anchored") > 0, F.col("n_sites") > 0))
+
+
+def probe_structure_check(target: str, anneal_c: float = 60.0) -> Column:
+    """SS-05 of (probe, fold): the Tm of the probe's own fold against the annealing temperature."""
+    tm = structure_tm(F.col("probe"), F.col("fold"))
+    return evidence("SS-05", F.col(target), severity(tm > anneal_c, tm > anneal_c - 10), {"structure_tm": F.round(tm, 3), "mfe": F.round("fold.mfe", 3)})
+
+
+def contract_check(contract: DataFrame, fields: tuple[str, ...] = ("anchor", "max_mismatches", "min_amplicon", "max_amplicon", "index_sha256")) -> DataFrame:
+    """SPC-09: the fields that a search contract (field, value) lacks, and severity; one row."""
+    wanted = F.array(*[F.lit(f) for f in fields])
+    held = contract.where("value is not null and value <> ''").agg(F.collect_set("field").alias("held"))
+    return held.select(F.array_except(wanted, "held").alias("missing")).withColumn("spc09", severity(F.lit(False), F.size("missing") > 0))

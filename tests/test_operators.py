@@ -137,3 +137,29 @@ def test_sets(spark):
     assert sets.differences(t, p, ["k", "v"]).count() == 4
     s = sets.tolerant_comparison(spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, x double"), spark.createDataFrame([("a", 1.05), ("c", 2.0)], "k string, x double"), ["k"], "x", 0.1)
     assert {r.k: r.status for r in s.collect()} == {"a": "MATCH", "b": "MISSING_OTHER", "c": "MISSING_OURS"}
+
+
+def test_constrained_search_and_labels(spark):
+    rng = random.Random(4)
+    seqs = ["".join(rng.choices("ACGT", k=900)) for _ in range(2)]
+    df = spark.createDataFrame([(f"c{k}", s) for k, s in enumerate(seqs)], "chrom string, seq string")
+    first = search.strict_search(df, spark.createDataFrame([(seqs[0][100:120],)], "primer string"), 12, 3)
+    mates = spark.createDataFrame([(seqs[0][200:218].translate(OTHER)[::-1],), (seqs[0][700:720],)], "primer string")
+    near = {(r.primer, r.chrom, r.start, r.strand) for r in search.constrained_search(df, first, mates, 1, 150).collect()}
+    everywhere = {(r.primer, r.chrom, r.start, r.strand) for r in search.profiled(df, mates, "SENSITIVE", 1).collect()}
+    assert near < everywhere and {x for x in everywhere if x[1] == "c0" and x[2] < 270} == near and near
+    d = search.strategy(search.search_difficulty(df, mates.limit(1)))
+    assert d.first().strategy == "candidate"
+    assert all(r.n_candidates > 0 for r in search.seed_cost(df, mates, 1).collect())
+
+
+def test_contigs_and_contracts(spark):
+    from strandlake.functions import parameters
+    from strandlake.plans import checks
+
+    sites = spark.createDataFrame([("A", "..X"), ("B", "X....")], "primer string, mask string")
+    targets = spark.createDataFrame([("A",), ("B",), ("C",)], "primer string")
+    assert {r.primer: r.spc08 for r in checks.contig_checks(sites, targets).collect()} == {"A": "WARN", "B": "FAIL", "C": "INFO"}
+    got = checks.contract_check(spark.createDataFrame([("anchor", "12"), ("max_mismatches", None)], "field string, value string"), ("anchor", "max_mismatches")).first()
+    assert (got.missing, got.spc09) == (["max_mismatches"], "WARN")
+    assert parameters.consistency() == []
