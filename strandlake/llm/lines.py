@@ -11,15 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import let, written
+from .common import forget, let, written
 
 #: Edits up to which lines are alike, and characters from which a line is looked at (shorter ones meet by chance).
 EDITS, LEAST = 2, 40
+#: A line that makes up more than a HEAVY-th of all lines is looked at once; lines (24 bytes each) that are broadcast at most.
+HEAVY, BROADCAST_LINES = 1000, 1_000_000
 
 
 def _segments(length: Column, pieces: int) -> list[tuple[Column, Column]]:
     """1-based place and length of each of the even segments; the last ones take the rest."""
-    base, rest = F.floor(length / pieces).cast("int"), (length % pieces).cast("int")
+    rest = length % pieces
+    base = ((length - rest) / pieces).cast("int")
     out = []
     for k in range(pieces):
         longer = F.greatest(F.lit(0), F.lit(k) - (pieces - rest))
@@ -27,8 +30,21 @@ def _segments(length: Column, pieces: int) -> list[tuple[Column, Column]]:
     return out
 
 
+def _flat(line: str) -> Column:
+    """One byte for each code point, alike for all that aren't ASCII: equal segments stay equal, and bytes are cut in no time."""
+    return F.regexp_replace(line, "[^\\x00-\\x7F]", "?").cast("binary")
+
+
+#: Letters that are counted; a line within so many edits of another differs from it in twice as many counts at most.
+COUNTED = "etaoinshrdlucmfwypvbgk"
+
+
+def _counts(line: str) -> list[Column]:
+    return [(F.length(line) - F.length(F.translate(line, c, ""))).alias(f"n_{c}") for c in COUNTED]
+
+
 def _keys(line: str, length: str, edits: int) -> Column:
-    """role (0: index, 1: probe), key of each segment of the line and of each substring that can be another's segment."""
+    """role (0: index, 1: probe), key of each segment of the flat line and of each substring that can be another's segment."""
     pieces, out = edits + 1, []
     # The length of the shorter line, the segment's number and its text.
     key = lambda size, k, at, n: F.xxhash64(size, F.lit(k), F.col(line).substr(at, n))
@@ -124,37 +140,44 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_c
     given = docs.where(docs[id_col].isNotNull() & docs[text_col].isNotNull()).select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     lines = given.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.char_length("line") >= least)
 
-    # Each distinct line, named by its first place.
-    place = F.struct("doc_id", "at")
-    firsts = written(lines.select(F.xxhash64("line").alias("h"), "doc_id", "at").groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("k")).select("h", "first.*", "k"), "lines")
-    of_doc = firsts.groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
-    picked = F.inline(let(F.split("text", "\n"), lambda x: F.transform("ats", lambda k: F.struct(k.alias("at"), F.get(x, k).alias("line")))))
-    texts = given.join(of_doc, "doc_id").select("doc_id", picked)
-    keyed = texts.withColumn("n", F.char_length("line")).select("doc_id", "at", F.inline(_keys("line", "n", edits)))
+    # Each distinct line by its hash, with its first place and how often it comes.
+    place, h = F.struct("doc_id", "at"), F.xxhash64("line").alias("h")
+    firsts = written(lines.select(h, "doc_id", "at").groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("k")).select("h", "first.*", "k"), "lines")
+
+    # Of lines that make up a HEAVY-th of all, at most HEAVY different ones, only the first gives keys.
+    total = firsts.agg(F.sum("k")).first()[0] or 0
+    heavy = firsts.where(F.col("k") * HEAVY > total).select("h", F.col("doc_id").alias("f_doc"), F.col("at").alias("f_at"))
+    given_once = lines.select(h, "doc_id", "at", "line").join(F.broadcast(heavy), "h", "left").where("f_doc is null or (doc_id = f_doc and at = f_at)")
+    flat = given_once.select("h", _flat("line").alias("flat"), F.char_length("line").alias("n"))
+    keyed = flat.select("h", F.inline(_keys("flat", "n", edits)))
 
     # Keys at which different lines meet, in one pass over each key's rows.
     by_key = Window.partitionBy("key")
-    met = keyed.withColumn("lo", F.min(place).over(by_key)).withColumn("hi", F.max(place).over(by_key)).where("lo < hi").select("key", "role", "doc_id", "at")
-    met = written(met, "met")
+    met = keyed.withColumn("lo", F.min("h").over(by_key)).withColumn("hi", F.max("h").over(by_key)).where("lo < hi").select("key", "role", "h").distinct()
+    met = written(met.join(firsts.drop("k"), "h"), "met")
     ends = met.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, place)).alias(f"e{r}") for r in (0, 1)]).where("e0 is not null and e1 is not null")
 
     # First against the earliest of the other role: most of a large group ends here.
     towards = F.when(F.col("role") == 1, F.col("e0")).otherwise(F.col("e1"))
     once = met.join(ends, "key").select("doc_id", "at", towards.alias("w")).where(F.col("w") < place).select("doc_id", "at", F.col("w.doc_id").alias("w_doc"), F.col("w.at").alias("w_at")).distinct()
-    wanted = lambda pairs: pairs.select("doc_id", "at").union(pairs.select("w_doc", "w_at")).distinct().groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
-    lines_of = lambda pairs: given.join(wanted(pairs), "doc_id").select("doc_id", picked).distinct()
+    wanted = met.select("h", "doc_id", "at").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
+    lines_met = written(lines.select(h, "doc_id", "at", "line").join(wanted, ["h", "doc_id", "at"]).select("doc_id", "at", "line", *_counts("line")).distinct(), "texts")
     once = written(once, "once")
-    near = written(_near(once, lines_of(once), edits), "near")
-
-    # Then what is left against every earlier line of its keys.
-    rest = met.join(near, ["doc_id", "at"], "left_anti")
-    other = met.selectExpr("key", "1 - role as role", "doc_id w_doc", "at w_at")
-    pairs = rest.join(other, ["key", "role"]).where("w_doc < doc_id or (w_doc = doc_id and w_at < at)").select("doc_id", "at", "w_doc", "w_at").distinct().join(once, ["doc_id", "at", "w_doc", "w_at"], "left_anti")
+    near = written(_near(once, lines_met, edits), "near")
+
+    # Then what is left against every earlier line of its keys whose letters are nearly the same.
+    counted = met.drop("h").join(lines_met.drop("line"), ["doc_id", "at"])
+    rest = counted.join(near, ["doc_id", "at"], "left_anti")
+    other = counted.select("key", (1 - F.col("role")).alias("role"), F.col("doc_id").alias("w_doc"), F.col("at").alias("w_at"), *[F.col(f"n_{c}").alias(f"w_{c}") for c in COUNTED])
+    apart = sum((F.abs(F.col(f"n_{c}") - F.col(f"w_{c}")) for c in COUNTED), F.lit(0))
+    pairs = rest.join(other, ["key", "role"]).where("w_doc < doc_id or (w_doc = doc_id and w_at < at)").where(apart <= 2 * edits).select("doc_id", "at", "w_doc", "w_at").distinct().join(once, ["doc_id", "at", "w_doc", "w_at"], "left_anti")
     pairs = written(pairs, "rest")
-    near = near.union(_near(pairs, lines_of(pairs), edits))
+    near = near.union(written(_near(pairs, lines_met, edits), "near"))
+    forget(met, lines_met, once, pairs)
 
     named = firsts.join(near.withColumn("near", F.lit(True)), ["doc_id", "at"], "left").where("near or k > 1").select("h", F.col("doc_id").alias("f_doc"), F.col("at").alias("f_at"), "near")
-    gone = lines.select(F.xxhash64("line").alias("h"), "doc_id", "at").join(named, "h").where("near or doc_id > f_doc or at > f_at")
+    gone = lines.select(h, "doc_id", "at").join(named, "h").where("near or doc_id > f_doc or at > f_at")
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("gone"))
 
 
@@ -163,9 +186,12 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Data
 
     Null texts stay null and have no lines; a null doc_id keeps its text. Every row comes back.
     """
-    gone = repeated_lines(docs, edits, least).select(F.col("doc_id").alias("_id"), "gone")
-    lines = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(lines, lambda x: F.array_join(F.transform(left, lambda k: F.get(x, k)), "\n")))
-    out = docs.join(gone, docs["doc_id"] == gone["_id"], "left").withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed": F.coalesce(F.size("gone"), F.lit(0)), "text": text}).drop("_id", "gone")
+    # Names that no column of docs has.
+    key, gone = (f"_{name}{len(docs.columns)}_{'_'.join(docs.columns)}" for name in ("id", "gone"))
+    found = repeated_lines(docs, edits, least).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
+    lines = F.split(docs["text"], "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(f"`{gone}`"))
+    text = F.when(F.col(f"`{gone}`").isNull(), docs["text"]).otherwise(let(lines, lambda x: F.array_join(F.transform(left, lambda k: F.get(x, k)), "\n")))
+    counted = {"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed": F.coalesce(F.size(F.col(f"`{gone}`")), F.lit(0)), "text": text}
+    out = docs.join(found, docs["doc_id"] == found[f"`{key}`"], "left").withColumns(counted).drop(key, gone)
     return out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

@@ -58,6 +58,9 @@ def test_brute_force(spark):
 def test_columns_and_empty(spark):
     line = "x" * 50
     docs = spark.createDataFrame([(1, line, "k", 50), (2, f"a\n{line}y\nb", "m", 56)], "doc_id long, text string, gone string, n_chars long")
-    got = {r.doc_id: (r.text, r.n_chars, r.n_lines, r.n_removed) for r in dedup_lines(docs.withColumnRenamed("gone", "lines")).collect()}
-    assert got == {1: (line, 50, 1, 0), 2: ("a\nb", 3, 3, 1)}
-    assert dedup_lines(docs.where("false").drop("gone")).collect() == []
+    clashing = docs.withColumn("_id", docs["doc_id"]).withColumn("h", docs["gone"]).withColumn("at", docs["n_chars"])
+    for given in (docs, clashing):
+        out = dedup_lines(given)
+        got = {r.doc_id: (r.text, r.n_chars, r.n_lines, r.n_removed, r.gone) for r in out.collect()}
+        assert got == {1: (line, 50, 1, 0, "k"), 2: ("a\nb", 3, 3, 1, "m")} and set(given.columns) < set(out.columns)
+    assert dedup_lines(docs.where("false")).collect() == []
