@@ -16,18 +16,22 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_rows, written
+from .common import arrow_rows, forget, written
 from .graphs import components
 from .sharing import shared_tags, tagged
 
 WORDS, PERCENT = 5, 75
-#: Min-hashes by which classes meet first.
-BANDS = 4
+#: Min-hashes by which classes meet first; rounds, at most, in which they then meet classes of other groups, how many for a
+#: token, and the share of meetings (one in so many) that must link for another round.
+BANDS, ROUNDS, PIVOTS, WORTH = 4, 8, 4, 10
+#: Members of a block of an opened group, and queries that meet a block in one task.
+MEMBERS, QUERIES = 64, 256
 #: Counters of the frequency sketch, whatever the input's size, and how they are cut into rows.
 COUNTERS, CHUNK = 1 << 20, 1 << 12
 #: Bytes of text that are hashed at once.
@@ -173,18 +177,54 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The whole sets of the documents in pairs (a, b), once for each text."""
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The whole sets of the documents of a list (its one column), once for each text."""
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, text in it:
             yield doc_id, shingles(text).tobytes()
 
-    ids = pairs.selectExpr("a doc_id").union(pairs.selectExpr("b")).distinct()
-    sets = arrow_rows(docs.join(_few(ids), "doc_id", "left_semi"), "id long, tokens binary", rows, out_batch=256)
+    wanted = ids.toDF("doc_id").distinct()
+    sets = arrow_rows(docs.join(_few(wanted), "doc_id", "left_semi"), "id long, tokens binary", rows, out_batch=256)
     return written(sets.dropDuplicates(["id", "tokens"]), "sets")
 
 
+def _opened(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the queries (a, h) and the members (h, b) of the groups they ask, one for a query and a block.
+
+    A group is cut into blocks of about MEMBERS, and many queries of a group into lots of about QUERIES; a task compares a
+    lot with a block's token matrix, so that neither grows with the group and no pair becomes a row.
+    """
+    blocks = members.groupBy("h").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("blocks"))
+    lots = asked.groupBy("h").agg(F.ceil(F.count("*") / F.lit(QUERIES)).cast("int").alias("lots"))
+    plan = blocks.join(lots, "h")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(plan, "h").select("a", "h", F.pmod(F.xxhash64("a"), F.col("lots")).alias("lot"), spread("blocks").alias("block"))
+    right = members.join(plan, "h").select("b", "h", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots").cast("long") - 1)).alias("lot"))
+    left = left.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").select("h", "block", "lot", "a", "ta")
+    right = right.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b").select(F.col("h").alias("h2"), F.col("block").alias("block2"), F.col("lot").alias("lot2"), "b", "tb")
+
+    def compare(queries: pa.Table, block: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if queries.num_rows and block.num_rows:
+            owned = [np.frombuffer(x, np.uint64) for x in block["tb"].to_pylist()]
+            names, n = block["b"].to_pylist(), np.array([len(x) for x in owned])
+            tokens, column = np.unique(np.concatenate(owned), return_inverse=True)
+            matrix = np.zeros((len(owned), len(tokens)), np.float32)
+            matrix[np.repeat(np.arange(len(owned)), n), column] = 1
+            for a, data in zip(queries["a"].to_pylist(), queries["ta"].to_pylist(), strict=True):
+                s = np.frombuffer(data, np.uint64)
+                at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+                same = matrix[:, at[tokens[at] == s]].sum(1).astype(np.int64)
+                linked = np.flatnonzero(100 * same >= percent * (n + len(s) - same))
+                if len(linked):
+                    found.append((a, names[linked[0]]))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return left.groupBy("h", "block", "lot").cogroup(right.groupBy("h2", "block2", "lot2")).applyInArrow(compare, "a long, b long")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that link, by their whole sets."""
     tokens = sets.select("id", "tokens")
@@ -240,26 +280,59 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     met = classes.where("id is not null").select("id", "n", F.posexplode("mins").alias("band", "low"))
     pivots = met.groupBy("band", "low").agg(F.min(F.struct(F.xxhash64("band", "id").alias("h"), F.col("id").alias("b"), F.col("n").alias("m"))).alias("p"), F.count("*").alias("k")).where("k > 1").select("band", "low", "p.b", "p.m")
     first = written(met.join(pivots, ["band", "low"]).where("id <> b").where(_fits("n", "m", percent)).select(F.col("id").alias("a"), "b").distinct(), "pairs")
-    links = written(_linked(first, _sets_of(docs, first), percent), "links")
-    group = components(links)
+    sets = _sets_of(docs, first.select("a").union(first.select("b")))
+    links = written(_linked(first, sets, percent), "links")
+    forget(first, sets)
+    group = components(links, 2)
 
-    # The matrix, and the queries that may reach another group.
     by_token = Window.partitionBy("token")
-    placed = shared.join(group.withColumnRenamed("node", "id"), "id", "left").withColumn("g", F.coalesce("component", "id"))
-    between = placed.withColumn("lo", F.min("g").over(by_token)).withColumn("hi", F.max("g").over(by_token)).where("lo < hi").select("token", "id", "n", "g")
-    between = written(between, "between")
-    matrix = between.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    reach = between.join(matrix, "token").where("h < g").where((100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n")))
-    overlap = reach.groupBy("id", "n", "h").agg(F.count("*").alias("k"), F.min("least").alias("least"), F.max("most").alias("most"))
-    asked = written(overlap.where(F.col("k") >= _bound(F.col("n"), F.col("least"), F.col("most"), percent, 2)).select("id", "h"), "asked")
-
-    # Open them: members that share enough of the query's first tokens, then whole sets.
-    queries = asked.join(between.select("id", "token", "n"), "id")
-    members = between.select(F.col("g").alias("h"), "token", F.col("id").alias("b"), F.col("n").alias("m"))
-    opened = queries.join(members, ["h", "token"]).where(_fits("n", "m", percent)).groupBy(F.col("id").alias("a"), "b", "n", "m").agg(F.count("*").alias("k"))
-    opened = opened.where(F.col("k") >= _bound(F.col("n"), F.col("m"), F.col("m"), percent, 1))
-    opened = written(opened.select("a", "b").distinct(), "opened")
-    whole = components(links.union(_linked(opened, _sets_of(docs, opened), percent)))
+
+    def sized(group: DataFrame) -> DataFrame:
+        """id, g, size of the classes that are linked at all."""
+        return group.join(group.groupBy("component").agg(F.count("*").alias("size")), "component").select(F.col("node").alias("id"), F.col("component").alias("g"), "size")
+
+    def between_groups(base: DataFrame, group: DataFrame) -> DataFrame:
+        """token, id, n, g, size of tokens that two groups still share."""
+        placed = base.select("token", "id", "n").join(sized(group), "id", "left").select("token", "id", "n", F.coalesce("g", "id").alias("g"), F.coalesce("size", F.lit(1)).alias("size"))
+        return written(placed.withColumn("lo", F.min("g").over(by_token)).withColumn("hi", F.max("g").over(by_token)).where("lo < hi").drop("lo", "hi"), "between")
+
+    # Groups grow: of a few classes for each token every class meets the one of another group with which it shares most, as
+    # many pairs as there are classes. What links here needs no look at the other pairs between the two groups.
+    between = between_groups(shared, group)
+    forget(shared)
+    for r in range(ROUNDS):
+        dealt = between.repartition("token")
+        seen = F.struct(F.col("id").alias("b"), F.col("n").alias("m"), F.col("g").alias("h_g"))
+        least = [F.min_by(seen, F.xxhash64("id", F.lit(r * PIVOTS + k))).alias(f"p{k}") for k in range(PIVOTS)]
+        chosen = dealt.groupBy("token").agg(*least).select("token", F.inline(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))))
+        meeting = dealt.join(chosen, "token").where("g <> h_g").where(_fits("n", "m", percent)).groupBy(F.col("id").alias("a"), "b", "n", "m").agg(F.count("*").alias("k"))
+        meeting = meeting.where(2 * F.col("k") >= _bound(F.col("n"), F.col("m"), F.col("m"), percent, 1)).groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
+        meeting = written(meeting, "meeting")
+        sets = _sets_of(docs, meeting.select("a").union(meeting.select("b")))
+        found = written(_linked(meeting, sets, percent), "links")
+        n_met, n_found = meeting.count(), found.count()
+        forget(meeting, sets)
+        if n_found:
+            links = links.union(found)
+            group = components(links, 2)
+            last, between = between, between_groups(between, group)
+            forget(last)
+        if WORTH * n_found < n_met:
+            break
+
+    # The matrix, and the queries that may reach another group: classes of the smaller of two groups ask the larger.
+    placed = known.join(group.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("component", "id").alias("g"))
+    dealt = between.select("token", "id", "n", F.struct("size", "g").alias("rank")).repartition("token")
+    matrix = dealt.groupBy("token", F.col("rank").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    reach = dealt.join(matrix, "token").where("rank < other").where((100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n")))
+    overlap = reach.groupBy("id", "n", F.col("other.g").alias("h")).agg(F.count("*").alias("k"), F.min("least").alias("least"), F.max("most").alias("most"))
+    asked = written(overlap.where(F.col("k") >= _bound(F.col("n"), F.col("least"), F.col("most"), percent, 2)).select(F.col("id").alias("a"), "h"), "asked")
+
+    # Open them: whole sets, block by block.
+    members = written(placed.select(F.col("g").alias("h"), F.col("id").alias("b")).join(asked.select("h").distinct(), "h", "left_semi"), "members")
+    sets = _sets_of(docs, asked.select("a").union(members.select("b")))
+    whole = components(links.union(_opened(asked, members, sets, percent)))
+    forget(between, asked, members, sets)
 
     named = classes.select("n", "sig", "id").join(whole.withColumnRenamed("node", "id"), "id", "left").select("n", "sig", F.coalesce("component", "id").alias("component_id"))
     full = each.where("n > 0").join(named, ["n", "sig"]).select("doc_id", "n", "component_id")
