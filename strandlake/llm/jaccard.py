@@ -294,7 +294,15 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     def between_groups(base: DataFrame, group: DataFrame) -> DataFrame:
         """token, id, n, g, size of tokens that two groups still share."""
         placed = base.select("token", "id", "n").join(sized(group), "id", "left").select("token", "id", "n", F.coalesce("g", "id").alias("g"), F.coalesce("size", F.lit(1)).alias("size"))
-        return written(placed.withColumn("lo", F.min("g").over(by_token)).withColumn("hi", F.max("g").over(by_token)).where("lo < hi").drop("lo", "hi"), "between")
+        each = placed.withColumns({"lo": F.min("g").over(by_token), "hi": F.max("g").over(by_token), "least": F.min("n").over(by_token), "most": F.max("n").over(by_token)}).where("lo < hi")
+        each = written(each.drop("lo", "hi"), "shared")
+        # A class must hold as many such tokens as it has to share with a partner of any size that they are shared with.
+        able = each.groupBy("id", "n").agg(F.count("*").alias("k"), F.min("least").alias("least"), F.max("most").alias("most"))
+        able = able.where(F.col("k") >= _bound(F.col("n"), F.col("least"), F.col("most"), percent, 2)).select("id", "n")
+        kept = each.drop("least", "most").join(able, ["id", "n"], "left_semi")
+        out = written(kept.withColumns({"lo": F.min("g").over(by_token), "hi": F.max("g").over(by_token)}).where("lo < hi").drop("lo", "hi"), "between")
+        forget(each)
+        return out
 
     # Groups grow: of a few classes for each token every class meets the one of another group with which it shares most, as
     # many pairs as there are classes. What links here needs no look at the other pairs between the two groups.
