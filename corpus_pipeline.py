@@ -20,8 +20,8 @@ def passing_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that repeat an earlier one; n_chars follows."""
-    return dedup_lines(docs).select(COLUMNS)
+    """All documents, without the lines that repeat an earlier one, short ones exactly; n_chars follows."""
+    return dedup_lines(docs, exact=True).select(COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import forget, let, written
+from .common import WORD, forget, let, written
 
-#: Edits up to which lines are alike, and characters from which a line is looked at (shorter ones meet by chance).
+#: Edits up to which lines are alike, and characters from which a line is held against others (shorter ones meet by chance).
 EDITS, LEAST = 2, 40
 #: A line that makes up more than a HEAVY-th of all lines is looked at once; lines (24 bytes each) that are broadcast at most.
 HEAVY, BROADCAST_LINES = 1000, 1_000_000
@@ -128,21 +128,28 @@ def _near(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return both.where(banded_distance(F.col("line"), F.col("other"), edits) <= edits).select("doc_id", "at").distinct()
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """doc_id, gone (numbers from 0, sorted) of the lines that repeat an earlier one; documents without any are left out.
 
     Lines end at \\n. Those of at least so many code points are compared with all of the corpus; a line repeats if an earlier
-    line (by doc_id, then place) is within edits, whether that one itself repeats or not. A doc_id names one text; rows that
-    repeat are treated alike. Null texts and null ids have no lines. Other columns are not read.
+    line (by doc_id, then place) is within edits, whether that one itself repeats or not. Shorter ones are left alone, or, if
+    exact, repeat if an earlier line is the same; lines without a word never do. A doc_id names one text; rows that repeat are
+    treated alike. Null texts and null ids have no lines. Other columns are not read.
     """
     if least <= 2 * edits:
         raise ValueError("lines must be longer than twice the edits")
     given = docs.where(docs[id_col].isNotNull() & docs[text_col].isNotNull()).select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    lines = given.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.char_length("line") >= least)
+    compared = F.char_length("line") >= least
+    every = given.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = every.where(compared)
+    # What a line can repeat exactly: lines of both kinds, which never meet as their lengths differ.
+    same = every.where(compared | F.col("line").rlike(WORD)) if exact else lines
 
     # Each distinct line by its hash, with its first place and how often it comes.
     place, h = F.struct("doc_id", "at"), F.xxhash64("line").alias("h")
-    firsts = written(lines.select(h, "doc_id", "at").groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("k")).select("h", "first.*", "k"), "lines")
+    hashed = same.select(h, compared.alias("compared"), "doc_id", "at")
+    first_of_all = written(hashed.groupBy("h", "compared").agg(F.min(place).alias("first"), F.count("*").alias("k")).select("h", "first.*", "k", "compared"), "lines")
+    firsts = first_of_all.where("compared").drop("compared")
 
     # Of lines that make up a HEAVY-th of all, at most HEAVY different ones, only the first gives keys.
     total = firsts.agg(F.sum("k")).first()[0] or 0
@@ -176,19 +183,21 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_c
     near = near.union(written(_near(pairs, lines_met, edits), "near"))
     forget(met, lines_met, once, pairs)
 
-    named = firsts.join(near.withColumn("near", F.lit(True)), ["doc_id", "at"], "left").where("near or k > 1").select("h", F.col("doc_id").alias("f_doc"), F.col("at").alias("f_at"), "near")
-    gone = lines.select(h, "doc_id", "at").join(named, "h").where("near or doc_id > f_doc or at > f_at")
+    named = first_of_all.join(near.withColumn("near", F.lit(True)), ["doc_id", "at"], "left").where("near or k > 1").select("h", F.col("doc_id").alias("f_doc"), F.col("at").alias("f_at"), "near")
+    gone = same.select(h, "doc_id", "at").join(named, "h").where("near or doc_id > f_doc or at > f_at")
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, exact: bool = False) -> DataFrame:
     """docs with the text of what lines are left, n_lines before and n_removed; n_chars, where there is such a column, follows.
 
+    exact takes the lines of fewer than least code points in, too: those that are the same as an earlier one go.
+
     Null texts stay null and have no lines; a null doc_id keeps its text. Every row comes back.
     """
     # Names that no column of docs has.
     key, gone = (f"_{name}{len(docs.columns)}_{'_'.join(docs.columns)}" for name in ("id", "gone"))
-    found = repeated_lines(docs, edits, least).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
+    found = repeated_lines(docs, edits, least, exact=exact).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
     lines = F.split(docs["text"], "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(f"`{gone}`"))
     text = F.when(F.col(f"`{gone}`").isNull(), docs["text"]).otherwise(let(lines, lambda x: F.array_join(F.transform(left, lambda k: F.get(x, k)), "\n")))

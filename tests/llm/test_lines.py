@@ -64,3 +64,34 @@ def test_columns_and_empty(spark):
         got = {r.doc_id: (r.text, r.n_chars, r.n_lines, r.n_removed, r.gone) for r in out.collect()}
         assert got == {1: (line, 50, 1, 0, "k"), 2: ("a\nb", 3, 3, 1, "m")} and set(given.columns) < set(out.columns)
     assert dedup_lines(docs.where("false")).collect() == []
+
+
+def test_short_lines_repeat_exactly(spark):
+    for seed in (4,):
+        rng = random.Random(seed)
+        base = ["".join(rng.choices("abcdeé ", k=rng.randint(30, 60))) for _ in range(12)] + ["All rights reserved.", "all rights reserved.", "}", "x" * 39, "x" * 40, "é"]
+        docs = [(d, "\n".join(rng.choice([edited(rng, rng.choice(base), rng.randint(0, 2)), rng.choice(base), "", " \t\r"]) for _ in range(rng.randint(0, 8)))) for d in range(40)]
+        docs += [(50, None), (51, ""), (None, "}"), (52, "\n".join(["}"] * 5)), (53, "\n\n")]
+        seen, want = set(), {}
+        near = {d: t for d, t in brute(docs) if d is not None}
+        for d, t in sorted(x for x in docs if x[0] is not None):
+            left = []
+            for x in [] if t is None else near[d].split("\n"):
+                short = len(x) < 40 and x.strip(" \t\n\v\f\r") != ""
+                if not (short and x in seen):
+                    left.append(x)
+                seen |= {x} if short else set()
+            # A text of which no line is left is empty, as one with a single empty line is.
+            want[d] = None if t is None else "\n".join(left)
+        rng.shuffle(docs)
+        got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), exact=True).collect()}
+        assert got.pop(None) == "}" and got == want
+        assert sum(t is not None and t != near[d] for d, t in want.items()) > 5
+
+
+def test_the_pipeline_removes_short_copies(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a\nAll rights reserved.", "en", "s", 22), (2, "All rights reserved.\nb\n", "en", "s", 23)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.without_repeated_lines(spark, docs, "").collect()}
+    assert got == {1: ("a\nAll rights reserved.", 22), 2: ("b\n", 2)}
