@@ -13,6 +13,8 @@ from .common import WORD, arrow_rows
 
 LEVEL, CHUNK = 3, 2048
 #: Bytes from which a band holds; lowest and highest ratio of compressed to plain bytes for a whole text of that length.
+#: Clean text's ratio falls with its length, up to the compressor's window of 2 MB: the least of de, en, es and fr was 0.370 at
+#: 64 KB, 0.365 at 256 KB, 0.355 at 1.3 MB, and did not fall further up to 20 MB. The lower limits lie about 0.035 below.
 BANDS = [
     (0, 0.0, 99.0),
     (256, 0.45, 0.90),
@@ -22,6 +24,10 @@ BANDS = [
     (4096, 0.405, 0.62),
     (8192, 0.39, 0.60),
     (16384, 0.375, 0.60),
+    (32768, 0.345, 0.60),
+    (65536, 0.335, 0.60),
+    (262144, 0.33, 0.60),
+    (1048576, 0.32, 0.60),
 ]
 #: The same for chunks of CHUNK bytes, and for a last chunk of at least half that. A shorter rest isn't judged by itself.
 CHUNK_BAND, LAST_BAND = (0.25, 0.75), (0.25, 0.85)

@@ -1,8 +1,9 @@
+import os
 import random
 
 import pytest
 
-from strandlake.llm.compression import Bands, duplicate_lines, kept_documents, quality_rules, repeated_words
+from strandlake.llm.compression import Bands, Rules, duplicate_lines, kept_documents, quality_rules, repeated_words
 
 
 SYLLABLES = [a + b for a in "bcdfghklmnprstvw" for b in ("a", "e", "i", "o", "u", "an", "er")]
@@ -65,3 +66,32 @@ def test_kept_documents(spark):
 @pytest.mark.parametrize("text", ["", "a", "a\na", "a\n \na\nb"])
 def test_lines_and_words(text):
     assert duplicate_lines(text) == brute(text)[3] and repeated_words(words_of(text)) == brute(text)[4]
+
+
+DATA = "/root/testdata/check_s"
+
+
+def test_long_clean_texts():
+    rng = random.Random(2)
+    vocab = ["".join(rng.choices(SYLLABLES, k=rng.randint(1, 3))) for _ in range(8000)]
+    prose = " ".join(rng.choices(vocab, [1 / (k + 2) for k in range(len(vocab))], k=500_000)).encode()
+    bands = Bands()
+    for n in (100_000, 500_000, 1_500_000, len(prose)):
+        assert bands.within(prose[:n]), (n, bands.size(prose[:n]) / n)
+    assert len(prose) > 2_500_000 and bands.size(prose) < 0.375 * len(prose)
+    assert not bands.within(prose[:500_000] * 5) and not bands.within(prose[:40_000] * 2)
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="the tables are not here")
+@pytest.mark.parametrize("lang", ["en", "de", "fr", "es"])
+def test_long_clean_texts_of_each_language(lang):
+    import pyarrow.parquet as pq
+
+    labels = pq.read_table(f"{DATA}/labels.parquet", columns=["doc_id", "quality"]).to_pylist()
+    good = {r["doc_id"] for r in labels if r["quality"] == 1}
+    docs = pq.read_table(f"{DATA}/documents.parquet", columns=["doc_id", "text", "lang"], filters=[("lang", "=", lang)]).to_pylist()
+    text = "\n".join(dict.fromkeys(x for d in docs if d["doc_id"] in good for x in (d["text"] or "").split("\n")))[:4_000_000]
+    assert len(text) > 2_000_000
+    rules = Rules()
+    for n in (40_000, 100_000, 400_000, 1_100_000, len(text)):
+        assert rules.judge(text[:n])[-1], (lang, n)
