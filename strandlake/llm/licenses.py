@@ -1,11 +1,14 @@
 """License scans by sentence rules, in DataFrame functions only.
 
 Sentences are normalised and mapped to identifiers of known licence sentences; the sequence of identifiers of a text is then
-matched against ordered rules, the first that fits a place taking it.
+matched against ordered rules, the first that fits a place taking it. A known sentence may run over cuts: wrapped lines, or
+marks inside it.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,6 +99,8 @@ RULES = [
 
 #: A sentence ends at a line's end, or at . ! ? ; : before white space.
 SPLIT = r"\n|[.!?;:](?=[\x20\x09-\x0D]|$)"
+#: A piece that numbers a clause ("1." in front of it) and is no sentence.
+NUMBER = r"^[0-9]{1,2}$"
 #: Each known sentence holds one of these; a text without any of them needs no look at its sentences.
 HINTS = ("licen", "permi", "software", "warranty", "redistribution", "mozilla", "cc0", "cc by", "compliance")
 
@@ -111,19 +116,24 @@ def normalised(sentence: Column) -> Column:
 def license_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list = RULES, hints: tuple = HINTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_known (known sentences in the text), licenses (of the rules that fit, sorted, each once), n_matches.
 
-    Sentences follow each other if no other sentence stands between them; empty ones (nothing but marks) do not count. A
-    sentence belongs to the first rule that fits. Null and empty texts have none. Rows that repeat are each scanned; null ids
+    Sentences follow each other if no other sentence stands between them; empty ones (nothing but marks) and bare list numbers
+    do not count. A known sentence is found from cut to cut, however many cuts lie between its words; of two that share words
+    the longer is taken. A sentence belongs to the first rule that fits. Null and empty texts have none. Rows that repeat are each scanned; null ids
     stay. Nothing is shuffled, and other columns are not read.
     """
     ids = identifiers(sentences)
     if any(not any(h in text for h in hints) for text in sentences.values()):
         raise ValueError("a known sentence holds none of the hints")
-    known = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
     text = F.coalesce(docs[text_col], F.lit(""))
-    # Lines of a text are joined nowhere: a known sentence that is broken over lines is not known.
-    found = F.filter(F.transform(F.split(text, SPLIT), normalised), lambda s: s != "")
-    numbers = F.transform(found, lambda s: F.coalesce(F.try_element_at(known, s), F.lit(0)))
-    looked = F.when(text.rlike("(?i)" + "|".join(h.replace(" ", "[^a-z0-9+]+") for h in hints)), numbers).otherwise(F.array().cast("array<int>"))
+    found = F.filter(F.transform(F.split(text, SPLIT), normalised), lambda s: (s != "") & ~s.rlike(NUMBER))
+    # The pieces between line feeds; known sentences are replaced by their numbers behind a mark that no piece holds.
+    pieces = F.concat(F.lit("\n"), F.array_join(found, "\n"), F.lit("\n"))
+    for known in sorted(ids, key=lambda x: (-len(x.split()), ids[x])):
+        pieces = F.regexp_replace(pieces, "\n" + "[ \n]".join(map(re.escape, known.split())) + "(?=\n)", f"\n#{ids[known]}")
+    numbers = F.transform(F.filter(F.split(pieces, "\n"), lambda s: s != ""), lambda s: F.when(s.startswith("#"), s.substr(F.lit(2), F.lit(9)).cast("int")).otherwise(0))
+    hinted = text.rlike("(?i)" + "|".join(h.replace(" ", "[^a-z0-9+]+") for h in hints))
+    given = docs.select(docs[id_col].alias("doc_id"), F.when(hinted, numbers).otherwise(F.array().cast("array<int>")).alias("looked"))
+    looked = given["looked"]
     # The sequence as text: each number between commas; matched rules are replaced by marks that no later rule can touch.
     line = F.concat(F.lit(","), F.array_join(F.transform(looked, lambda k: F.concat(k.cast("string"), F.lit(","))), ","), F.lit(","))
     by_name = {name: k for k, name in enumerate(sentences, 1)}
@@ -132,5 +142,5 @@ def license_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
         pattern = ",,".join(str(by_name[x]) for x in sequence)
         line = F.replace(line, F.lit(f",{pattern},"), F.lit(f",L{names.index(name)},"))
     marks = F.regexp_extract_all(F.col("line"), F.lit(r",L(\d+),"), F.lit(1))
-    held = docs.select(docs[id_col].alias("doc_id"), F.size(F.filter(looked, lambda k: k > 0)).alias("n_known"), line.alias("line"))
+    held = given.select("doc_id", F.size(F.filter(looked, lambda k: k > 0)).alias("n_known"), line.alias("line"))
     return held.select("doc_id", "n_known", F.array_sort(F.array_distinct(F.transform(marks, lambda m: F.get(F.array(*[F.lit(n) for n in names]), m.cast("int"))))).alias("licenses"), F.size(marks).alias("n_matches"))
