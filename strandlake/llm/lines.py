@@ -1,8 +1,9 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-Two lines within EDITS edits share one of EDITS + 1 segments of the shorter, at nearly the same place. Every distinct line
-offers its segments to an index by length, place and content, and probes it with the substrings where a shorter or equally
-long line's segments can lie. Lines that meet are verified with a banded bit-parallel edit distance.
+Two lines within k edits share one of k + 1 segments of the shorter, at nearly the same place; k grows with the shorter line's
+length, up to EDITS. Every distinct line offers its segments to an index by length, place and content, and probes it with the
+substrings where a shorter or equally long line's segments can lie. Lines that meet are verified with a banded bit-parallel
+edit distance.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from pyspark.sql.window import Window
 
 from .common import WORD, forget, let, written
 
-#: Edits up to which lines are alike, and characters from which a line is held against others (shorter ones meet by chance).
-EDITS, LEAST = 2, 40
+#: Edits up to which lines are alike at most, and the characters of the shorter line for each edit: one line may differ from
+#: another in so many of its characters, at every length; below the first CHARACTERS that is none, so these repeat exactly.
+EDITS, CHARACTERS = 2, 20
 #: A line that makes up more than a HEAVY-th of all lines is looked at once; lines (24 bytes each) that are broadcast at most.
-HEAVY, BROADCAST_LINES = 1000, 1_000_000
+HEAVY, BROADCAST_LINES = 1000, 250_000
 
 
 def _segments(length: Column, pieces: int) -> list[tuple[Column, Column]]:
@@ -43,19 +45,38 @@ def _counts(line: str) -> list[Column]:
     return [(F.length(line) - F.length(F.translate(line, c, ""))).alias(f"n_{c}") for c in COUNTED]
 
 
-def _keys(line: str, length: str, edits: int) -> Column:
+def _profiles(edits: int, characters: int) -> list[tuple[int, list[int]]]:
+    """Lengths from which on, and the edits that are allowed to lines shorter by 0, 1, ... characters; -1 where these are too few."""
+    allowed = lambda n: min(edits, n // characters)
+    of = lambda n: [e if n >= gap and (e := allowed(n - gap)) >= max(gap, 1) else -1 for gap in range(edits + 1)]
+    out: list[tuple[int, list[int]]] = []
+    for n in range(edits * (characters + 1) + 1):
+        if not out or out[-1][1] != of(n):
+            out.append((n, of(n)))
+    return out
+
+
+def _keys(line: str, length: str, edits: int, characters: int) -> Column:
     """role (0: index, 1: probe), key of each segment of the flat line and of each substring that can be another's segment."""
-    pieces, out = edits + 1, []
     # The length of the shorter line, the segment's number and its text.
     key = lambda size, k, at, n: F.xxhash64(size, F.lit(k), F.col(line).substr(at, n))
-    for k, (at, n) in enumerate(_segments(F.col(length), pieces)):
-        out.append(F.struct(F.lit(0).alias("role"), key(F.col(length), k, at, n).alias("key")))
-    for gap in range(edits + 1):
-        size = F.col(length) - gap
-        for k, (at, n) in enumerate(_segments(size, pieces)):
-            for move in range(max(-k, gap - (edits - k)), min(k, gap + (edits - k)) + 1):
-                out.append(F.struct(F.lit(1).alias("role"), key(size, k, at + move, n).alias("key")))
-    return F.array(*out)
+
+    def of(profile: list[int]) -> Column:
+        out = []
+        for k, (at, n) in enumerate(_segments(F.col(length), profile[0] + 1) if profile[0] > 0 else []):
+            out.append(F.struct(F.lit(0).alias("role"), key(F.col(length), k, at, n).alias("key")))
+        for gap, most in enumerate(profile):
+            size = F.col(length) - gap
+            for k, (at, n) in enumerate(_segments(size, most + 1) if most > 0 else []):
+                for move in range(max(-k, gap - (most - k)), min(k, gap + (most - k)) + 1):
+                    out.append(F.struct(F.lit(1).alias("role"), key(size, k, at + move, n).alias("key")))
+        return F.array(*out) if out else F.array().cast("array<struct<role:int,key:bigint>>")
+
+    first, *more = _profiles(edits, characters)
+    keys = of(first[1])
+    for least, profile in more:
+        keys = F.when(F.col(length) >= least, of(profile)).otherwise(keys)
+    return keys
 
 
 def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -122,32 +143,37 @@ def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     return F.when(F.abs(F.char_length(a) - F.char_length(b)) > edits, F.abs(F.char_length(a) - F.char_length(b))).when(empty, F.greatest(F.char_length(a), F.char_length(b))).otherwise(let(chars, lambda x: let(middle(x), distance)))
 
 
-def _near(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """doc_id, at of the targets (doc_id, at) that lie within edits of their witness (w_doc, w_at)."""
+def allowed_edits(a: Column, b: Column, edits: int = EDITS, characters: int = CHARACTERS) -> Column:
+    """So many edits may lie between two lines."""
+    return F.least(F.lit(edits), F.floor(F.least(F.char_length(a), F.char_length(b)) / characters).cast("int"))
+
+
+def _near(pairs: DataFrame, texts: DataFrame, edits: int, characters: int) -> DataFrame:
+    """doc_id, at of the targets (doc_id, at) that lie within the allowed edits of their witness (w_doc, w_at)."""
     both = pairs.join(texts, ["doc_id", "at"]).join(texts.selectExpr("doc_id w_doc", "at w_at", "line other"), ["w_doc", "w_at"])
-    return both.where(banded_distance(F.col("line"), F.col("other"), edits) <= edits).select("doc_id", "at").distinct()
+    line, other = F.col("line"), F.col("other")
+    return both.where(banded_distance(line, other, edits) <= allowed_edits(line, other, edits, characters)).select("doc_id", "at").distinct()
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = EDITS, characters: int = CHARACTERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, gone (numbers from 0, sorted) of the lines that repeat an earlier one; documents without any are left out.
 
-    Lines end at \\n. Those of at least so many code points are compared with all of the corpus; a line repeats if an earlier
-    line (by doc_id, then place) is within edits, whether that one itself repeats or not. Shorter ones are left alone, or, if
-    exact, repeat if an earlier line is the same; lines without a word never do. A doc_id names one text; rows that repeat are
-    treated alike. Null texts and null ids have no lines. Other columns are not read.
+    Lines end at \\n; those with a word are compared with all of the corpus, those without one never repeat. A line repeats if
+    an earlier line (by doc_id, then place) is within min(edits, n / characters) edits, n being the shorter one's length in
+    code points, whether that one itself repeats or not. Under so many characters lines thus repeat if they are the same. A
+    doc_id names one text; rows that repeat are treated alike. Null texts and null ids have no lines. Other columns are not
+    read. The tables on the way are deleted; what comes back is a written table.
     """
-    if least <= 2 * edits:
-        raise ValueError("lines must be longer than twice the edits")
+    if characters <= edits:
+        raise ValueError("an edit needs more characters than there are edits")
     given = docs.where(docs[id_col].isNotNull() & docs[text_col].isNotNull()).select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    compared = F.char_length("line") >= least
-    every = given.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    every = given.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.col("line").rlike(WORD))
+    compared = F.char_length("line") >= characters
     lines = every.where(compared)
-    # What a line can repeat exactly: lines of both kinds, which never meet as their lengths differ.
-    same = every.where(compared | F.col("line").rlike(WORD)) if exact else lines
 
     # Each distinct line by its hash, with its first place and how often it comes.
     place, h = F.struct("doc_id", "at"), F.xxhash64("line").alias("h")
-    hashed = same.select(h, compared.alias("compared"), "doc_id", "at")
+    hashed = every.select(h, compared.alias("compared"), "doc_id", "at")
     first_of_all = written(hashed.groupBy("h", "compared").agg(F.min(place).alias("first"), F.count("*").alias("k")).select("h", "first.*", "k", "compared"), "lines")
     firsts = first_of_all.where("compared").drop("compared")
 
@@ -156,7 +182,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_c
     heavy = firsts.where(F.col("k") * HEAVY > total).select("h", F.col("doc_id").alias("f_doc"), F.col("at").alias("f_at"))
     given_once = lines.select(h, "doc_id", "at", "line").join(F.broadcast(heavy), "h", "left").where("f_doc is null or (doc_id = f_doc and at = f_at)")
     flat = given_once.select("h", _flat("line").alias("flat"), F.char_length("line").alias("n"))
-    keyed = flat.select("h", F.inline(_keys("flat", "n", edits)))
+    keyed = flat.select("h", F.inline(_keys("flat", "n", edits, characters)))
 
     # Keys at which different lines meet, in one pass over each key's rows.
     by_key = Window.partitionBy("key")
@@ -171,33 +197,34 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id_c
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
     lines_met = written(lines.select(h, "doc_id", "at", "line").join(wanted, ["h", "doc_id", "at"]).select("doc_id", "at", "line", *_counts("line")).distinct(), "texts")
     once = written(once, "once")
-    near = written(_near(once, lines_met, edits), "near")
+    near_first = written(_near(once, lines_met, edits, characters), "near")
 
     # Then what is left against every earlier line of its keys whose letters are nearly the same.
     counted = met.drop("h").join(lines_met.drop("line"), ["doc_id", "at"])
-    rest = counted.join(near, ["doc_id", "at"], "left_anti")
+    rest = counted.join(near_first, ["doc_id", "at"], "left_anti")
     other = counted.select("key", (1 - F.col("role")).alias("role"), F.col("doc_id").alias("w_doc"), F.col("at").alias("w_at"), *[F.col(f"n_{c}").alias(f"w_{c}") for c in COUNTED])
     apart = sum((F.abs(F.col(f"n_{c}") - F.col(f"w_{c}")) for c in COUNTED), F.lit(0))
     pairs = rest.join(other, ["key", "role"]).where("w_doc < doc_id or (w_doc = doc_id and w_at < at)").where(apart <= 2 * edits).select("doc_id", "at", "w_doc", "w_at").distinct().join(once, ["doc_id", "at", "w_doc", "w_at"], "left_anti")
     pairs = written(pairs, "rest")
-    near = near.union(written(_near(pairs, lines_met, edits), "near"))
-    forget(met, lines_met, once, pairs)
+    near_rest = written(_near(pairs, lines_met, edits, characters), "near")
+    near = near_first.union(near_rest)
 
     named = first_of_all.join(near.withColumn("near", F.lit(True)), ["doc_id", "at"], "left").where("near or k > 1").select("h", F.col("doc_id").alias("f_doc"), F.col("at").alias("f_at"), "near")
-    gone = same.select(h, "doc_id", "at").join(named, "h").where("near or doc_id > f_doc or at > f_at")
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("gone"))
-
+    gone = every.select(h, "doc_id", "at").join(named, "h").where("near or doc_id > f_doc or at > f_at")
+    gone = written(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("gone")), "gone")
+    forget(first_of_all, met, lines_met, once, near_first, pairs, near_rest)
+    return gone
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, exact: bool = False) -> DataFrame:
-    """docs with the text of what lines are left, n_lines before and n_removed; n_chars, where there is such a column, follows.
 
-    exact takes the lines of fewer than least code points in, too: those that are the same as an earlier one go.
+def dedup_lines(docs: DataFrame, edits: int = EDITS, characters: int = CHARACTERS) -> DataFrame:
+    """docs with the text of what lines are left (repeated_lines says which go), n_lines before and n_removed; n_chars, where
+    there is such a column, follows.
 
-    Null texts stay null and have no lines; a null doc_id keeps its text. Every row comes back.
+    Null texts stay null and have no lines; a null doc_id keeps its text. Every row comes back, and an empty table stays empty.
     """
     # Names that no column of docs has.
     key, gone = (f"_{name}{len(docs.columns)}_{'_'.join(docs.columns)}" for name in ("id", "gone"))
-    found = repeated_lines(docs, edits, least, exact=exact).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
+    found = repeated_lines(docs, edits, characters).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
     lines = F.split(docs["text"], "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(f"`{gone}`"))
     text = F.when(F.col(f"`{gone}`").isNull(), docs["text"]).otherwise(let(lines, lambda x: F.array_join(F.transform(left, lambda k: F.get(x, k)), "\n")))

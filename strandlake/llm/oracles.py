@@ -51,12 +51,12 @@ m AS (SELECT doc_id, k, ',' || array_to_string([CAST(x AS VARCHAR) || ',' FOR x
 f AS (SELECT doc_id, k, regexp_extract_all({_ruled()}, ',L(\\d+),', 1) AS f FROM m)
 SELECT doc_id, CAST(len([x FOR x IN k IF x > 0]) AS INTEGER) AS n_known, array_to_string(list_sort(list_distinct([({_NAMES!r})[CAST(x AS INTEGER) + 1] FOR x IN f])), ',') AS licenses, CAST(len(f) AS INTEGER) AS n_matches FROM f"""
 
-#: All pairs of different lines whose lengths are near.
+#: All pairs of different lines whose lengths are near; a line with a word may differ in one of twenty characters, in two at most.
 LINES = """
 WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, unnest(range(0, len(x))) AS k, unnest(x) AS line FROM t),
-f AS (SELECT line, min(row(doc_id, k)) AS f FROM l WHERE length(line) >= 40 GROUP BY line),
-near AS (SELECT DISTINCT a.line, true AS near FROM f a JOIN f b ON length(b.line) BETWEEN length(a.line) - 2 AND length(a.line) + 2 AND b.f < a.f WHERE levenshtein(a.line, b.line) <= 2),
+f AS (SELECT line, min(row(doc_id, k)) AS f FROM l WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> '' GROUP BY line),
+near AS (SELECT DISTINCT a.line, true AS near FROM f a JOIN f b ON length(b.line) BETWEEN length(a.line) - 2 AND length(a.line) + 2 AND b.f < a.f WHERE length(a.line) >= 20 AND length(b.line) >= 20 AND levenshtein(a.line, b.line) <= least(2, length(a.line) // 20, length(b.line) // 20)),
 v AS (SELECT doc_id, k, line, coalesce(near OR row(doc_id, k) <> f, false) AS gone FROM l LEFT JOIN f USING (line) LEFT JOIN near USING (line))
 SELECT d.doc_id, CAST(count(v.k) AS INTEGER) AS n_lines, CAST(count(*) FILTER (gone) AS INTEGER) AS n_removed, CASE WHEN any_value(d.text) IS NOT NULL THEN md5(coalesce(string_agg(v.line, chr(10) ORDER BY v.k) FILTER (NOT gone), '')) END AS kept_md5
 FROM documents d LEFT JOIN v ON v.doc_id = d.doc_id GROUP BY d.doc_id"""
