@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -27,8 +28,11 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of our own in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder or _own_folder()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

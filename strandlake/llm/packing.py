@@ -6,6 +6,7 @@ import functools
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 import public_tokenizers
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import arrow_rows
 
 MODEL, CAPACITY, END_ID = "byte_bpe_50k.json", 1024, 2
-#: Bins that are open at once, and pieces that one task packs about.
-OPEN_BINS, PIECES_A_TASK = 16_384, 50_000
+#: Bins that are open at once, pieces that arrive together (the long ones are placed first), and pieces that one task packs at most.
+OPEN_BINS, WINDOW, PIECES_A_TASK = 1024, 2048, 100_000
 KEPT_PRETOKENS, KEPT_LENGTH = 1_000_000, 64
 #: Texts with other characters than these go to the tokenizer whole: the two Unicode tables might differ on them.
 UNUSUAL = re.compile("[^\t\n\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧]|<\\|")
@@ -87,7 +88,7 @@ class BestFit:
     def __init__(self, capacity: int, open_bins: int):
         self.capacity, self.most = capacity, open_bins
         self.bins: list[list[int]] = [[] for _ in range(capacity + 1)]
-        self.set, self.open, self.made = 0, 0, 0
+        self.set, self.open, self.made, self.closed = 0, 0, 0, 0
 
     def take(self, free: int) -> int:
         held = self.bins[free]
@@ -105,6 +106,7 @@ class BestFit:
         else:
             if self.open >= self.most:
                 self.take((self.set & -self.set).bit_length() - 1)
+                self.closed += 1
             number, free = self.made, self.capacity
             self.made += 1
         if left := free - length:
@@ -122,26 +124,29 @@ def placed(lengths: Iterable[int], capacity: int = CAPACITY, open_bins: int = OP
 def pack(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, pieces_a_task: int = PIECES_A_TASK, n_rows: int | None = None) -> DataFrame:
     """cut (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
-    The pieces are dealt by a hash of all their columns over as many tasks as their number asks for; each task packs its
-    own, the long ones first, in memory bounded by open_bins. A piece never moves between tasks, so a task that is lost is
-    packed again alike. n_rows: about how many rows there are; counted where it isn't given.
+    The pieces are dealt by a hash of all their columns over as many tasks as their number asks for, and arrive in the order
+    of another; each task packs its own as they come, window by window, in memory bounded by open_bins and WINDOW. A piece
+    never moves between tasks and the order is fixed, so a task that is lost is packed again alike. n_rows: how many rows
+    there are at most; counted where it isn't given.
     """
     tasks = max(1, -(-(cut.count() if n_rows is None else n_rows) // pieces_a_task))
-    dealt = cut.repartition(tasks, *cut.columns).sortWithinPartitions(F.desc("length"), *[c for c in cut.columns if c != "length"])
+    dealt = cut.repartition(tasks, *cut.columns).sortWithinPartitions(F.xxhash64(F.lit(1), *cut.columns), *cut.columns)
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         first, fit = TaskContext.get().partitionId() << 32, BestFit(capacity, open_bins)
-        for row in it:
-            number, offset = fit.put(row[3])
-            yield *row, first + number, offset
+        for window in batched(it, WINDOW):
+            for row in sorted(window, key=lambda row: -row[3]):
+                number, offset = fit.put(row[3])
+                yield *row, first + number, offset
 
     return arrow_rows(dealt, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long", rows)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, path: str | None = None) -> DataFrame:
     """Every document cut and packed; an empty table gives none. Other columns of docs are not read."""
-    n_rows = docs.count()
-    return pack(pieces(docs, capacity, path), capacity, open_bins, n_rows=2 * n_rows)
+    # A token has a byte at least, so there are no more pieces than this.
+    n_docs, n_bytes = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    return pack(pieces(docs, capacity, path), capacity, open_bins, n_rows=n_docs + (n_bytes or 0) // capacity)
 
 
 def sequences(packed_with_ids: DataFrame) -> DataFrame:

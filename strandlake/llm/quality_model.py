@@ -1,13 +1,14 @@
 """Quality classifier by attention-based multiple-instance learning.
 
 A text is a bag of passages. Every passage is encoded, a gated attention learned from the labels of whole texts weighs the
-codes, and their weighted sum is scored. The model is trained on the driver from a bounded sample of labelled texts, and
-applied to every passage of every text.
+codes, and their weighted sum is scored. The model is trained on the driver from all passages of a bounded sample of labelled
+texts, and applied to every passage of every text.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,8 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows
 
-#: Words of a passage; labelled texts to learn from; passages of such a text, evenly spaced where it has more.
-PASSAGE, SAMPLE, BAG = 64, 3000, 64
+#: Words of a passage; labelled texts to learn from, and the passages of all of them together: the sample ends where the next
+#: text would be one too many of either. A text in the sample gives all its passages.
+PASSAGE, SAMPLE, SAMPLE_PASSAGES = 64, 3000, 200_000
+#: Counters into which words are hashed.
+HASHED = 64
 CODE, GATE, ROUNDS, RATE, DECAY, SEED = 16, 8, 250, 0.02, 1e-4, 7
 THRESHOLD, FOLDS, HELD_OUT = 0.7, 4, 2
 
@@ -36,7 +40,7 @@ def _class_table() -> np.ndarray:
 
 
 _TABLE = _class_table()
-N_FEATURES = _TABLE.shape[1] + 11
+N_FEATURES = _TABLE.shape[1] + 11 + HASHED
 
 
 def passages(text: str | None, words: int = PASSAGE) -> np.ndarray:
@@ -63,7 +67,8 @@ def passages(text: str | None, words: int = PASSAGE) -> np.ndarray:
         ended = sum(w[-1] in b".,;:?" for w in part) / n
         upper = sum(w.isupper() and len(w) > 1 for w in part) / n
         title = sum(65 <= w[0] <= 90 for w in part) / n
-        rows.append([*share, len(kinds) / n, len(windows) / max(1, n - 2), again, same, marked, ended, upper, title, (len(joined) - n + 1) / n / 10, min(lines, 5), math.log(n) / 4])
+        hashed = np.bincount([zlib.crc32(w) % HASHED for w in part], minlength=HASHED) / n
+        rows.append([*share, *hashed, len(kinds) / n, len(windows) / max(1, n - 2), again, same, marked, ended, upper, title, (len(joined) - n + 1) / n / 10, min(lines, 5), math.log(n) / 4])
     return np.array(rows, np.float32)
 
 
@@ -134,20 +139,31 @@ def _held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bag: int = BAG, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """From at most sample labelled texts outside the held-out fold, chosen by a hash of the id; the sample goes to the driver."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_passages: int = SAMPLE_PASSAGES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """From labelled texts outside the held-out fold, in the order of a hash of the id, until sample or sample_passages is
+    reached; these go to the driver. Labels without a document, or other than 0 and 1, are passed over."""
     known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~_held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    there = docs.select(docs[id_col].cast("long").alias("doc_id"))
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y")).join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(known), "doc_id")  # sample rows of two numbers
+    # Passages are counted first, where the texts are, so that no more than the bound leaves for the driver.
+    words = F.size(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " "))
+    sizes = texts.select("doc_id", F.ceil(words / PASSAGE).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"), F.xxhash64("doc_id").alias("o"))
+    chosen, total = [], 0
+    for doc_id, n, _ in sizes.orderBy("o", "doc_id").collect():  # sample rows of three numbers
+        total += n
+        if total > sample_passages:
+            break
+        chosen.append((doc_id,))
+    if not chosen:
+        return fit([], [])
+    chosen = docs.sparkSession.createDataFrame(chosen, "doc_id long")
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         for doc_id, y, text in it:
-            x = passages(text)
-            if len(x) > bag:
-                x = x[np.linspace(0, len(x) - 1, bag).astype(int)]
-            yield doc_id, y, x.tobytes()
+            yield doc_id, y, passages(text).tobytes()
 
-    found = sorted(map(tuple, arrow_rows(texts.select("doc_id", "y", "text"), "doc_id long, y int, x binary", rows).collect()))
+    found = sorted(map(tuple, arrow_rows(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text"), "doc_id long, y int, x binary", rows, out_batch=64).collect()))
     return fit([np.frombuffer(x, np.float32).reshape(-1, N_FEATURES) for _, _, x in found], [y for _, y, _ in found])
 
 

@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from strandlake.llm.decontamination import _fingerprints, _pairs_within_radius, clean_documents, contaminated
+from strandlake.llm.decontamination import RADIUS, _fingerprints, _met, _pairs_within_radius, clean_documents, contaminated
 
 
 def words_of(text):
@@ -83,7 +83,7 @@ def test_all_within_the_radius(spark):
             x ^= 1 << b
         windows.append((i, 5, 10, signed(x)))
     got = _pairs_within_radius(spark.createDataFrame(windows, "sid long, width int, m int, fp long"), spark.createDataFrame(items, "item long, width int, m int, fp long")).collect()
-    want = {(w[0], i[0]) for w in windows for i in items if ((w[3] ^ i[3]) & (2**64 - 1)).bit_count() <= 23}
+    want = {(w[0], i[0]) for w in windows for i in items if ((w[3] ^ i[3]) & (2**64 - 1)).bit_count() <= RADIUS}
     assert {(r.sid, r.item) for r in got} == want
 
 
@@ -94,3 +94,21 @@ def test_fingerprint_is_the_majority(spark):
         got = {r.id: r.fp & (2**64 - 1) for r in _fingerprints(spark.createDataFrame(sets, "id int, s array<bigint>"), ["id"], field).collect()}
         for i, s in sets:
             assert got[i] == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in s) > len(s))
+
+
+def test_chance_and_recall_of_the_blocks(spark):
+    rng = random.Random(3)
+    fresh = lambda: rng.getrandbits(63) - rng.getrandbits(63)
+    # Chance: windows against items of their size that they share nothing with.
+    table = lambda name, n: spark.createDataFrame([(i, 5, 30, fresh()) for i in range(n)], f"{name} long, width int, m int, fp long")
+    windows, items = table("sid", 200), table("item", 100)
+    assert _met(windows, items).count() < 0.2 * 200 * 100
+    assert _pairs_within_radius(windows, items).count() < 0.003 * 200 * 100
+    # Recall at the threshold itself: 6 of 7 shingles in common is a similarity of 0.75.
+    sets = []
+    for k in range(400):
+        m = 7 * rng.randint(2, 12)
+        own = [fresh() for _ in range(m)]
+        sets += [(k, own), (k + 1000, own[: 6 * m // 7] + [fresh() for _ in range(m // 7)])]
+    fp = {r.id: r.fp & (2**64 - 1) for r in _fingerprints(spark.createDataFrame(sets, "id int, s array<bigint>"), ["id"]).collect()}
+    assert sum((fp[k] ^ fp[k + 1000]).bit_count() <= RADIUS for k in range(400)) >= 392

@@ -68,3 +68,20 @@ def test_no_labels_and_no_documents(spark):
     assert Q.classify(docs, labels).first().score == 0.5
     assert Q.classify(docs.where("false"), labels).collect() == []
     assert Q.passages("x " * 500).shape == (8, Q.N_FEATURES) and not Q.passages(None).any()
+
+
+def test_the_sample_is_bounded_by_whole_texts(spark):
+    rows = [(1, "junk### " * 100, 0), (2, "good word " * 200, 1), (3, "x " * 64 * 500, 1)] + texts(20)[4:]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows] + [(k, 1) for k in range(5000, 5100)], "doc_id long, quality int")
+    seen = []
+    old = Q.fit
+    try:
+        Q.fit = lambda bags, labels: seen.append(sorted(map(len, bags))) or old(bags, labels, 1)
+        Q.learn(docs, labels)
+        Q.learn(docs, labels, sample=5)
+        Q.learn(docs, labels, sample_passages=20)
+    finally:
+        Q.fit = old
+    every = sorted(len(Q.passages(t)) for d, t, _ in rows if zlib.crc32(str(d).encode()) % 4 != 2)
+    assert seen[0] == every and 500 in every and len(seen[1]) == 5 and sum(seen[2]) <= 20
