@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -14,8 +15,10 @@ def _own_folder() -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, computed now and kept in spark.checkpoint.dir; where that is unset, in a folder of our own."""
+    """df, computed now and kept in spark.checkpoint.dir; where that is unset, in a folder of our own in local mode only."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(_own_folder())
     return df.checkpoint()
