@@ -61,12 +61,32 @@ v AS (SELECT doc_id, k, line, coalesce(near OR row(doc_id, k) <> f, false) AS go
 SELECT d.doc_id, CAST(count(v.k) AS INTEGER) AS n_lines, CAST(count(*) FILTER (gone) AS INTEGER) AS n_removed, CASE WHEN any_value(d.text) IS NOT NULL THEN md5(coalesce(string_agg(v.line, chr(10) ORDER BY v.k) FILTER (NOT gone), '')) END AS kept_md5
 FROM documents d LEFT JOIN v ON v.doc_id = d.doc_id GROUP BY d.doc_id"""
 
-#: No tool calls: each conversation's messages by turn.
-CHATS = """
-WITH m AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
-SELECT conv_id, turn // 1024 AS part, count(*) AS n_messages, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS n_invalid, CAST(0 AS BIGINT) AS n_left_out, false AS cyclic,
-  '[' || string_agg('{"content":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"role":' || CAST(to_json(coalesce(role, '')) AS VARCHAR) || '}', ',' ORDER BY turn) || ']' AS chat
-FROM m GROUP BY conv_id, turn // 1024"""
+_AT = lambda k: f"('c' || (turn + {k}))"
+_NUMBER_AT = lambda k: f"('0x' || h[{k}])::INT"
+_ANSWER = lambda when, move, to, content: f"""SELECT conv_id, turn + {move} AS turn, 'tool' AS role, '{{"content":"' || h[{content}:{content + 7}] || '","role":"tool","tool_call_id":"' || {to} || '"}}' AS message, NULL AS id, NULL AS name, NULL AS good, NULL AS waits, {to} AS answers FROM k WHERE {when}"""
+#: Calls and results as the query derives them; first ones, links, what stands behind what by walking all ways, circles by
+#: what reaches itself, and each conversation's messages in order.
+CHATS = f"""
+WITH RECURSIVE c AS (SELECT DISTINCT conv_id, turn, role, text, md5(conv_id || ':' || turn) AS h FROM conversations),
+k AS (SELECT *, CASE WHEN h[2] < 'a' THEN 'search' WHEN h[2] < 'e' THEN 'total' ELSE 'forecast' END AS name FROM c WHERE role = 'assistant' AND h[1] < '8'),
+m AS (SELECT conv_id, turn, role, '{{"content":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"role":' || CAST(to_json(coalesce(role, '')) AS VARCHAR) || '}}' AS message, NULL AS id, NULL AS name, NULL AS good, NULL AS waits, NULL AS answers FROM c WHERE (role = 'assistant' AND h[1] < '8') IS NOT TRUE
+UNION SELECT conv_id, turn, role, '{{"content":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"role":"assistant","tool_calls":[{{"arguments":{{' ||
+  CASE WHEN name = 'search' THEN '"limit":' || {_NUMBER_AT(3)} || ',"query":"' || h[1:8] || '"' WHEN h[4] < 'c' THEN '"a":' || {_NUMBER_AT(3)} || ',"b":' || {_NUMBER_AT(4)} ELSE '"a":' || {_NUMBER_AT(3)} END || '}},"id":"' || {_AT(0)} || '","name":"' || name || '"}}]}}',
+  {_AT(0)}, name, CASE name WHEN 'search' THEN h[3] < 'c' WHEN 'total' THEN h[4] < 'c' END, [x FOR x IN [CASE WHEN h[5] < '8' THEN {_AT(-2)} END, CASE WHEN h[6] >= 'c' THEN {_AT(2)} END] IF x IS NOT NULL], NULL FROM k
+UNION {_ANSWER("h[7] < 'c'", 0, _AT(0), 9)} UNION {_ANSWER("h[7] IN ('c', 'd')", -1, _AT(0), 9)} UNION {_ANSWER("h[7] = 'f'", 0, _AT(0), 9)} UNION {_ANSWER("h[7] = 'f'", 1, _AT(0), 17)} UNION {_ANSWER("h[8] = '0'", 0, "('x' || turn)", 9)}),
+n AS (SELECT *, row(turn, md5(message)) AS p FROM m),
+calls AS (SELECT conv_id, id, min(p) AS called FROM n WHERE id IS NOT NULL GROUP BY ALL),
+results AS (SELECT conv_id, answers AS id, min(p) AS p FROM n WHERE answers IS NOT NULL GROUP BY ALL),
+linked AS (SELECT * FROM results JOIN calls USING (conv_id, id)),
+edges AS (SELECT conv_id, p, called AS o FROM linked UNION SELECT w.conv_id, w.p, l.p FROM (SELECT conv_id, p, unnest(waits) AS id FROM n) w JOIN linked l USING (conv_id, id)),
+reach AS (SELECT conv_id, p, o FROM edges UNION SELECT r.conv_id, r.p, e.o FROM reach r JOIN edges e ON e.conv_id = r.conv_id AND e.p = r.o),
+circle AS (SELECT DISTINCT r.conv_id, r.p FROM reach r JOIN reach s ON s.conv_id = r.conv_id AND s.p = r.o WHERE s.p = s.o),
+walk AS (SELECT conv_id, p, p[1] AS t, 0 AS l FROM n UNION SELECT w.conv_id, e.p, w.t, w.l + 1 FROM walk w JOIN edges e ON e.conv_id = w.conv_id AND e.o = w.p WHERE NOT EXISTS (SELECT 1 FROM circle c WHERE c.conv_id = e.conv_id AND c.p = e.p)),
+place AS (SELECT conv_id, p, max(row(t, l)) AS stand FROM walk GROUP BY ALL),
+f AS (SELECT n.*, x.p IS NOT NULL AS linked, n.answers IS NOT NULL AND x.p IS NULL AS out, y.p IS NOT NULL AS cyclic, row_number() OVER (PARTITION BY n.conv_id ORDER BY stand, n.p[2]) - 1 AS position
+FROM n JOIN place USING (conv_id, p) LEFT JOIN linked x ON x.conv_id = n.conv_id AND x.p = n.p LEFT JOIN circle y ON y.conv_id = n.conv_id AND y.p = n.p)
+SELECT conv_id, CAST(position // 1024 AS INTEGER) AS part, count(*) FILTER (NOT out) AS n_messages, count(id) AS n_calls, count(*) FILTER (linked) AS n_linked, count(*) FILTER (name = 'forecast') AS n_unknown, count(*) FILTER (NOT good) AS n_invalid, count(*) FILTER (out) AS n_left_out, bool_or(cyclic) AS cyclic,
+  '[' || coalesce(string_agg(message, ',' ORDER BY position) FILTER (NOT out), '') || ']' AS chat FROM f GROUP BY conv_id, position // 1024"""
 
 #: Every window of the size of an item that starts at a shared shingle or ends with the document.
 LEAKS = f"""

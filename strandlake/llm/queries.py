@@ -55,8 +55,40 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
+#: Tools that the derived calls name; "forecast" has no schema.
+SCHEMAS = {
+    "search": {"type": "object", "required": ["limit", "query"], "properties": {"limit": {"type": "integer", "minimum": 0, "maximum": 11}, "query": {"type": "string", "minLength": 8}}, "additionalProperties": False},
+    "total": {"type": "object", "required": ["a", "b"], "properties": {"a": {"type": "integer"}, "b": {"type": "integer"}}},
+}
+
+
+def with_tool_calls(conversations: DataFrame) -> DataFrame:
+    """conversations (which hold no tool calls) with calls and results by hashes, alike in SQL.
+
+    With h the md5 of "conv_id:turn", about half the assistant's messages call a tool. Arguments break the schema, results
+    come before their call, twice, never or for no call, and calls wait for earlier or later ones, each where a digit says so.
+    """
+    said = conversations.select("conv_id", "turn", "role", "text").distinct()
+    h = F.md5(F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")))
+    digit = lambda k: F.substring("h", k, 1)
+    number = lambda k: F.conv(digit(k), 16, 10)
+    marked = said.withColumn("h", h)
+    calls = (F.col("role") == "assistant") & F.coalesce(digit(1) < "8", F.lit(False))
+    at = lambda k: F.concat(F.lit("c"), (F.col("turn") + k).cast("string"))
+    name = F.when(digit(2) < "a", "search").when(digit(2) < "e", "total").otherwise("forecast")
+    search = F.concat(F.lit('{"limit":'), number(3), F.lit(',"query":"'), F.substring("h", 1, 8), F.lit('"}'))
+    total = F.concat(F.lit('{"a":'), number(3), F.when(digit(4) < "c", F.concat(F.lit(',"b":'), number(4))).otherwise(""), F.lit("}"))
+    waits = F.filter(F.array(F.when(digit(5) < "8", at(-2)), F.when(digit(6) >= "c", at(2))), lambda x: x.isNotNull())
+    call = F.struct(at(0).alias("id"), name.alias("name"), F.when(name == "search", search).otherwise(total).alias("arguments"), waits.alias("depends_on"))
+    spoken = marked.withColumn("text", F.when(calls, F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("content"), F.array(call).alias("tool_calls")))).otherwise(F.col("text")))
+    answer = lambda when, move, to, content: F.when(when, F.struct((F.col("turn") + move).alias("turn"), F.to_json(F.struct(F.substring("h", content, 8).alias("content"), to.alias("tool_call_id"))).alias("text")))
+    answers = F.array(answer(digit(7) < "c", 0, at(0), 9), answer(digit(7).isin("c", "d"), -1, at(0), 9), answer(digit(7) == "f", 0, at(0), 9), answer(digit(7) == "f", 1, at(0), 17), answer(digit(8) == "0", 0, F.concat(F.lit("x"), F.col("turn").cast("string")), 9))
+    results = marked.where(calls).select("conv_id", F.inline(F.filter(answers, lambda x: x.isNotNull()))).select("conv_id", "turn", F.lit("tool").alias("role"), "text")
+    return spoken.select("conv_id", "turn", "role", "text").union(results)
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_chats(table(spark, sf_dir, "conversations"))
+    return format_chats(with_tool_calls(table(spark, sf_dir, "conversations")), SCHEMAS)
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

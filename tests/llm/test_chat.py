@@ -1,7 +1,10 @@
 import json
 import random
 
-from strandlake.llm.chat import canonical, fits, format_chats
+import pytest
+from pyspark.sql import functions as F
+
+from strandlake.llm.chat import canonical, fits, format_chats, refuse_unknown, whole_chats
 
 SCHEMA = {"search": {"type": "object", "required": ["q"], "properties": {"q": {"type": "string"}, "n": {"type": "integer", "minimum": 1}}, "additionalProperties": False}}
 
@@ -41,6 +44,10 @@ def test_links_order_and_schemas(spark):
         (None, None, None, "{not json"),
         (6, 0, "assistant", '{"tool_calls": "x"}'),
         (6, 1, "tool", "plain"),
+        (None, 1, "tool", result("a")),
+        (7, None, "user", "last"),
+        (7, 9, "user", "first"),
+        (8, 0, "assistant", json.dumps({"tool_calls": [{"id": "u", "name": "nothing"}]})),
     ]
     got = chats(spark, rows)
     one = json.loads(got[1, 0].chat)
@@ -53,15 +60,23 @@ def test_links_order_and_schemas(spark):
     assert got[4, 0].cyclic and got[4, 0].n_messages == 4
     assert not any(r.cyclic for k, r in got.items() if k[0] != 4)
     assert got[5, 0].chat == '[{"content":"","role":"user"}]'
-    assert [r.chat for k, r in got.items() if k[0] is None] == ['[{"content":"{not json","role":""}]']
     assert got[6, 0].n_messages == 2 and got[6, 0].n_calls == 0
+    assert [m["content"] for m in json.loads(got[7, 0].chat)] == ["first", "last"]
+    assert (got[8, 0].n_calls, got[8, 0].n_unknown, got[8, 0].n_invalid) == (1, 1, 0)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"part": F.lit(1), "conv": F.lit("x"), "calls": F.lit(2)})
+    every = sorted(map(tuple, format_chats(df, SCHEMA).collect()), key=str)
+    # A message without conv_id is a conversation of its own.
+    assert sorted(r[-1] for r in every if r[0] is None) == ["[]", '[{"content":"{not json","role":""}]']
+    assert sorted(map(tuple, format_chats(df, SCHEMA, edges_at_once=0).collect()), key=str) == every
+    parts = {r.conv_id: r.chat for r in whole_chats(format_chats(df, SCHEMA, messages_a_part=2)).collect() if r.conv_id is not None}
+    assert parts == {r[0]: r[-1] for r in every if r[0] is not None}
 
 
 def test_parts_hold_all_messages(spark):
     rng = random.Random(1)
     rows = [(7, t, "user", f"m{t}") for t in range(50)]
     rng.shuffle(rows)
-    got = chats(spark, rows, turns_a_part=8)
+    got = chats(spark, rows, messages_a_part=8)
     assert [m["content"] for p in sorted(got) for m in json.loads(got[p].chat)] == [f"m{t}" for t in range(50)]
     assert max(r.n_messages for r in got.values()) == 8
     assert chats(spark, []) == {}
@@ -78,3 +93,11 @@ def test_fits_and_canonical():
     assert not fits({"q": "x", "z": 1}, SCHEMA["search"]) and not fits({"n": 1}, SCHEMA["search"]) and not fits([], SCHEMA["search"])
     assert fits([1, "a"], {"type": "array", "items": {"type": ["integer", "string"]}}) and not fits(True, {"type": "integer"})
     assert fits("b", {"enum": ["a", "b"]}) and not fits("c", {"enum": ["a", "b"]}) and not fits("abc", {"maxLength": 2})
+
+
+def test_schemas_with_other_keywords_are_refused():
+    refuse_unknown(SCHEMA["search"])
+    for bad in ({"pattern": "a"}, {"properties": {"a": {"anyOf": []}}}, {"items": {"$ref": "#"}}, {"additionalProperties": {"format": "date"}}, 3):
+        with pytest.raises(ValueError):
+            refuse_unknown(bad)
+    assert not fits([1], {"minItems": 2}) and not fits([1, 2], {"maxItems": 1})
