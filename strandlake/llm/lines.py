@@ -229,5 +229,6 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, characters: int = CHARACTER
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(f"`{gone}`"))
     text = F.when(F.col(f"`{gone}`").isNull(), docs["text"]).otherwise(let(lines, lambda x: F.array_join(F.transform(left, lambda k: F.get(x, k)), "\n")))
     counted = {"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed": F.coalesce(F.size(F.col(f"`{gone}`")), F.lit(0)), "text": text}
-    out = docs.join(found, docs["doc_id"] == found[f"`{key}`"], "left").withColumns(counted).drop(key, gone)
+    # Merged at every size: what goes grows with docs.
+    out = docs.join(found.hint("merge"), docs["doc_id"] == found[f"`{key}`"], "left").withColumns(counted).drop(key, gone)
     return out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
