@@ -62,7 +62,8 @@ def _met(windows: DataFrame, items: DataFrame) -> DataFrame:
     """sid, fp, item, item_fp of windows and items of equal width and size, once for each block that brings them together."""
     probes = windows.select("sid", "width", "m", "fp", F.inline(_blocks("fp")))
     index = items.select("item", "width", "m", F.col("fp").alias("item_fp"), F.inline(_blocks("fp"))).withColumn("value", F.explode(_near(F.col("value"))))
-    return probes.join(index, ["width", "m", "block", "value"]).select("sid", "fp", "item", "item_fp")
+    # Merged: an item has thousands of index rows, which Spark would not see coming and might broadcast.
+    return probes.join(index.hint("merge"), ["width", "m", "block", "value"]).select("sid", "fp", "item", "item_fp")
 
 
 def _pairs_within_radius(windows: DataFrame, items: DataFrame) -> DataFrame:
