@@ -76,13 +76,23 @@ def windows(seq: ColumnLike, size: int) -> Column:
     return F.when(F.length(s) >= size, F.transform(F.sequence(F.lit(1), F.length(s) - size + 1), lambda i: F.substring(s, i, size))).otherwise(F.array().cast("array<string>"))
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def shannon_entropy(seq: ColumnLike, k: int = 1) -> Column:
-    """Of the k-mers, in bits; 0 for shorter strings."""
-    parts = windows(seq, k)
-    total = F.size(parts).cast("double")
-    kinds = F.array_sort(F.array_distinct(parts))
-    share = lambda x: F.size(F.filter(parts, lambda y: y == x)) / total
-    return F.when(F.size(parts) > 0, -F.aggregate(F.transform(kinds, share), F.lit(0.0), lambda n, p: n + p * F.log2(p))).otherwise(F.lit(0.0))
+    """Of the k-mers, in bits; 0 for shorter strings. K-mers are sorted once, and runs of equal ones counted."""
+    part = lambda n, total: F.when(n > 0, (n / total) * F.log2(n / total)).otherwise(0.0)
+
+    def by_runs(parts: Column) -> Column:
+        total = F.size(parts).cast("double")
+        start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("h"))
+        step = lambda s, x: F.when(s["last"] == x, F.struct(x.alias("last"), (s["run"] + 1).alias("run"), s["h"].alias("h"))).otherwise(F.struct(x.alias("last"), F.lit(1).alias("run"), (s["h"] + part(s["run"], total)).alias("h")))
+        return -F.aggregate(parts, start, step, lambda s: s["h"] + part(s["run"], total))
+
+    parts = letters(seq) if k == 1 else windows(seq, k)
+    return F.when(F.length(col(seq)) >= k, _let(F.array_sort(parts), by_runs)).otherwise(F.lit(0.0))
 
 
 def degeneracy(seq: ColumnLike) -> Column:
@@ -102,8 +112,15 @@ def has_g_quadruplex(seq: ColumnLike) -> Column:
 
 
 def gc_window_max(seq: ColumnLike, size: int = 50) -> Column:
-    """The highest GC fraction of any window; of the whole string where that is shorter."""
-    return F.coalesce(F.array_max(F.transform(windows(seq, size), lambda w: gc_count(w) / F.lit(float(size)))), gc_fraction(seq))
+    """The highest GC fraction of any window; of the whole string where that is shorter. One walk, with a running count."""
+
+    def walk(marks: Column) -> Column:
+        one = lambda i: F.get(marks, i).cast("int")
+        step = lambda s, i: _let(s["n"] + one(i) - F.when(i >= size, one(F.greatest(i - size, F.lit(0)))).otherwise(0), lambda n: F.struct(n.alias("n"), F.when(i >= size - 1, F.greatest(s["most"], n)).otherwise(s["most"]).alias("most")))
+        return F.aggregate(F.sequence(F.lit(0), F.size(marks) - 1), F.struct(F.lit(0).alias("n"), F.lit(0).alias("most")), step, lambda s: s["most"]) / F.lit(float(size))
+
+    marks = letters(F.regexp_replace(F.translate(col(seq), "GC", "11"), "[^1]", "0"))
+    return F.when(F.length(col(seq)) >= size, _let(marks, walk)).otherwise(gc_fraction(seq))
 
 
 def cpg_count(seq: ColumnLike) -> Column:

@@ -14,6 +14,18 @@ def mismatch_mask(primer: ColumnLike, site: ColumnLike) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda n, x: n.bitwiseOR(x))
 
 
+def base_bits(seq: ColumnLike) -> Column:
+    """struct(a, c, g): where a strict string of up to 63 letters has these, bit i for the base i; what is left is T."""
+    bits = lambda ones: F.conv(F.reverse(F.translate(col(seq), "ACGT", ones)), 2, 10).cast("long")
+    return F.struct(bits("1000").alias("a"), bits("0100").alias("c"), bits("0010").alias("g"))
+
+
+def mismatch_mask_of_bits(p: Column, t: Column, length: ColumnLike) -> Column:
+    """mismatch_mask() of two strict strings of one length by their base_bits(), without a look at letters."""
+    differ = p["a"].bitwiseXOR(t["a"]).bitwiseOR(p["c"].bitwiseXOR(t["c"])).bitwiseOR(p["g"].bitwiseXOR(t["g"]))
+    return differ.bitwiseAND(_ones(col(length)))
+
+
 def rendered(mask: ColumnLike, length: ColumnLike) -> Column:
     """. for a match, X for a mismatch."""
     return F.array_join(F.transform(F.sequence(F.lit(0), col(length) - 1), lambda i: F.when(_bit(col(mask), i) == 1, "X").otherwise(".")), "")

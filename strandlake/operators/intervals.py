@@ -45,11 +45,13 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], start:
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", anti: bool = False, width: int = 1 << 14) -> DataFrame:
-    """The rows of left that overlap any of right; with anti, those that overlap none."""
-    row = Window.partitionBy(*left.columns).orderBy(F.lit(1))
-    marked = left.withColumn("_row", F.xxhash64(*left.columns)).withColumn("_copy", F.row_number().over(row))
-    found = overlap_join(marked, right.select(*keys, start, end), keys, start, end, width, "", "_r_").select("_row").distinct()
-    return marked.join(found, "_row", "left_anti" if anti else "left_semi").select(left.columns)
+    """The rows of left that overlap any of right; with anti, those that overlap none. Rows are told apart by all columns."""
+    found = overlap_join(left, right.select(*keys, start, end), keys, start, end, width, "", "_r_").select(*left.columns).distinct()
+    a, b = left.alias("a"), found.alias("b")
+    same = F.lit(True)
+    for c in left.columns:
+        same = same & F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`"))
+    return a.join(b, same, "left_anti" if anti else "left_semi").select(left.columns)
 
 
 def containment_join(inner: DataFrame, outer: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", width: int = 1 << 14, left_prefix: str = "l_", right_prefix: str = "r_") -> DataFrame:
@@ -61,19 +63,48 @@ def containment_join(inner: DataFrame, outer: DataFrame, keys: Sequence[str], st
     return a.join(b, [*keys, "_bin"]).where((F.col(f"{left_prefix}{start}") >= s) & (F.col(f"{left_prefix}{end}") <= e)).drop("_bin")
 
 
-def merge_intervals(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", pad: int = 0) -> DataFrame:
-    """keys, start, end, n of the unions of intervals that overlap or touch, each grown by pad on both sides first (not below 0)."""
+def _per_bin(df: DataFrame, bins: DataFrame, keys: Sequence[str], *columns: str) -> DataFrame:
+    """df with the columns of bins, by keys (null ones too) and _bin."""
+    same = F.col("a._bin").eqNullSafe(F.col("b._bin"))
+    for k in keys:
+        same = same & F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`"))
+    return df.alias("a").join(bins.alias("b"), same).select("a.*", *[f"b.{c}" for c in columns])
+
+
+def merge_intervals(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", pad: int = 0, width: int = 1 << 20) -> DataFrame:
+    """keys, start, end, n of the unions of intervals that overlap or touch, each grown by pad on both sides first (not below 0).
+
+    Intervals are merged within bins of their starts. What no other bin touches is final; of the rest each bin has two rows at
+    most (what earlier bins reach into, and what reaches on), and these are stitched key by key. Nulls take no part.
+    """
     grown = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*keys, F.greatest(F.col(start) - pad, F.lit(0)).alias(start) if pad else F.col(start), (F.col(end) + pad).alias(end))
-    by = Window.partitionBy(*keys).orderBy(start, end)
-    before = F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    islands = grown.withColumn("_new", F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0)).withColumn("_island", F.sum("_new").over(by))
-    return islands.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
+    ahead = lambda by: by.rowsBetween(Window.unboundedPreceding, -1)
 
+    def islands(rows: DataFrame, by: list[str], n: Column) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy(start, end)
+        reach = F.max(end).over(ahead(order))
+        marked = rows.withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)).withColumn("_island", F.sum("_new").over(order))
+        return marked.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), n.alias("n")).drop("_island")
 
-def smallest_gap(df: DataFrame, keys: Sequence[str], value: str, below: float) -> DataFrame:
-    """keys, min_gap, n_conflicts: the smallest distance of neighbours in order of value, and how many lie below the limit."""
-    gaps = df.withColumn("_gap", F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(value)))
-    return gaps.groupBy(*keys).agg(F.min("_gap").alias("min_gap"), F.count_if(F.col("_gap") < below).alias("n_conflicts"))
+    local = islands(grown.withColumn("_bin", F.floor(F.col(start) / width)), [*keys, "_bin"], F.count("*"))
+    bins = local.groupBy(*keys, "_bin").agg(F.max(end).alias("_reach")).withColumn("_ahead", F.max("_reach").over(ahead(Window.partitionBy(*keys).orderBy("_bin"))))
+    placed = _per_bin(local, bins, keys, "_ahead").withColumn("_in", F.coalesce(F.col(start) <= F.col("_ahead"), F.lit(False)))
+    alone = ~F.col("_in") & (F.col(end) < (F.col("_bin") + 1) * width)
+    rest = placed.where(~alone).groupBy(*keys, "_bin", "_in").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("n").alias("n")).drop("_bin", "_in")
+    columns = [*keys, start, end, "n"]
+    return placed.where(alone).select(columns).union(islands(rest, list(keys), F.sum("n")).select(columns))
+
+
+def smallest_gap(df: DataFrame, keys: Sequence[str], value: str, below: float, width: int = 1 << 20) -> DataFrame:
+    """keys, min_gap, n_conflicts: the smallest distance of neighbours in order of value, and how many lie below the limit.
+
+    Neighbours within bins of the value meet bin by bin; then each bin's first meets the last of the bin before it.
+    """
+    binned = df.select(*keys, F.col(value).alias("_v"), F.floor(F.col(value) / width).alias("_bin"))
+    inner = binned.withColumn("_gap", F.col("_v") - F.lag("_v").over(Window.partitionBy(*keys, "_bin").orderBy("_v")))
+    bins = inner.groupBy(*keys, "_bin").agg(F.min("_gap").alias("_inner"), F.count_if(F.col("_gap") < below).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    outer = bins.withColumn("_outer", F.col("_low") - F.lag("_high").over(Window.partitionBy(*keys).orderBy("_bin")))
+    return outer.groupBy(*keys).agg(F.min(F.least("_inner", "_outer")).alias("min_gap"), (F.sum("_n") + F.count_if(F.col("_outer") < below)).alias("n_conflicts"))
 
 
 def distance_to(start: str, end: str, at: Column) -> Column:

@@ -1,57 +1,70 @@
 """Binding-site search: exact k-mer seeds as equi-joins, then a Hamming check of the whole primer.
 
 A contig is cut into chunks that overlap by the longest primer, so that a site lies whole in the chunk that owns its start.
+Cuts are made in bytes, which takes as long as what is cut; a cut of a string would walk over all that lies before it.
 Seeds are joined from the primers' side, which is small and broadcast behind a check of its size; chunks beyond meet in a
 shuffle on the seed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.dna import hamming, is_strict, normalized, reverse_complement
-from strandlake.functions.masks import mismatch_mask, rendered
+from strandlake.functions.masks import base_bits, mismatch_mask_of_bits, rendered
 
-from .intervals import merge_intervals
+from .intervals import containment_join, merge_intervals
 
 #: Starts that a chunk owns, rows of seeds that are broadcast, and the most mismatches of the anchored search.
-CHUNK, BROADCAST_SEEDS, MOST_ANCHORED = 1 << 16, 2_000_000, 3
+CHUNK, BROADCAST_SEEDS, MOST_ANCHORED = 1 << 12, 2_000_000, 3
 
 
-def chunks(contigs: DataFrame, longest: int, size: int = CHUNK) -> DataFrame:
-    """chrom, chunk_start, seq (with longest - 1 bases of the next chunk), owned (how many starts)."""
-    cut = contigs.select("chrom", normalized("seq").alias("seq")).where("length(seq) > 0")
-    starts = F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / size))).alias("k")
-    return cut.select("chrom", "seq", starts).select(
-        "chrom", (F.col("k") * size).cast("long").alias("chunk_start"), F.expr(f"substring(seq, cast(k * {size} as int) + 1, {size + longest - 1})").alias("seq"), F.expr(f"cast(least({size}, length(seq) - k * {size}) as int)").alias("owned")
-    )
+def _cut(data: str, at: Column, n: Column) -> Column:
+    """A part of a binary column of ASCII letters, as a string; at counts from 0."""
+    return F.substring(F.col(data), at + 1, n).cast("string")
+
+
+def chunks(contigs: DataFrame, longest: int, size: int = CHUNK, as_is: bool = False) -> DataFrame:
+    """chrom, chunk_start, seq (with longest - 1 bases of the next chunk), owned (how many starts). Letters beyond ASCII are N,
+    and others normalised unless as_is."""
+    letters = F.col("seq") if as_is else normalized("seq")
+    flat = contigs.select("chrom", F.regexp_replace(letters, "[^\\x00-\\x7F]", "N").cast("binary").alias("data")).where("length(data) > 0")
+    each = flat.select("chrom", "data", F.length("data").alias("n"), F.explode(F.sequence(F.lit(0), F.floor((F.length("data") - 1) / size))).alias("k"))
+    at = (F.col("k") * size).cast("int")
+    return each.select("chrom", at.cast("long").alias("chunk_start"), _cut("data", at, F.lit(size + longest - 1)).alias("seq"), F.least(F.lit(size), F.col("n") - at).alias("owned"))
+
+
+def _each_start(parts: DataFrame, k: int) -> DataFrame:
+    """parts with at (every start of k letters in a chunk), seed (these) and data (the chunk's bytes)."""
+    flat = parts.where(F.length("seq") >= k).withColumn("data", F.col("seq").cast("binary"))
+    return flat.select("*", F.explode(F.sequence(F.lit(0), F.length("data") - k)).alias("at")).withColumn("seed", _cut("data", F.col("at"), F.lit(k)))
 
 
 def kmers(parts: DataFrame, k: int) -> DataFrame:
     """chrom, pos, kmer of every owned start; windows with an N have none. The persisted form is an index: write it by chrom."""
-    places = F.sequence(F.lit(0), F.least(F.col("owned") - 1, F.length("seq") - k))
-    each = F.when(F.length("seq") >= k, F.transform(places, lambda i: F.struct((F.col("chunk_start") + i).alias("pos"), F.substring(F.col("seq"), i + 1, k).alias("kmer")))).otherwise(F.array())
-    return parts.select("chrom", F.inline(each)).where(is_strict("kmer"))
+    return _each_start(parts, k).where("at < owned").select("chrom", (F.col("chunk_start") + F.col("at")).alias("pos"), F.col("seed").alias("kmer")).where(is_strict("kmer"))
 
 
-def _sites(parts: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
-    """primer, strand, chrom, start, site of every start at which a seed (seed, primer, strand, shift) fits."""
+def _sites(parts: DataFrame, seeds: DataFrame, k: int, longest: int) -> DataFrame:
+    """primer, strand, bits, chrom, start, site of every start at which a seed (seed, primer, strand, shift, bits) fits."""
     few = seeds.count() <= BROADCAST_SEEDS
-    places = F.sequence(F.lit(0), F.length("seq") - k)
-    each = F.when(F.length("seq") >= k, F.transform(places, lambda i: F.struct(i.alias("at"), F.substring(F.col("seq"), i + 1, k).alias("seed")))).otherwise(F.array())
-    known = seeds.select("seed").distinct()
-    hits = parts.select("*", F.inline(each)).join(F.broadcast(known) if few else known, "seed", "left_semi")
-    hits = hits.join(F.broadcast(seeds) if few else seeds, "seed")
-    own = hits.withColumn("local", F.col("at") - F.col("shift")).where("local >= 0 and local < owned")
-    site = F.substring(F.col("seq"), F.col("local") + 1, F.length("primer"))
-    return own.select("primer", "strand", "chrom", (F.col("chunk_start") + F.col("local")).alias("start"), site.alias("site")).where(F.length("site") == F.length("primer")).where(is_strict("site"))
+    starts = _each_start(parts, k)
+    if few:
+        starts = starts.join(F.broadcast(seeds.select("seed").distinct()), "seed", "left_semi")
+    # What meets the seeds is no chunk, but the bases that a primer on this start can reach.
+    low = F.greatest(F.col("at") - (longest - k), F.lit(0))
+    near = starts.select("chrom", "chunk_start", "owned", "at", "seed", low.alias("low"), _cut("data", low, F.col("at") + longest - low).alias("near"))
+    hits = near.join(F.broadcast(seeds) if few else seeds, "seed").withColumn("local", F.col("at") - F.col("shift")).where("local >= 0 and local < owned")
+    site = F.substring(F.col("near"), F.col("local") - F.col("low") + 1, F.length("primer"))
+    return hits.select("primer", "strand", "bits", "chrom", (F.col("chunk_start") + F.col("local")).alias("start"), site.alias("site")).where(F.length("site") == F.length("primer")).where(is_strict("site"))
 
 
 def _verified(sites: DataFrame, most: int) -> DataFrame:
     oriented = F.when(F.col("strand") == "+", F.col("site")).otherwise(reverse_complement("site"))
-    found = sites.withColumn("oriented", oriented).withColumn("mismatches", hamming("primer", "oriented")).where(F.col("mismatches") <= most)
-    return found.select("primer", "chrom", "start", (F.col("start") + F.length("primer")).alias("end"), "strand", "mismatches", mismatch_mask("primer", "oriented").alias("mask_bits"), "oriented", F.col("site").alias("site_plus")).withColumn("mask", rendered("mask_bits", F.length("primer")))
+    masked = sites.withColumn("oriented", oriented).withColumn("mask_bits", mismatch_mask_of_bits(F.col("bits"), base_bits("oriented"), F.length("primer")))
+    found = masked.withColumn("mismatches", F.bit_count("mask_bits")).where(F.col("mismatches") <= most)
+    return found.select("primer", "chrom", "start", (F.col("start") + F.length("primer")).alias("end"), "strand", "mismatches", "mask_bits", "oriented", F.col("site").alias("site_plus")).withColumn("mask", rendered("mask_bits", F.length("primer")))
 
 
 def _primers(primers: DataFrame, least: int) -> DataFrame:
@@ -69,8 +82,8 @@ def strict_search(contigs: DataFrame, primers: DataFrame, anchor: int = 12, most
     wanted = _primers(primers, anchor)
     longest = wanted.agg(F.max(F.length("primer"))).first()[0] or anchor
     last = F.right("primer", F.lit(anchor))
-    seeds = wanted.select("primer", F.inline(F.array(F.struct(last.alias("seed"), F.lit("+").alias("strand"), (F.length("primer") - anchor).alias("shift")), F.struct(reverse_complement(last).alias("seed"), F.lit("-").alias("strand"), F.lit(0).alias("shift")))))
-    return _verified(_sites(chunks(contigs, longest, chunk), seeds, anchor), most).distinct()
+    seeds = wanted.withColumn("bits", base_bits("primer")).select("primer", "bits", F.inline(F.array(F.struct(last.alias("seed"), F.lit("+").alias("strand"), (F.length("primer") - anchor).alias("shift")), F.struct(reverse_complement(last).alias("seed"), F.lit("-").alias("strand"), F.lit(0).alias("shift")))))
+    return _verified(_sites(chunks(contigs, longest, chunk), seeds, anchor, longest), most).distinct()
 
 
 def sensitive_search(contigs: DataFrame, primers: DataFrame, most: int = 3, chunk: int = CHUNK) -> DataFrame:
@@ -81,9 +94,9 @@ def sensitive_search(contigs: DataFrame, primers: DataFrame, most: int = 3, chun
     for (length,) in sorted(wanted.select((F.length("primer")).alias("n")).distinct().collect()):
         k = length // (most + 1)
         own = wanted.where(F.length("primer") == length)
-        both = own.select("primer", F.inline(F.array(F.struct(F.col("primer").alias("text"), F.lit("+").alias("strand")), F.struct(reverse_complement("primer").alias("text"), F.lit("-").alias("strand")))))
-        seeds = both.select("primer", "strand", F.inline(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(F.substring(F.col("text"), i * k + 1, k).alias("seed"), (i * k).alias("shift")))))
-        found = _verified(_sites(chunks(contigs, length, chunk), seeds, k).distinct(), most)
+        both = own.withColumn("bits", base_bits("primer")).select("primer", "bits", F.inline(F.array(F.struct(F.col("primer").alias("text"), F.lit("+").alias("strand")), F.struct(reverse_complement("primer").alias("text"), F.lit("-").alias("strand")))))
+        seeds = both.select("primer", "bits", "strand", F.inline(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(F.substring(F.col("text"), i * k + 1, k).alias("seed"), (i * k).alias("shift")))))
+        found = _verified(_sites(chunks(contigs, length, chunk), seeds, k, length), most).distinct()
         out = found if out is None else out.union(found)
     return out if out is not None else strict_search(contigs, wanted, 1, 0, chunk)
 
@@ -97,13 +110,17 @@ def search_difficulty(contigs: DataFrame, primers: DataFrame, anchor: int = 12,
     return exact.join(places, "last", "left").select("primer", n.alias("n_anchor"), level.alias("difficulty"))
 
 
-def valid_bindings(bindings: DataFrame, contigs: DataFrame, most: int = 3, anchor: int = 12) -> DataFrame:
-    """bindings with ok: whether the contig's own bases at the place give the stated mismatches, without N, anchor exact."""
-    at = bindings.join(contigs.select("chrom", normalized("seq").alias("_seq")), "chrom", "left")
-    site = F.substring(F.col("_seq"), (F.col("start") + 1).cast("int"), F.length("primer"))
+def valid_bindings(bindings: DataFrame, contigs: DataFrame, most: int = 3, anchor: int = 12, size: int = CHUNK) -> DataFrame:
+    """bindings with ok: whether the contig's own bases at the place give the stated mismatches, without N, anchor exact.
+
+    A binding meets the chunk that owns its start, not the contig."""
+    owner = (F.floor(F.col("start") / size) * size).cast("long")
+    parts = chunks(contigs, 63, size).select("chrom", F.col("chunk_start").alias("_chunk"), F.col("seq").alias("_seq"))
+    at = bindings.withColumn("_chunk", owner).join(parts, ["chrom", "_chunk"], "left")
+    site = F.substring(F.col("_seq"), (F.col("start") - F.col("_chunk") + 1).cast("int"), F.length("primer"))
     oriented = F.when(F.col("strand") == "+", site).otherwise(reverse_complement(site))
     right = is_strict(oriented) & (F.length(site) == F.length("primer")) & (hamming("primer", oriented) == F.col("mismatches")) & (F.col("mismatches") <= most) & (F.right(oriented, F.lit(anchor)) == F.right("primer", F.lit(anchor)))
-    return at.withColumn("ok", F.coalesce(right, F.lit(False))).drop("_seq")
+    return at.withColumn("ok", F.coalesce(right, F.lit(False))).select(*bindings.columns, "ok")
 
 
 def profiled(contigs: DataFrame, primers: DataFrame, profile: str = "STRICT", most: int = 3, anchor: int = 12) -> DataFrame:
@@ -121,10 +138,11 @@ def strategy(difficulty: DataFrame, most: int = 3) -> DataFrame:
     return difficulty.withColumn("strategy", F.when(few, "candidate").otherwise("branching"))
 
 
-def near_contigs(contigs: DataFrame, sites: DataFrame, reach: int, longest: int) -> DataFrame:
-    """The parts of contigs (chrom, part_start, seq) within reach of sites: where a mate can lie. Parts that touch are one."""
+def near_contigs(contigs: DataFrame, sites: DataFrame, reach: int, longest: int, size: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """Where a mate can lie: the chunks (chrom, chunk_start, seq) within reach of sites, and the merged ranges around these."""
     around = merge_intervals(sites.select("chrom", "start", "end"), ["chrom"], pad=reach + longest)
-    return around.join(contigs.select("chrom", normalized("seq").alias("seq")), "chrom").select("chrom", F.col("start").alias("part_start"), F.expr("substring(seq, cast(start as int) + 1, cast(end - start as int))").alias("seq"))
+    touched = around.select("chrom", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))).alias("k")).select("chrom", (F.col("k") * size).alias("chunk_start")).distinct()
+    return chunks(contigs, longest, size).join(touched, ["chrom", "chunk_start"], "left_semi"), around
 
 
 def constrained_search(contigs: DataFrame, first: DataFrame, mates: DataFrame, most: int = 3, reach: int = 3000, longest: int = 63) -> DataFrame:
@@ -132,9 +150,12 @@ def constrained_search(contigs: DataFrame, first: DataFrame, mates: DataFrame, m
 
     What pairs within reach is the same as after two global searches; the mate's candidates are fewer.
     """
-    parts = near_contigs(contigs, first, reach, longest).withColumn("whole", F.col("chrom")).withColumn("chrom", F.concat_ws(":", F.col("chrom"), F.col("part_start").cast("string")))
-    found = sensitive_search(parts, mates, most).join(parts.select("chrom", "whole", "part_start"), "chrom")
-    return found.withColumns({"start": F.col("start") + F.col("part_start"), "end": F.col("end") + F.col("part_start"), "chrom": F.col("whole")}).drop("whole", "part_start").distinct()
+    near, around = near_contigs(contigs, first, reach, longest)
+    parts = near.select("chrom", F.concat_ws(":", "chrom", F.col("chunk_start").cast("string")).alias("part"), "chunk_start", "seq")
+    found = sensitive_search(parts.select(F.col("part").alias("chrom"), "seq"), mates, most).withColumnRenamed("chrom", "part").join(parts.drop("seq"), "part")
+    moved = found.withColumns({"start": F.col("start") + F.col("chunk_start"), "end": F.col("end") + F.col("chunk_start")}).drop("part", "chunk_start").distinct()
+    inside = containment_join(moved, around.select("chrom", "start", "end"), ["chrom"], left_prefix="", right_prefix="_r_")
+    return inside.select("primer", "chrom", "start", "end", "strand", "mismatches", "mask_bits", "oriented", "site_plus", "mask")
 
 
 def seed_cost(contigs: DataFrame, primers: DataFrame, most: int = 3) -> DataFrame:

@@ -82,16 +82,36 @@ def strict_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bindings(spark, sf_dir)
 
 
-@query(f"""WITH {CONTIGS}, {PANEL}, primers AS (SELECT DISTINCT primer1 AS primer FROM panel),
+#: All windows of both strands against all primers.
+@query(f"""WITH {CONTIGS}, {PANEL}, primers AS (SELECT DISTINCT unnest([primer1, primer2]) AS primer FROM panel),
 windows AS (SELECT chrom, s, substr(seq, s + 1, 20) AS site FROM (SELECT chrom, seq, unnest(range(0, length(seq) - 19)) AS s FROM contig)),
-oriented AS (SELECT chrom, s, '+' AS strand, site AS o FROM windows UNION ALL SELECT chrom, s, '-', {_RC('site')} FROM windows),
-halves AS (SELECT DISTINCT primer, chrom, s, strand, o FROM oriented JOIN primers ON left(primer, 10) = left(o, 10) UNION SELECT DISTINCT primer, chrom, s, strand, o FROM oriented JOIN primers ON right(primer, 10) = right(o, 10))
-SELECT primer, chrom, CAST(s AS BIGINT) AS start, strand, CAST(hamming(primer, o) AS INTEGER) AS mismatches FROM halves WHERE hamming(primer, o) <= 1""")
+oriented AS (SELECT chrom, s, '+' AS strand, site AS o FROM windows UNION ALL SELECT chrom, s, '-', {_RC('site')} FROM windows)
+SELECT primer, chrom, CAST(s AS BIGINT) AS start, strand, CAST(hamming(primer, o) AS INTEGER) AS mismatches FROM oriented JOIN primers ON hamming(primer, o) <= 3""")
 def sensitive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.sensitive_search(contigs(spark, sf_dir), panel(spark, sf_dir).select(F.col("primer1").alias("primer")), 1)
+    primers = panel(spark, sf_dir).select(F.explode(F.array("primer1", "primer2")).alias("primer"))
+    found = search.sensitive_search(contigs(spark, sf_dir), primers, 3)
     return found.select("primer", "chrom", "start", "strand", "mismatches")
 
 
+#: Documents whose contigs are one after another in one long contig, of over a million bases.
+IN_A_ROW = 5000
+
+
+def long_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = contigs(spark, sf_dir).select(F.floor(F.col("doc_id") / IN_A_ROW).alias("k"), F.struct("doc_id", "seq").alias("x"))
+    return part.groupBy("k").agg(F.array_sort(F.collect_list("x")).alias("all")).select(F.concat(F.lit("long"), F.col("k").cast("string")).alias("chrom"), F.array_join(F.transform("all", lambda x: x["seq"]), "").alias("seq"))
+
+
+@query(f"""WITH {CONTIGS}, {PANEL}, long AS (SELECT concat('long', doc_id // {IN_A_ROW}) AS chrom, string_agg(seq, '' ORDER BY doc_id) AS seq FROM contig GROUP BY doc_id // {IN_A_ROW}),
+primers AS (SELECT DISTINCT unnest([primer1, primer2]) AS primer FROM panel),
+windows AS (SELECT chrom, s, substr(seq, s + 1, 20) AS site FROM (SELECT chrom, seq, unnest(range(0, length(seq) - 19)) AS s FROM long)),
+oriented AS (SELECT chrom, s, '+' AS strand, site AS o FROM windows UNION ALL SELECT chrom, s, '-', {_RC('site')} FROM windows)
+SELECT primer, chrom, CAST(s AS BIGINT) AS start, strand, CAST(hamming(primer, o) AS INTEGER) AS mismatches FROM oriented JOIN primers ON right(primer, {ANCHOR}) = right(o, {ANCHOR}) WHERE hamming(primer, o) <= {MOST}""")
+def long_contig_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    primers = panel(spark, sf_dir).select(F.explode(F.array("primer1", "primer2")).alias("primer"))
+    return search.strict_search(long_contigs(spark, sf_dir), primers, ANCHOR, MOST).select("primer", "chrom", "start", "strand", "mismatches")
+
+
 @query(f"""WITH {CONTIGS}, {PANEL}, primers AS (SELECT DISTINCT primer2 AS primer FROM panel),
 w AS (SELECT substr(seq, s + 1, 12) AS k FROM (SELECT seq, unnest(range(0, length(seq) - 11)) AS s FROM contig)),
 n AS (SELECT primer, count(k) AS n FROM primers LEFT JOIN (SELECT k FROM w UNION ALL SELECT {_RC('k')} FROM w) ON k = right(primer, 12) GROUP BY primer)

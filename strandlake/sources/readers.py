@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions.dna import grch38_alias, normalized
+from strandlake.operators.search import chunks
 
 # Names that panels use for the same column.
 ALIASES = {
@@ -18,9 +19,10 @@ ALIASES = {
 def fasta(spark: SparkSession, path: str, select: Column | None = None) -> DataFrame:
     """name, description, seq of each record, upper case with IUPAC letters as N; select filters on name and description first.
 
-    Records are split at the mark by the text reader, so files of many records are read by many tasks.
+    Records are split by the text reader where a line begins with the mark, so files of many records are read by many tasks,
+    and a mark inside a header stays there.
     """
-    raw = spark.read.option("lineSep", ">").text(path).where(F.trim(F.regexp_replace("value", "\\s", "")) != "")
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.trim(F.regexp_replace("value", "\\s", "")) != "")
     at = F.instr(F.col("value"), "\n")
     header = F.trim(F.regexp_replace(F.when(at > 0, F.substring("value", F.lit(1), at - 1)).otherwise(F.col("value")), "\r", ""))
     body = F.when(at > 0, F.substring("value", at + 1, F.length("value"))).otherwise("")
@@ -49,9 +51,32 @@ def reference_digests(contigs: DataFrame, manifest: DataFrame | None = None) ->
     return own.join(manifest.select("chrom", F.col("sha256").alias("stated")), "chrom", "left").withColumn("agrees", F.col("sha256") == F.col("stated")).drop("stated")
 
 
-def fetched(contigs: DataFrame, regions: DataFrame) -> DataFrame:
-    """regions (chrom, start, end) with their bases."""
-    return regions.join(contigs.select("chrom", "seq"), "chrom").select(*regions.columns, F.expr("substring(seq, cast(start as int) + 1, cast(end - start as int))").alias("bases"))
+def fetched(contigs: DataFrame, regions: DataFrame, size: int = 1 << 16) -> DataFrame:
+    """regions (chrom, start, end) with their bases as they are, put together from the chunks that they touch. A region of an
+    unknown contig, or without bases, is left out."""
+    parts = chunks(contigs, 1, size, as_is=True).select("chrom", F.col("chunk_start").alias("_chunk"), F.col("seq").alias("_seq"))
+    key = ["chrom", "start", "end"]
+    wanted = regions.select(*key).where("end > start").distinct().withColumn("_k", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size)))).withColumn("_chunk", (F.col("_k") * size).cast("long"))
+    low = F.greatest(F.col("start") - F.col("_chunk"), F.lit(0))
+    piece = F.substring("_seq", (low + 1).cast("int"), (F.least(F.col("end") - F.col("_chunk"), F.lit(size)) - low).cast("int"))
+    whole = wanted.join(parts, ["chrom", "_chunk"]).groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", piece.alias("piece")))), lambda x: x["piece"]), "").alias("bases"))
+    return regions.join(whole, key).select(*regions.columns, "bases")
+
+
+def first_record(records: DataFrame) -> DataFrame:
+    """The one record of a FASTA file that holds a single target; raises ValueError for none or several."""
+    found = records.limit(2).count()
+    if found != 1:
+        raise ValueError("exactly one record is wanted")
+    return records
+
+
+def target_of(spark: SparkSession, text: str, name: str = "target") -> DataFrame:
+    """A target that is given as letters instead of a file: name, description, seq as fasta() gives them."""
+    letters = "".join(text.split())
+    if not letters:
+        raise ValueError("a target needs letters")
+    return spark.createDataFrame([(name, "", letters)], "name string, description string, seq string").withColumn("seq", normalized("seq"))
 
 
 def tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
