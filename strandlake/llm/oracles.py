@@ -32,24 +32,28 @@ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
 SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
 
-_KNOWN = ", ".join(f"'{text}': {k}" for k, text in enumerate(SENTENCES.values(), 1))
+_LISTED = ", ".join(f"({k}, '{text}', {len(text.split())})" for k, text in enumerate(SENTENCES.values(), 1))
 _NUMBER = {name: k for k, name in enumerate(SENTENCES, 1)}
-_NAMES = sorted({name for name, _ in RULES})
-
-
-def _ruled() -> str:
-    line = "line"
-    for name, sequence in RULES:
-        line = f"replace({line}, ',{',,'.join(str(_NUMBER[x]) for x in sequence)},', ',L{_NAMES.index(name)},')"
-    return line
-
-
+_RULED = ", ".join(f"({r}, '{name}', {[_NUMBER[x] for x in sequence]})" for r, (name, sequence) in enumerate(RULES))
+#: Pieces as rows; known sentences as runs of pieces whose words are theirs, taken from the left; then all places of all rules,
+#: taken in the rules' order where no sentence is taken twice.
 LICENSES = f"""
-WITH s AS (SELECT doc_id, [trim(regexp_replace(x, '[^a-z0-9+]+', ' ', 'g')) FOR x IN string_split(regexp_replace({_LOWER}, '[.!?;:]([\\x20\\x09-\\x0D]|$)', chr(10), 'g'), chr(10))] AS all_s FROM documents),
-k AS (SELECT doc_id, [coalesce(MAP {{{_KNOWN}}}[x], 0) FOR x IN all_s IF x <> ''] AS k FROM s),
-m AS (SELECT doc_id, k, ',' || array_to_string([CAST(x AS VARCHAR) || ',' FOR x IN k], ',') || ',' AS line FROM k),
-f AS (SELECT doc_id, k, regexp_extract_all({_ruled()}, ',L(\\d+),', 1) AS f FROM m)
-SELECT doc_id, CAST(len([x FOR x IN k IF x > 0]) AS INTEGER) AS n_known, array_to_string(list_sort(list_distinct([({_NAMES!r})[CAST(x AS INTEGER) + 1] FOR x IN f])), ',') AS licenses, CAST(len(f) AS INTEGER) AS n_matches FROM f"""
+WITH RECURSIVE known(id, words, n) AS (VALUES {_LISTED}), rules(r, name, seq) AS (VALUES {_RULED}),
+s AS (SELECT DISTINCT doc_id, text, [trim(regexp_replace(x, '[^a-z0-9+]+', ' ', 'g')) FOR x IN string_split(regexp_replace({_LOWER}, '[.!?;:]([\\x20\\x09-\\x0D]|$)', chr(10), 'g'), chr(10))] AS all_s FROM documents),
+t AS (SELECT doc_id, text, [x FOR x IN all_s IF x <> '' AND NOT regexp_full_match(x, '[0-9]{{1,2}}')] AS x FROM s WHERE text IS NOT NULL),
+p AS (SELECT doc_id, text, unnest(range(1, len(x) + 1)) AS i, x FROM t),
+w AS (SELECT doc_id, text, i, i + g AS j, array_to_string(x[i:i + g], ' ') AS words FROM p, (SELECT unnest(range(0, 12)) AS g) WHERE i + g <= len(x) AND split_part(x[i], ' ', 1) IN (SELECT split_part(words, ' ', 1) FROM known)),
+c AS (SELECT doc_id, text, i, max(row(j, id)) AS m FROM w JOIN known USING (words) GROUP BY ALL),
+g AS (SELECT doc_id, text, 1 AS i, 0 AS k, 0 AS id, (SELECT max(len(x)) FROM t) AS n FROM (SELECT DISTINCT doc_id, text FROM c)
+  UNION ALL SELECT g.doc_id, g.text, CASE WHEN c.i IS NULL THEN g.i + 1 ELSE c.m[1] + 1 END, g.k + 1, coalesce(c.m[2], 0), n FROM g JOIN t USING (doc_id, text) LEFT JOIN c ON c.doc_id = g.doc_id AND c.text = g.text AND c.i = g.i WHERE g.i <= len(t.x)),
+f AS (SELECT doc_id, text, list(id ORDER BY k) AS f FROM g WHERE k > 0 GROUP BY ALL),
+q AS (SELECT doc_id, text, r, name, a, a + len(seq) - 1 AS b FROM (SELECT *, unnest(range(1, len(f) + 1)) AS a FROM f) JOIN rules ON f[a:a + len(seq) - 1] = seq),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY r, a) AS u FROM q),
+z AS (SELECT doc_id, text, 0 AS u, []::BIGINT[] AS used, []::VARCHAR[] AS names FROM f UNION ALL
+  SELECT z.doc_id, z.text, o.u, CASE WHEN list_has_any(used, range(a, b + 1)) THEN used ELSE used || range(a, b + 1) END, CASE WHEN list_has_any(used, range(a, b + 1)) THEN names ELSE names || [name] END FROM z JOIN o ON o.doc_id = z.doc_id AND o.text = z.text AND o.u = z.u + 1),
+y AS (SELECT doc_id, text, max_by(names, u) AS names FROM z GROUP BY ALL)
+SELECT d.doc_id, CAST(coalesce(len([x FOR x IN f.f IF x > 0]), 0) AS INTEGER) AS n_known, array_to_string(list_sort(list_distinct(coalesce(y.names, []))), ',') AS licenses, CAST(coalesce(len(y.names), 0) AS INTEGER) AS n_matches
+FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id AND f.text = d.text LEFT JOIN y ON y.doc_id = d.doc_id AND y.text = d.text"""
 
 #: All pairs of different lines whose lengths are near; a line with a word may differ in one of twenty characters, in two at most.
 LINES = """
