@@ -20,7 +20,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import arrow_rows, forget, written
 from .graphs import components
@@ -285,8 +284,6 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     forget(first, sets)
     group = components(links, 2)
 
-    by_token = Window.partitionBy("token")
-
     def sized(group: DataFrame) -> DataFrame:
         """id, g, size of the classes that are linked at all."""
         return group.join(group.groupBy("component").agg(F.count("*").alias("size")), "component").select(F.col("node").alias("id"), F.col("component").alias("g"), "size")
@@ -294,14 +291,16 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     def between_groups(base: DataFrame, group: DataFrame) -> DataFrame:
         """token, id, n, g, size of tokens that two groups still share."""
         placed = base.select("token", "id", "n").join(sized(group), "id", "left").select("token", "id", "n", F.coalesce("g", "id").alias("g"), F.coalesce("size", F.lit(1)).alias("size"))
-        each = placed.withColumns({"lo": F.min("g").over(by_token), "hi": F.max("g").over(by_token), "least": F.min("n").over(by_token), "most": F.max("n").over(by_token)}).where("lo < hi")
-        each = written(each.drop("lo", "hi"), "shared")
+        # Aggregated and joined, so that a frequent token is no one task's.
+        ends = placed.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")).where("lo < hi").drop("lo", "hi")
+        each = written(placed.join(ends, "token"), "shared")
         # A class must hold as many such tokens as it has to share with a partner of any size that they are shared with.
         able = each.groupBy("id", "n").agg(F.count("*").alias("k"), F.min("least").alias("least"), F.max("most").alias("most"))
         able = able.where(F.col("k") >= _bound(F.col("n"), F.col("least"), F.col("most"), percent, 2)).select("id", "n")
-        kept = each.drop("least", "most").join(able, ["id", "n"], "left_semi")
-        out = written(kept.withColumns({"lo": F.min("g").over(by_token), "hi": F.max("g").over(by_token)}).where("lo < hi").drop("lo", "hi"), "between")
-        forget(each)
+        kept = written(each.drop("least", "most").join(able, ["id", "n"], "left_semi"), "kept")
+        still = kept.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("token")
+        out = written(kept.join(still, "token", "left_semi"), "between")
+        forget(each, kept)
         return out
 
     # Groups grow: of a few classes for each token every class meets the one of another group with which it shares most, as
