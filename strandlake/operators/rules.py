@@ -57,9 +57,12 @@ def evidence(rule: str, target: Column, level: Column, value: dict[str, Column],
     return F.struct(F.lit(rule).alias("rule"), target.cast("string").alias("target"), fields.alias("value"), limits.alias("threshold"), level.alias("severity"), F.lit(note).alias("note"))
 
 
-def records(df: DataFrame, *checks: Column, digest: str = "", profile: str = "") -> DataFrame:
-    """One row for each check of each row: rule, target, value, threshold, severity, note and the run's marks."""
-    rows = df.select(F.inline(F.array(*checks)))
+def records(df: DataFrame, *checks: Column, listed: Column | None = None, digest: str = "", profile: str = "") -> DataFrame:
+    """One row for each check of each row: rule, target, value, threshold, severity, note and the run's marks.
+
+    listed: an array of checks, beside single ones."""
+    each = [F.array(*checks)] * bool(checks) + ([] if listed is None else [listed])
+    rows = df.select(F.inline(F.concat(*each)))
     return rows.select("*", F.lit(digest).alias("parameter_digest"), F.lit(ENGINE).alias("engine"), F.lit(profile).alias("profile"), F.lit(False).alias("calibrated"))
 
 

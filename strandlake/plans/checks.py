@@ -25,32 +25,43 @@ def parsed_oligo(raw: Column) -> Column:
     return F.struct(F.replace(bare, F.lit("+"), F.lit("")).alias("dna"), F.regexp_count(bare, F.lit("\\+[ACGT]")).alias("n_lna"), tags.alias("tags"))
 
 
-def primer_checks(seq: str, target: str, cond: thermo.Conditions = thermo.Conditions(), tm: tuple[float, float] = (58.0, 62.0)) -> list[Column]:
-    """SEQ-01..03, CMP-05..08 and TH-01..05 of a primer: expressions only. A degenerate or invalid primer fails or is INFO without values."""
+def _over(values: dict[str, Column], checks) -> Column:
+    """The array of checks(fields) where each of the values is computed once, however many checks look at it."""
+    return F.get(F.transform(F.array(F.struct(*[c.alias(k) for k, c in values.items()])), checks), 0)
+
+
+def primer_checks(seq: str, target: str, cond: thermo.Conditions = thermo.Conditions(), tm: tuple[float, float] = (58.0, 62.0)) -> Column:
+    """SEQ-01..03, CMP-05..08 and TH-01..05 of a primer, as an array: expressions only. A degenerate or invalid primer fails or
+    is INFO without values."""
     s, t = F.col(seq), F.col(target)
-    n, kinds, h1, h2 = F.length(s), dna.degeneracy(s), dna.shannon_entropy(s, 1), dna.shannon_entropy(s, 2)
-    half = F.floor(n / 2).cast("int")
+    half, last5 = F.floor(F.length(s) / 2).cast("int"), F.right(s, F.lit(5))
     free = lambda e: e["dh"] - 310.15 * e["ds"] / 1000.0
-    d5, d3 = free(thermo.duplex(F.substring(s, F.lit(1), half))), free(thermo.duplex(F.right(s, half)))
-    m = thermo.melting(s, cond)
-    last5 = F.right(s, F.lit(5))
-    tail = thermo.stack_energy(last5, 0) - 310.15 * thermo.stack_energy(last5, 1) / 1000.0
-    theta, half_bound = thermo.bound_fraction(m, cond.anneal_c), thermo.bound_fraction(m, m["tm_c"])
-    no = F.lit(False)
-    return [
-        evidence("SEQ-01", t, severity(~dna.is_strict(s)), {"strict": dna.is_strict(s)}),
-        evidence("SEQ-02", t, severity(outside(n, 15, 35), outside(n, 18, 30)), {"length": n}, {"warn": "18-30", "fail": "15-35"}),
-        evidence("SEQ-03", t, severity((kinds > 256) | dna.degenerate_three_prime(s), kinds > 32), {"degeneracy": kinds, "three_prime": dna.degenerate_three_prime(s)}, {"warn": "> 32", "fail": "> 256 or in the last 3"}),
-        evidence("CMP-05", t, severity(h1 < 1.2, h1 < 1.5), {"k1": F.round(h1, 4), "k2": F.round(h2, 4)}, {"warn": "k1 < 1.5", "fail": "k1 < 1.2"}),
-        evidence("CMP-06", t, severity(dna.has_g_quadruplex(s)), {"g_quadruplex": dna.has_g_quadruplex(s)}),
-        evidence("CMP-07", t, severity(no, d3 < d5 - 2.0), {"dg5": F.round(d5, 3), "dg3": F.round(d3, 3)}, {"warn": "3' half 2 kcal/mol below"}),
-        evidence("CMP-08", t, severity(no, s.endswith("T")), {"base": F.right(s, F.lit(1))}),
-        evidence("TH-01", t, severity(outside(m["tm_c"], tm[0] - 3, tm[1] + 3), outside(m["tm_c"], *tm)), {"tm_c": F.round(m["tm_c"], 3)}),
-        evidence("TH-02", t, severity(thermo.salt_spread(s, cond) > 4, thermo.salt_spread(s, cond) > 2), {"spread_c": F.round(thermo.salt_spread(s, cond), 3)}),
-        evidence("TH-03", t, severity(theta < 0.80, theta < 0.95), {"theta": F.round(theta, 6)}),
-        evidence("TH-04", t, severity(tail < -11, outside(tail, -9, -6)), {"dg_last5": F.round(tail, 3)}),
-        evidence("TH-05", t, severity(F.abs(half_bound - 0.5) > 1e-9), {"theta_at_tm": F.round(half_bound, 6)}),
-    ]
+    values = {
+        "n": F.length(s), "strict": dna.is_strict(s), "kinds": dna.degeneracy(s), "ending": dna.degenerate_three_prime(s), "h1": dna.shannon_entropy(s, 1), "h2": dna.shannon_entropy(s, 2), "g4": dna.has_g_quadruplex(s),
+        "d5": free(thermo.duplex(F.substring(s, F.lit(1), half))), "d3": free(thermo.duplex(F.right(s, half))), "m": thermo.melting(s, cond), "spread": thermo.salt_spread(s, cond),
+        "tail": thermo.stack_energy(last5, 0) - 310.15 * thermo.stack_energy(last5, 1) / 1000.0,
+    }
+
+    def checks(v: Column) -> Column:
+        n, kinds, h1, m, tail, spread = v["n"], v["kinds"], v["h1"], v["m"], v["tail"], v["spread"]
+        theta, half_bound = thermo.bound_fraction(m, cond.anneal_c), thermo.bound_fraction(m, m["tm_c"])
+        no = F.lit(False)
+        return F.array(
+            evidence("SEQ-01", t, severity(~v["strict"]), {"strict": v["strict"]}),
+            evidence("SEQ-02", t, severity(outside(n, 15, 35), outside(n, 18, 30)), {"length": n}, {"warn": "18-30", "fail": "15-35"}),
+            evidence("SEQ-03", t, severity((kinds > 256) | v["ending"], kinds > 32), {"degeneracy": kinds, "three_prime": v["ending"]}, {"warn": "> 32", "fail": "> 256 or in the last 3"}),
+            evidence("CMP-05", t, severity(h1 < 1.2, h1 < 1.5), {"k1": F.round(h1, 4), "k2": F.round(v["h2"], 4)}, {"warn": "k1 < 1.5", "fail": "k1 < 1.2"}),
+            evidence("CMP-06", t, severity(v["g4"]), {"g_quadruplex": v["g4"]}),
+            evidence("CMP-07", t, severity(no, v["d3"] < v["d5"] - 2.0), {"dg5": F.round(v["d5"], 3), "dg3": F.round(v["d3"], 3)}, {"warn": "3' half 2 kcal/mol below"}),
+            evidence("CMP-08", t, severity(no, s.endswith("T")), {"base": F.right(s, F.lit(1))}),
+            evidence("TH-01", t, severity(outside(m["tm_c"], tm[0] - 3, tm[1] + 3), outside(m["tm_c"], *tm)), {"tm_c": F.round(m["tm_c"], 3)}),
+            evidence("TH-02", t, severity(spread > 4, spread > 2), {"spread_c": F.round(spread, 3)}),
+            evidence("TH-03", t, severity(theta < 0.80, theta < 0.95), {"theta": F.round(theta, 6)}),
+            evidence("TH-04", t, severity(tail < -11, outside(tail, -9, -6)), {"dg_last5": F.round(tail, 3)}),
+            evidence("TH-05", t, severity(F.abs(half_bound - 0.5) > 1e-9), {"theta_at_tm": F.round(half_bound, 6)}),
+        )
+
+    return _over(values, checks)
 
 
 def with_structures(primers: DataFrame, seq: str = "primer") -> DataFrame:
@@ -78,28 +89,30 @@ def structure_checks(target: str) -> list[Column]:
     ]
 
 
-def pair_checks(target: str, product: tuple[int, int] = (60, 200), cond: thermo.Conditions = thermo.Conditions(), ctdna: bool = False) -> list[Column]:
-    """PAIR-01..04, AMP-01, AMP-03, TH-07, CT-01, CT-02 of (primer1, primer2, amplicon)."""
+def pair_checks(target: str, product: tuple[int, int] = (60, 200), cond: thermo.Conditions = thermo.Conditions(), ctdna: bool = False) -> Column:
+    """PAIR-01..04, AMP-01, AMP-03, TH-07, and with ctdna CT-01, CT-02, of (primer1, primer2, amplicon), as an array."""
     t, a = F.col(target), F.col("amplicon")
-    n = F.length(a)
     tm = lambda c: thermo.melting(c, cond)["tm_c"]
-    f, r, p = tm("primer1"), tm("primer2"), tm("amplicon")
-    delta, gap, inner, edge = F.abs(f - r), p - F.greatest(f, r), n - F.length("primer1") - F.length("primer2"), 0.1 * (product[1] - product[0])
-    gc, window, entropy = dna.gc_fraction(a), dna.gc_window_max(a, 50), dna.shannon_entropy(a, 1)
-    best = thermo.rychlik_anneal(F.least(f, r), p)
-    no, g4 = F.lit(False), dna.has_g_quadruplex(a)
-    out = [
-        evidence("PAIR-01", t, severity(delta > 5, delta > 2), {"delta_tm": F.round(delta, 3)}),
-        evidence("PAIR-02", t, severity(outside(n, *product), outside(n, product[0] + edge, product[1] - edge)), {"length": n}),
-        evidence("PAIR-03", t, severity(inner < 0, inner < 10), {"gap": inner}),
-        evidence("PAIR-04", t, severity(no, gap > 30), {"gap_c": F.round(gap, 3)}),
-        evidence("AMP-01", t, severity(window > 0.85, outside(gc, 0.35, 0.65) | (window > 0.75)), {"gc": F.round(gc, 4), "window": F.round(window, 4)}),
-        evidence("AMP-03", t, severity(no, (entropy < 1.5) | g4), {"k1": F.round(entropy, 4), "g_quadruplex": g4}),
-        evidence("TH-07", t, severity(no, F.abs(best - cond.anneal_c) > 5), {"anneal_c": F.round(best, 3)}),
-    ]
-    if ctdna:
-        out += [evidence("CT-01", t, severity(n > 100), {"length": n}), evidence("CT-02", t, F.lit("INFO"), {"intact": F.round(thermo.intact_fragment_probability(n), 6)})]
-    return out
+    values = {"n": F.length(a), "f": tm("primer1"), "r": tm("primer2"), "p": tm("amplicon"), "gc": dna.gc_fraction(a), "window": dna.gc_window_max(a, 50), "h": dna.shannon_entropy(a, 1), "g4": dna.has_g_quadruplex(a)}
+    edge, no = 0.1 * (product[1] - product[0]), F.lit(False)
+
+    def checks(v: Column) -> Column:
+        n, f, r, p = v["n"], v["f"], v["r"], v["p"]
+        delta, gap, inner, best = F.abs(f - r), p - F.greatest(f, r), n - F.length("primer1") - F.length("primer2"), thermo.rychlik_anneal(F.least(f, r), p)
+        out = [
+            evidence("PAIR-01", t, severity(delta > 5, delta > 2), {"delta_tm": F.round(delta, 3)}),
+            evidence("PAIR-02", t, severity(outside(n, *product), outside(n, product[0] + edge, product[1] - edge)), {"length": n}),
+            evidence("PAIR-03", t, severity(inner < 0, inner < 10), {"gap": inner}),
+            evidence("PAIR-04", t, severity(no, gap > 30), {"gap_c": F.round(gap, 3)}),
+            evidence("AMP-01", t, severity(v["window"] > 0.85, outside(v["gc"], 0.35, 0.65) | (v["window"] > 0.75)), {"gc": F.round(v["gc"], 4), "window": F.round(v["window"], 4)}),
+            evidence("AMP-03", t, severity(no, (v["h"] < 1.5) | v["g4"]), {"k1": F.round(v["h"], 4), "g_quadruplex": v["g4"]}),
+            evidence("TH-07", t, severity(no, F.abs(best - cond.anneal_c) > 5), {"anneal_c": F.round(best, 3)}),
+        ]
+        if ctdna:
+            out += [evidence("CT-01", t, severity(n > 100), {"length": n}), evidence("CT-02", t, F.lit("INFO"), {"intact": F.round(thermo.intact_fragment_probability(n), 6)})]
+        return F.array(*out)
+
+    return _over(values, checks)
 
 
 def hetero_checks(pairs: DataFrame, target: str) -> tuple[DataFrame, list[Column]]:

@@ -142,11 +142,13 @@ def panel_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_SITES}, f AS (SELECT primer, mm, CASE WHEN instr(right(mask, 3), 'X') = 0 THEN 1 ELSE 0 END AS a FROM bindings),
-r AS (SELECT pair_id, 'F' AS role, primer1 AS primer FROM panel UNION ALL SELECT pair_id, 'R', primer2 FROM panel)
-SELECT pair_id, role, r.primer, count(mm) AS n_sites, count(*) FILTER (mm = 0) AS n_exact, count(*) FILTER (mm > 0 AND a = 1) AS n_anchored_mismatched,
-CASE WHEN count(*) FILTER (mm = 0) > 1 THEN 'FAIL' WHEN count(*) FILTER (mm = 0) = 0 THEN 'WARN' ELSE 'INFO' END AS spc01 FROM r LEFT JOIN f ON f.primer = r.primer GROUP BY pair_id, role, r.primer""")
+r AS (SELECT pair_id, 'F' AS role, primer1 AS primer FROM panel UNION ALL SELECT pair_id, 'R', primer2 FROM panel),
+h AS (SELECT primer, string_agg(t, ',' ORDER BY t) AS histogram FROM (SELECT primer, concat(mm, ':', count(*)) AS t FROM f GROUP BY primer, mm) GROUP BY primer)
+SELECT pair_id, role, r.primer, count(mm) AS n_sites, count(*) FILTER (mm = 0) AS n_exact, count(*) FILTER (mm > 0 AND a = 1) AS n_anchored_mismatched, coalesce(any_value(histogram), '') AS histogram,
+CASE WHEN count(*) FILTER (mm = 0) > 1 THEN 'FAIL' WHEN count(*) FILTER (mm = 0) = 0 THEN 'WARN' ELSE 'INFO' END AS spc01,
+CASE WHEN count(*) FILTER (mm > 0 AND a = 1) > 0 OR count(*) FILTER (mm = 0) > 1 THEN 'WARN' ELSE 'INFO' END AS spc02 FROM r LEFT JOIN f ON f.primer = r.primer LEFT JOIN h ON h.primer = r.primer GROUP BY pair_id, role, r.primer""")
 def primer_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return specificity.primer_sites(panel(spark, sf_dir), bindings(spark, sf_dir)).select("pair_id", "role", "primer", "n_sites", "n_exact", "n_anchored_mismatched", "spc01")
+    return specificity.primer_sites(panel(spark, sf_dir), bindings(spark, sf_dir)).select("pair_id", "role", "primer", "n_sites", "n_exact", "n_anchored_mismatched", "histogram", "spc01", "spc02")
 
 
 @query(f"""{_SITES}, c AS (SELECT a.chrom, a.s AS start, b.e AS "end", a.primer AS l, b.primer AS r, a.mm + b.mm AS mm, concat(least(a.primer, b.primer), '/', greatest(a.primer, b.primer)) AS combo
@@ -173,6 +175,11 @@ def mismatch_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("primer", "chrom", "start", "strand", "mismatches", F.col("f.first5").alias("first5"), F.col("f.last5").alias("last5"), F.col("f.last8").alias("last8"), F.col("f.nearest_to_3p").cast("int").alias("nearest_to_3p"), F.round("f.positional_burden", 6).alias("burden"), masks.hexadecimal("mask_bits").alias("hex_mask"))
 
 
+def entropy_sql(seq: str) -> str:
+    """Of a column's bases, in bits."""
+    return f"list_sum([CASE WHEN n = 0 THEN 0 ELSE -n / CAST(length({seq}) AS DOUBLE) * log2(n / CAST(length({seq}) AS DOUBLE)) END FOR n IN [length({seq}) - length(replace({seq}, b, '')) FOR b IN ['A', 'C', 'G', 'T']]])"
+
+
 _K1 = "[length(seq) - length(replace(seq, b, '')) FOR b IN ['A', 'C', 'G', 'T']]"
 
 
@@ -199,9 +206,14 @@ def tandem_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STEP = {"AA": (-7.9, -22.2), "AT": (-7.2, -20.4), "TA": (-7.2, -21.3), "CA": (-8.5, -22.7), "GT": (-8.4, -22.4), "CT": (-7.8, -21.0), "GA": (-8.2, -22.2), "CG": (-10.6, -27.2), "GC": (-9.8, -24.4), "GG": (-8.0, -19.9), "TT": (-7.9, -22.2), "TG": (-8.5, -22.7), "AC": (-8.4, -22.4), "AG": (-7.8, -21.0), "TC": (-8.2, -22.2), "CC": (-8.0, -19.9)}
 
 
+def steps_sql(seq: str, k: int) -> str:
+    """Enthalpy (0) or entropy (1) of the steps of a column."""
+    return f"list_sum([CASE {' '.join(f'WHEN x = {chr(39)}{s}{chr(39)} THEN {v[k]}' for s, v in _STEP.items())} END FOR x IN [substr({seq}, i, 2) FOR i IN range(1, length({seq}))]])"
+
+
 def _duplex_sql(seq: str) -> str:
     """dh, ds of a column by counting over its steps."""
-    part = lambda k: f"list_sum([CASE {' '.join(f'WHEN x = {chr(39)}{s}{chr(39)} THEN {v[k]}' for s, v in _STEP.items())} END FOR x IN [substr({seq}, i, 2) FOR i IN range(1, length({seq}))]])"
+    part = lambda k: steps_sql(seq, k)
     end = lambda b, k: f"CASE WHEN {b} IN ('A', 'T') THEN {(2.3, 4.1)[k]} ELSE {(0.1, -2.8)[k]} END"
     sym = f"CASE WHEN {seq} = {_RC(seq)} THEN -1.4 ELSE 0 END"
     return f"CAST({part(0)} AS DOUBLE) + {end(f'left({seq}, 1)', 0)} + {end(f'right({seq}, 1)', 0)} AS dh, CAST({part(1)} AS DOUBLE) + {end(f'left({seq}, 1)', 1)} + {end(f'right({seq}, 1)', 1)} + {sym} AS ds"
@@ -361,19 +373,11 @@ def amplicon_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("amplicon_id", "n_inside", "n_common_indels", "var08")
 
 
-@query(f"""WITH {CONTIGS}, {PANEL}, p AS (SELECT pair_id, primer1 AS s FROM panel), v AS (SELECT pair_id, s, list_sum([CASE WHEN n = 0 THEN 0 ELSE -n / 20.0 * log2(n / 20.0) END FOR n IN [length(s) - length(replace(s, b, '')) FOR b IN ['A', 'C', 'G', 'T']]]) AS h FROM p)
-SELECT pair_id AS target, CASE WHEN h < 1.2 OR regexp_matches(s, 'G{{3,}}\\w{{1,7}}G{{3,}}\\w{{1,7}}G{{3,}}\\w{{1,7}}G{{3,}}') THEN 'FAIL' WHEN h < 1.5 OR right(s, 1) = 'T' THEN 'WARN' ELSE 'PASS' END AS verdict FROM v""")
-def primer_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = panel(spark, sf_dir)
-    found = rules.records(p, *checks.primer_checks("primer1", "pair_id")).where(F.col("rule").isin("CMP-05", "CMP-06", "CMP-08"))
-    return rules.verdicts(found).select("target", "verdict")
-
-
-@query(f"""WITH {CONTIGS}, {PANEL}, c AS (SELECT pair_id, translate(primer1, 'C', 'T') AS s, primer1 AS o FROM panel), n AS (SELECT pair_id, CAST(len(regexp_extract_all(o, 'CG')) AS INTEGER) AS cpg, CASE WHEN instr(reverse(o), 'GC') > 0 THEN instr(reverse(o), 'GC') END AS near, length(o) - length(replace(o, 'C', '')) - len(regexp_extract_all(o, 'CG')) AS other FROM c)
-SELECT pair_id, cpg, CASE WHEN near < 5 THEN 'FAIL' WHEN cpg > 0 THEN 'WARN' ELSE 'INFO' END AS bis01, CASE WHEN other < 2 THEN 'WARN' ELSE 'INFO' END AS bis02 FROM n""")
+@query(f"""WITH {CONTIGS}, {PANEL}, c AS (SELECT pair_id, translate(primer1, 'C', 'T') AS s, primer1 AS o FROM panel), n AS (SELECT pair_id, CAST(len(regexp_extract_all(o, 'CG')) AS INTEGER) AS cpg, CASE WHEN instr(reverse(o), 'GC') > 0 THEN instr(reverse(o), 'GC') END AS near, length(o) - length(replace(o, 'C', '')) - len(regexp_extract_all(o, 'CG')) AS other, {entropy_sql('o')} AS h FROM c)
+SELECT pair_id, cpg, CASE WHEN near < 5 THEN 'FAIL' WHEN cpg > 0 THEN 'WARN' ELSE 'INFO' END AS bis01, CASE WHEN other < 2 THEN 'WARN' ELSE 'INFO' END AS bis02, CASE WHEN h < 0.9 THEN 'FAIL' WHEN h < 1.2 THEN 'WARN' ELSE 'INFO' END AS bis03 FROM n""")
 def bisulfite_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one, two, _ = checks.bisulfite_checks("pair_id", "primer1", "primer1")
-    return panel(spark, sf_dir).select("pair_id", dna.cpg_count("primer1").alias("cpg"), one["severity"].alias("bis01"), two["severity"].alias("bis02"))
+    one, two, three = checks.bisulfite_checks("pair_id", "primer1", "primer1")
+    return panel(spark, sf_dir).select("pair_id", dna.cpg_count("primer1").alias("cpg"), one["severity"].alias("bis01"), two["severity"].alias("bis02"), three["severity"].alias("bis03"))
 
 
 #: A gene for each shared block, with two transcripts; the second lacks the exon of the right primer for odd documents.
@@ -426,3 +430,6 @@ def designed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked primer pairs of every contig."""
     targets = contigs(spark, sf_dir).select(F.col("chrom").alias("target_id"), "seq")
     return design.design(targets, Constraints(length=(20, 20), tm=(59.7, 60.3), product=(100, 140)))["pairs"]
+
+
+from strandlake import rule_queries  # noqa: E402, F401  (adds its own to QUERIES)
