@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import dna, masks, thermo
 from strandlake.operators import intervals, products, ranking, rules, search, sets
 from strandlake.plans import checks, design, multiplex, specificity, variants
-from strandlake.plans.profiles import Constraints
+from strandlake.plans.profiles import PROFILES, Constraints
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -244,10 +244,10 @@ def melting_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("primer", F.inline(thermo.melting_curve(F.col("m"), 20.0, 95.0, 2.5))).select("primer", "t", F.round("theta", 6).alias("theta"))
 
 
-_CONS = Constraints(length=(18, 20), gc=(0.40, 0.60))
+_CONS = PROFILES["qpcr_sybr"]
 
 
-@query(f"""WITH {CONTIGS}, w AS (SELECT chrom, s, s + n AS e, substr(seq, s + 1, n) AS x FROM (SELECT chrom, seq, unnest(range(0, length(seq))) AS s FROM contig), (SELECT unnest([18, 19, 20]) AS n) WHERE s + n <= length(seq)),
+@query(f"""WITH {CONTIGS}, w AS (SELECT chrom, s, s + n AS e, substr(seq, s + 1, n) AS x FROM (SELECT chrom, seq, unnest(range(0, length(seq))) AS s FROM contig), (SELECT unnest(range(18, 28)) AS n) WHERE s + n <= length(seq)),
 b AS (SELECT chrom, 'F' AS o, s, e, x FROM w UNION ALL SELECT chrom, 'R', s, e, {_RC('x')} FROM w),
 v AS (SELECT *, length(replace(replace(x, 'A', ''), 'T', '')) / CAST(length(x) AS DOUBLE) AS gc, length(replace(replace(right(x, 5), 'A', ''), 'T', '')) AS clamp, regexp_matches(x, 'AAAA|CCCC|GGGG|TTTT') AS run,
 regexp_matches(x, '{"|".join(f"({a + b}){{4}}" for a in "ACGT" for b in "ACGT")}|{"|".join(f"({a + b + c}){{4}}" for a in "ACGT" for b in "ACGT" for c in "ACGT")}') AS rep FROM b),

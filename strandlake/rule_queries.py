@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from strandlake import queries as q
 from strandlake.functions.parameters import HYBRID, HYBRID_START
 from strandlake.operators import rules
-from strandlake.plans import checks, multiplex, specificity
+from strandlake.plans import checks, design, multiplex, specificity
+from strandlake.plans.profiles import Constraints
 
 _FOUR_G = r"G{3,}\w{1,7}G{3,}\w{1,7}G{3,}\w{1,7}G{3,}"
 _G4 = lambda s: f"(regexp_matches({s}, '{_FOUR_G}') OR regexp_matches({q._RC(s)}, '{_FOUR_G}'))"
@@ -175,3 +176,21 @@ def gene_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = q.table(spark, sf_dir, "documents").select("doc_id", F.get(names, (F.col("doc_id") % 5).cast("int")).alias("gene"))
     found = rules.records(d, checks.gene_check("doc_id"))
     return found.select("target", F.get_json_object("value", "$.gene").alias("gene"), F.col("severity").alias("ct06"))
+
+
+_PLACED = Constraints(length=(18, 20), region=(20, 220))
+
+
+@q.query(f"""WITH {q.CONTIGS}, t AS (SELECT chrom, doc_id, CASE WHEN doc_id % 4 = 0 THEN left(seq, 59) || 'N' || substr(seq, 61) ELSE seq END AS seq FROM contig), v AS (SELECT chrom, doc_id % 200 AS a, doc_id % 200 + 1 + doc_id % 3 AS b FROM contig),
+w AS (SELECT chrom, s, s + n AS e, substr(seq, s + 1, n) AS x FROM (SELECT chrom, seq, unnest(range(0, length(seq))) AS s FROM t), (SELECT unnest([18, 19, 20]) AS n) WHERE s + n <= length(seq)),
+b AS (SELECT *, unnest(['F', 'R']) AS o FROM w),
+r AS (SELECT b.chrom, o, CASE WHEN s < 20 OR e > 220 THEN 'REGION' WHEN contains(x, 'N') THEN 'SEQ-04' WHEN v.a < e AND v.b > s AND (CASE WHEN o = 'F' THEN v.b > e - 5 ELSE v.a < s + 5 END) THEN 'VAR-02' WHEN v.a < e AND v.b > s THEN 'VAR-01' ELSE 'ok' END AS rule FROM b JOIN v ON v.chrom = b.chrom)
+SELECT chrom AS target_id, o AS orientation, rule, count(*) AS n FROM r GROUP BY ALL""")
+def placed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of every contig by what is wrong with their place: the region, letters, variants."""
+    c, d = q.contigs(spark, sf_dir), F.col("doc_id")
+    seq = F.when(d % 4 == 0, F.concat(F.substring("seq", 1, 59), F.lit("N"), F.substring("seq", 61, 300))).otherwise(F.col("seq"))
+    targets = c.select(F.col("chrom").alias("target_id"), seq.alias("seq"))
+    known = c.select(F.col("chrom").alias("target_id"), (d % 200).alias("start"), (d % 200 + 1 + d % 3).alias("end"))
+    found = design.placed_windows(targets, _PLACED, known)
+    return found.groupBy("target_id", "orientation", F.coalesce("failed.rule", F.lit("ok")).alias("rule")).agg(F.count("*").alias("n"))
