@@ -123,6 +123,15 @@ def valid_bindings(bindings: DataFrame, contigs: DataFrame, most: int = 3, ancho
     return at.withColumn("ok", F.coalesce(right, F.lit(False))).select(*bindings.columns, "ok")
 
 
+def contig_sites(contigs: DataFrame, primers: DataFrame, most: int = 2, anchor: int = 3) -> DataFrame:
+    """Unanchored sites with scan_start, where a scan of each strand from its own 5' end meets them (on "-" counted from the
+    contig's end), and anchored: whether the last anchor bases match."""
+    sizes = contigs.select("chrom", F.length(normalized("seq")).cast("long").alias("_n"))
+    found = sensitive_search(contigs, primers, most).join(sizes, "chrom")
+    scan = F.when(F.col("strand") == "+", F.col("start")).otherwise(F.col("_n") - F.col("end"))
+    return found.withColumns({"scan_start": scan, "anchored": F.right("primer", F.lit(anchor)) == F.right("oriented", F.lit(anchor))}).drop("_n")
+
+
 def profiled(contigs: DataFrame, primers: DataFrame, profile: str = "STRICT", most: int = 3, anchor: int = 12) -> DataFrame:
     """The anchored (STRICT) or the unanchored (SENSITIVE) search."""
     if profile == "STRICT":

@@ -45,3 +45,19 @@ def tolerant_comparison(ours: DataFrame, other: DataFrame, key: Sequence[str], v
     a, b = ours.select(*key, F.col(value).alias("ours")), other.select(*key, F.col(value).alias("other"))
     status = F.when(F.col("ours").isNull(), "MISSING_OURS").when(F.col("other").isNull(), "MISSING_OTHER").when(F.abs(F.col("ours") - F.col("other")) <= tolerance, "MATCH").otherwise("DIFF")
     return a.join(b, list(key), "full_outer").withColumn("status", status)
+
+
+def zipped(left: DataFrame, right: DataFrame, keys: Sequence[str], position: str, equal: Sequence[str]) -> DataFrame:
+    """Rows of two tables that stand at one place of their group (keys, position), which have to agree in the columns equal.
+
+    A row without a partner, or with one that differs, ends the job with an error: the tables are not of one run. Columns of
+    right but the keys and the position come as r_*.
+    """
+    on = [*keys, position]
+    named = right.select(*on, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in on], F.lit(True).alias("_r"))
+    both = left.withColumn("_l", F.lit(True)).join(named, on, "full_outer")
+    same = F.col("_l") & F.col("_r")
+    for c in equal:
+        same = same & F.col(c).eqNullSafe(F.col(f"r_{c}"))
+    checked = F.when(F.coalesce(same, F.lit(False)), True).otherwise(F.raise_error(F.concat(F.lit("tables differ at "), F.to_json(F.struct(*on)))).cast("boolean"))
+    return both.where(checked).drop("_l", "_r")

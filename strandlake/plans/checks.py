@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandlake.functions import dna, masks, thermo
 from strandlake.functions.structures import dimer_udf, fold_udf, hairpin_udf, melt_udf, on_distinct, unpaired_udf
@@ -13,16 +14,22 @@ from strandlake.functions.parameters import all_steps
 from strandlake.operators.intervals import containment_join, merge_intervals
 from strandlake.operators.ranking import top_k
 from strandlake.operators.rules import evidence, outside, severity
+from strandlake.operators.tables import settled
 
 # Genes of clonal haematopoiesis (Jaiswal 2014, Razavi 2019).
 CHIP_GENES = ("DNMT3A", "TET2", "ASXL1", "JAK2", "TP53", "PPM1D", "SF3B1", "SRSF2", "GNB1", "CBL", "GNAS", "IDH1", "IDH2", "KRAS", "NRAS", "CREBBP", "ATM", "CHEK2", "SETD2", "STAG2", "BCOR")
 
 
 def parsed_oligo(raw: Column) -> Column:
-    """struct(dna, n_lna, tags) of a modified oligo: +N is an LNA base, /name/ a tag at an end."""
+    """struct(dna, n_lna, lna, tags, warnings) of a modified oligo: +N is an LNA base (lna: its places from 0), /name/ a tag at
+    an end. Warned of: a + without a base behind it, a / without a partner, letters that are no bases."""
     tags = F.regexp_extract_all(raw, F.lit("/([^/]+)/"), F.lit(1))
     bare = F.upper(F.regexp_replace(F.regexp_replace(raw, "/[^/]+/", ""), "\\s", ""))
-    return F.struct(F.replace(bare, F.lit("+"), F.lit("")).alias("dna"), F.regexp_count(bare, F.lit("\\+[ACGT]")).alias("n_lna"), tags.alias("tags"))
+    plain = F.regexp_replace(bare, "[+/]", "")
+    parts = F.split(bare, "\\+")
+    lna = F.filter(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("i"), F.length(F.array_join(F.slice(parts, 1, i), "")).alias("at"))), lambda x: (x["i"] < F.size(parts)) & F.get(parts, x["i"]).rlike("^[ACGT]"))
+    warnings = F.filter(F.array(F.when(bare.rlike("\\+([^ACGT]|$)"), "dangling +"), F.when(bare.contains("/"), "unpaired /"), F.when(plain.rlike("[^ACGT]"), "other letters")), lambda x: x.isNotNull())
+    return F.struct(plain.alias("dna"), F.regexp_count(bare, F.lit("\\+[ACGT]")).alias("n_lna"), F.transform(lna, lambda x: x["at"]).alias("lna"), tags.alias("tags"), warnings.alias("warnings"))
 
 
 def _over(values: dict[str, Column], checks) -> Column:
@@ -202,6 +209,21 @@ def probe_windows(amplicons: DataFrame, length: tuple[int, int] = (18, 30), gc:
     return top_k(scored, ["amplicon_id"], ["score", "start", "end", "strand"], per_amplicon)
 
 
+def chosen_probes(windows: DataFrame, fail: float = -9.0, warn: float = -6.0) -> tuple[DataFrame, DataFrame]:
+    """probe_windows() with dimers of the probe with itself and both primers: those whose most stable one is no stronger than
+    fail, their score raised by what it is beyond warn, ranked (rank 1 is the choice); and the rejected, with rule and value."""
+    out = windows
+    for name, other in (("self", "probe"), ("fwd", "primer1"), ("rev", "primer2")):
+        columns = ["probe"] if other == "probe" else ["probe", other]
+        out = on_distinct(out, columns, f"d_{name}", lambda *c: dimer_udf(False)(c[0], c[-1]))
+    dg = lambda name: F.when(F.col(f"d_{name}.found"), F.col(f"d_{name}.dg")).otherwise(0.0)
+    out = settled(out.withColumn("worst_dimer", F.least(dg("self"), dg("fwd"), dg("rev"))).drop("d_self", "d_fwd", "d_rev", "rank"))
+    kept = out.where(F.col("worst_dimer") >= fail).withColumn("score", F.col("score") + F.greatest(F.lit(0.0), F.lit(warn) - F.col("worst_dimer")))
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("amplicon_id").orderBy("score", "start", "end", "strand")))
+    rejected = out.where(F.col("worst_dimer") < fail).select("amplicon_id", "probe", "start", "end", "strand", F.lit("PRB-05").alias("rule"), F.round("worst_dimer", 2).cast("string").alias("value"))
+    return ranked, rejected
+
+
 def allele_check(target: str, cond: thermo.Conditions = thermo.Conditions()) -> Column:
     """CT-04 of (primer, other): other is the second allele's site, written like the primer."""
     on = thermo.melting("primer", cond, concentration="primer_excess")

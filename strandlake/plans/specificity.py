@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandlake.functions import masks, thermo
-from strandlake.operators.intervals import overlapping
+from strandlake.operators.intervals import overlap_join, overlapping
+from strandlake.operators.ranking import top_k
 from strandlake.operators.rules import severity, worst
 from strandlake.operators.tables import settled
 from strandlake.operators.products import pair_products
@@ -28,11 +29,17 @@ def primer_sites(panel: DataFrame, bindings: DataFrame) -> DataFrame:
 
 
 def strongest_sites(bindings: DataFrame, cond: thermo.Conditions = thermo.Conditions()) -> DataFrame:
-    """SPC-04: primer with n_scored, n_unscored, theta and place of its strongest site with exactly one inner mismatch."""
+    """SPC-04: primer with n_scored, n_unscored and why (a map of reasons), theta and place of its strongest site with exactly
+    one inner mismatch."""
     single = bindings.where("mismatches = 1").withColumn("m", thermo.melting("primer", cond, energies=thermo.duplex_with_mismatch("primer", "oriented")))
     scored = single.withColumn("theta", thermo.bound_fraction(F.col("m"), cond.anneal_c))
+    at = F.length(F.conv(F.col("mask_bits").cast("string"), 10, 2)) - 1
+    end = (at < 2) | (at >= F.length("primer") - 2)
+    reason = F.when(F.col("theta").isNotNull(), None).when(end, "near an end").otherwise("no parameters")
     best = F.max_by(F.struct("chrom", "start", "strand"), F.struct("theta", F.xxhash64("chrom", "start", "strand")))
-    return scored.groupBy("primer").agg(F.count("theta").alias("n_scored"), F.count_if(F.col("theta").isNull()).alias("n_unscored"), F.max("theta").alias("theta"), best.alias("site"))
+    counted = lambda name: F.count_if(F.col("reason") == name)
+    reasons = F.create_map(F.lit("near an end"), counted("near an end"), F.lit("no parameters"), counted("no parameters"))
+    return scored.withColumn("reason", reason).groupBy("primer").agg(F.count("theta").alias("n_scored"), F.count_if(F.col("theta").isNull()).alias("n_unscored"), reasons.alias("unscored"), F.max("theta").alias("theta"), best.alias("site"))
 
 
 def annotated(bindings: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -41,6 +48,20 @@ def annotated(bindings: DataFrame, annotations: DataFrame) -> DataFrame:
     return hit.groupBy("primer").agg(F.count("*").alias("n_overlapping"))
 
 
+def annotation_names(bindings: DataFrame, annotations: DataFrame, shown: int = 10) -> DataFrame:
+    """primer with n_names, how many names of intervals (chrom, start, end, name) its sites lie on, and the first of these."""
+    met = overlap_join(bindings.select("chrom", "start", "end", "primer"), annotations.select("chrom", "start", "end", "name"), ["chrom"], left_prefix="", right_prefix="a_")
+    names = met.select("primer", F.col("a_name").alias("name")).where("name is not null").distinct()
+    first = top_k(names, ["primer"], ["name"], shown).groupBy("primer").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    return names.groupBy("primer").agg(F.count("*").alias("n_names")).join(first, "primer")
+
+
+def shown_sites(bindings: DataFrame, shown: int = 40, anchor: int = 12) -> DataFrame:
+    """The first sites of each primer for a reader: few mismatches first, anchored ones before others, then by place."""
+    marked = bindings.withColumn("anchored", masks.anchor_intact("mask", anchor))
+    return top_k(marked, ["primer"], ["mismatches", F.desc("anchored"), "chrom", "start", "strand"], shown)
+
+
 def panel_summary(panel: DataFrame, products: DataFrame, match_chrom: bool = True) -> DataFrame:
     """Each pair's products: n_products, n_intended, n_off, n_off_exact, least_off_mismatches, and its verdict.
 

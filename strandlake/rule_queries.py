@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from strandlake import queries as q
 from strandlake.functions.parameters import HYBRID, HYBRID_START
-from strandlake.operators import rules
-from strandlake.plans import checks, design, multiplex, specificity
+from strandlake.operators import ranking, rules, search, sets
+from strandlake.plans import checks, design, mains, multiplex, specificity
 from strandlake.plans.profiles import Constraints
 
 _FOUR_G = r"G{3,}\w{1,7}G{3,}\w{1,7}G{3,}\w{1,7}G{3,}"
@@ -194,3 +194,91 @@ def placed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = c.select(F.col("chrom").alias("target_id"), (d % 200).alias("start"), (d % 200 + 1 + d % 3).alias("end"))
     found = design.placed_windows(targets, _PLACED, known)
     return found.groupBy("target_id", "orientation", F.coalesce("failed.rule", F.lit("ok")).alias("rule")).agg(F.count("*").alias("n"))
+
+
+@q.query(f"""{_WITH}, primers AS (SELECT DISTINCT primer1 AS primer FROM panel),
+windows AS (SELECT chrom, n, s, substr(seq, s + 1, 20) AS site FROM (SELECT chrom, seq, length(seq) AS n, unnest(range(0, length(seq) - 19)) AS s FROM contig)),
+oriented AS (SELECT chrom, s, s AS scan, '+' AS strand, site AS o FROM windows UNION ALL SELECT chrom, s, n - s - 20, '-', {q._RC('site')} FROM windows)
+SELECT primer, chrom, CAST(s AS BIGINT) AS start, strand, CAST(hamming(primer, o) AS INTEGER) AS mismatches, CAST(scan AS BIGINT) AS scan_start, right(primer, 3) = right(o, 3) AS anchored FROM oriented JOIN primers ON hamming(primer, o) <= 2""")
+def contig_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites of the left primers with at most two mismatches, each strand in its own coordinates."""
+    found = search.contig_sites(q.contigs(spark, sf_dir), q.panel(spark, sf_dir).select(F.col("primer1").alias("primer")))
+    return found.select("primer", "chrom", "start", "strand", "mismatches", "scan_start", "anchored")
+
+
+@q.query(f"""{q._SITES}, b AS (SELECT primer, chrom, s, strand, mm, instr(right(mask, 12), 'X') = 0 AS ok FROM bindings)
+SELECT primer, chrom, CAST(s AS BIGINT) AS start, strand, CAST(mm AS INTEGER) AS mismatches, CAST(row_number() OVER (PARTITION BY primer ORDER BY mm, ok DESC, chrom, s, strand) AS INTEGER) AS rank FROM b QUALIFY row_number() OVER (PARTITION BY primer ORDER BY mm, ok DESC, chrom, s, strand) <= 40""")
+def shown_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first forty sites of each primer for a reader."""
+    return specificity.shown_sites(q.bindings(spark, sf_dir)).select("primer", "chrom", "start", "strand", "mismatches", "rank")
+
+
+@q.query(f"""{q._SITES}, a AS (SELECT chrom, 5 + doc_id % 40 AS a, 60 + doc_id % 120 AS b, concat('psg', doc_id % 30) AS name FROM contig),
+h AS (SELECT DISTINCT primer, name FROM bindings x JOIN a ON a.chrom = x.chrom AND x.s < a.b AND x.e > a.a)
+SELECT primer, count(*) AS n_names, array_to_string(list_slice(list(name ORDER BY name), 1, 10), ',') AS names FROM h GROUP BY primer""")
+def annotation_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the annotations under each primer's sites, the first ten of them spelled out."""
+    d = F.col("doc_id")
+    known = q.contigs(spark, sf_dir).select("chrom", (5 + d % 40).alias("start"), (60 + d % 120).alias("end"), F.concat(F.lit("psg"), (d % 30).cast("string")).alias("name"))
+    return specificity.annotation_names(q.bindings(spark, sf_dir), known).select("primer", "n_names", F.array_join("names", ",").alias("names"))
+
+
+_SOFT = "CASE WHEN doc_id % 3 = 0 THEN lower(left(seq, 60)) || substr(seq, 61) ELSE seq END"
+_TEMPLATE = _levels(
+    SEQ_04=("regexp_matches(l || r2, '[Nn]')", "regexp_matches(w2, '[Nnacgt]')"),
+    SEQ_05=(f"NOT (upper(l) = primer1 AND {q._RC('upper(r2)')} = primer2)", "false"),
+    SEQ_06=("false", "raw IS NULL"),
+)
+
+
+@q.query(f"""{_WITH}, x AS (SELECT pair_id, primer1, primer2, {_SOFT} AS raw, substr(seq, 12, 177) AS a FROM panel JOIN contig ON chrom = pair_id), primers AS (SELECT DISTINCT unnest([primer1, primer2, a]) AS primer FROM x), {q._THERMO},
+a5 AS (SELECT primer, dh AS h5, ds AS s5 FROM (SELECT primer, {q._duplex_sql('left(primer, 10)')} FROM primers)), b3 AS (SELECT primer, dh AS h3, ds AS s3 FROM (SELECT primer, {q._duplex_sql('right(primer, 10)')} FROM primers)),
+v AS (SELECT *, primer AS s, tm - 273.15 AS t, {q.entropy_sql('primer')} AS h, 1 - 1 / (1 + exp(-(1000 * dh - 333.15 * dse) / (1.9872 * 333.15)) * c) AS theta,
+  {q.steps_sql('right(primer, 5)', 0)} - 310.15 * {q.steps_sql('right(primer, 5)', 1)} / 1000 AS tail FROM e JOIN a5 USING (primer) JOIN b3 USING (primer)),
+one AS (SELECT primer, unnest({_PRIMER}) AS x FROM v),
+two AS (SELECT pair_id, a, length(a) AS n, i.tm - 273.15 AS f, j.tm - 273.15 AS r, k.tm - 273.15 AS p, length(replace(replace(a, 'A', ''), 'T', '')) / CAST(length(a) AS DOUBLE) AS gc, {q.entropy_sql('a')} AS h,
+  list_max([length(replace(replace(substr(a, z, 50), 'A', ''), 'T', '')) FOR z IN range(1, length(a) - 48)]) / 50.0 AS w FROM x JOIN e i ON i.primer = primer1 JOIN e j ON j.primer = primer2 JOIN e k ON k.primer = a),
+three AS (SELECT *, substr(raw, 12, 20) AS l, substr(raw, 169, 20) AS r2, substr(raw, 12, 177) AS w2 FROM x),
+g AS (SELECT pair_id, x FROM panel JOIN one ON one.primer = primer1 UNION ALL SELECT pair_id, x FROM panel JOIN one ON one.primer = primer2 UNION ALL SELECT pair_id, unnest({_PAIR}) FROM two UNION ALL SELECT pair_id, unnest({_TEMPLATE}) FROM three)
+SELECT pair_id, CASE max(CASE x.severity WHEN 'FAIL' THEN 2 WHEN 'WARN' THEN 1 ELSE 0 END) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARN' ELSE 'PASS' END AS verdict, count(*) FILTER (x.severity = 'WARN') AS n_warn, count(*) FILTER (x.severity = 'FAIL') AS n_fail FROM g GROUP BY pair_id""")
+def sequence_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts over all rules of primers, pairs, products and templates that need no folding."""
+    s = F.col("seq")
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lower(F.substring(s, 1, 60)), F.substring(s, 61, 300))).otherwise(s)
+    given = q.panel(spark, sf_dir).join(q.contigs(spark, sf_dir).select(F.col("chrom").alias("pair_id"), raw.alias("raw")), "pair_id").withColumns({"start": F.lit(11), "end": F.lit(188)})
+    return mains.sequence_qc(given, ctdna=True, structures=False)["verdicts"]
+
+
+@q.query(f"""{q._SITES}, c AS (SELECT a.chrom, a.s AS start, b.e AS "end", a.primer AS l, b.primer AS r, a.mm + b.mm AS mm, concat(least(a.primer, b.primer), '/', greatest(a.primer, b.primer)) AS combo
+FROM bindings a JOIN bindings b ON a.strand = '+' AND b.strand = '-' AND a.chrom = b.chrom AND b.s >= a.e AND b.e - a.s BETWEEN 50 AND 200),
+pp AS (SELECT a.pair_id, a.primer1, b.primer2 FROM panel a JOIN panel b ON b.pair_id = 'd' || (substr(a.pair_id, 2)::BIGINT + 1)),
+d AS (SELECT DISTINCT concat(least(primer1, primer2), '/', greatest(primer1, primer2)) AS combo FROM pp), o AS (SELECT DISTINCT pair_id, unnest([primer1, primer2]) AS primer FROM pp)
+SELECT x.pair_id AS left_pair, y.pair_id AS right_pair, count(*) AS n, CAST(min(mm) AS INTEGER) AS least FROM c JOIN o x ON x.primer = l JOIN o y ON y.primer = r WHERE x.pair_id <> y.pair_id AND combo NOT IN (SELECT combo FROM d) GROUP BY ALL""")
+def multiplex_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross products that no pair designs, dealt back to the pairs that own their primers; each pair has the next one's right
+    primer here, so that most products are cross ones."""
+    every = q.panel(spark, sf_dir).withColumn("panel_id", F.lit("all"))
+    moved = every.select(F.concat(F.lit("d"), (F.substring("pair_id", 2, 20).cast("long") - 1).cast("string")).alias("pair_id"), "primer2")
+    p = every.drop("primer2").join(moved, "pair_id")
+    found = mains.multiplex_qc(p, q.bindings(spark, sf_dir), 50, 200, dimers=False)["slots"]
+    return found.groupBy("left_pair", "right_pair").agg(F.count("*").alias("n"), F.min("mismatches").cast("int").alias("least"))
+
+
+@q.query(f"""{_WITH}, x AS (SELECT pair_id, primer1 AS p, doc_id FROM panel JOIN contig ON chrom = pair_id)
+SELECT pair_id, p || CASE WHEN doc_id % 5 = 0 THEN 'X' ELSE '' END AS dna, CAST(2 AS INTEGER) AS n_lna, '3,8' AS lna, '56-FAM' AS tags,
+  array_to_string([w FOR w IN [CASE WHEN doc_id % 4 = 0 THEN 'dangling +' END, CASE WHEN doc_id % 5 = 0 THEN 'unpaired /' END, CASE WHEN doc_id % 5 = 0 THEN 'other letters' END] IF w IS NOT NULL], ',') AS warnings FROM x""")
+def modified_oligos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is written of oligos with tags and LNA bases."""
+    d = q.contigs(spark, sf_dir).select(F.col("chrom").alias("pair_id"), "doc_id")
+    p, k = F.col("primer1"), F.col("doc_id")
+    raw = F.concat(F.lit("/56-FAM/"), F.substring(p, 1, 3), F.lit(" +"), F.lower(F.substring(p, 4, 5)), F.lit("+"), F.substring(p, 9, 20), F.when(k % 5 == 0, "x/").otherwise(""), F.when(k % 4 == 0, "+").otherwise(""))
+    found = q.panel(spark, sf_dir).join(d, "pair_id").select("pair_id", checks.parsed_oligo(raw).alias("o"))
+    return found.select("pair_id", "o.dna", "o.n_lna", F.array_join(F.transform("o.lna", lambda x: x.cast("string")), ",").alias("lna"), F.array_join("o.tags", ",").alias("tags"), F.array_join("o.warnings", ",").alias("warnings"))
+
+
+@q.query("""SELECT o_custkey AS key, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS rank, o_orderkey AS id, o_totalprice AS price FROM orders""")
+def zipped_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables of one run row by row: orders by rank, and their prices."""
+    o = q.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    ranked = ranking.top_k(o, ["key"], ["id"], 1 << 30)
+    return sets.zipped(ranked.drop("price"), ranked, ["key"], "rank", ["id"]).select("key", "rank", "id", F.col("r_price").alias("price"))
