@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from strandlake import queries as q
 from strandlake.functions.parameters import HYBRID, HYBRID_START
-from strandlake.operators import ranking, rules, search, sets
-from strandlake.plans import checks, design, mains, multiplex, specificity
+from strandlake.operators import products, ranking, rules, search, sets
+from strandlake.plans import checks, design, mains, multiplex, reports, specificity
 from strandlake.plans.profiles import Constraints
 
 _FOUR_G = r"G{3,}\w{1,7}G{3,}\w{1,7}G{3,}\w{1,7}G{3,}"
@@ -282,3 +282,17 @@ def zipped_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = q.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
     ranked = ranking.top_k(o, ["key"], ["id"], 1 << 30)
     return sets.zipped(ranked.drop("price"), ranked, ["key"], "rank", ["id"]).select("key", "rank", "id", F.col("r_price").alias("price"))
+
+
+@q.query(f"""{q._SITES}, r AS (SELECT pair_id, 'F' AS role, primer1 AS primer FROM panel UNION ALL SELECT pair_id, 'R', primer2 FROM panel)
+SELECT pair_id, role, r.primer, chrom, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS end_exclusive, strand, CAST(mm AS INTEGER) AS mismatches, CAST(list_sum([CASE WHEN mask[i] = 'X' THEN 1 << (i - 1) ELSE 0 END FOR i IN range(1, 21)]) AS BIGINT) AS mask_bits, mask, site AS site_plus_strand
+FROM r JOIN bindings ON bindings.primer = r.primer""")
+def binding_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair's sites in their fixed layout."""
+    return reports.binding_table(q.panel(spark, sf_dir), q.bindings(spark, sf_dir))
+
+
+@q.query(f"""{q._SITES}, {q._PRODUCTS} SELECT pair_id, chrom, CAST(start AS BIGINT) AS amplicon_start, CAST("end" AS BIGINT) AS amplicon_end_exclusive, CAST(length AS BIGINT) AS amplicon_length, CAST(start AS BIGINT) AS left_position, CAST("end" - 20 AS BIGINT) AS right_position, CAST(left_mismatches AS INTEGER) AS left_mismatches, CAST(right_mismatches AS INTEGER) AS right_mismatches, CAST(mismatches AS INTEGER) AS total_mismatches, left_mask, right_mask FROM products""")
+def product_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair's products in their fixed layout."""
+    return reports.product_table(products.pair_products(q.panel(spark, sf_dir), q.bindings(spark, sf_dir), 50, 200))

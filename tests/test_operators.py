@@ -163,3 +163,47 @@ def test_contigs_and_contracts(spark):
     got = checks.contract_check(spark.createDataFrame([("anchor", "12"), ("max_mismatches", None)], "field string, value string"), ("anchor", "max_mismatches")).first()
     assert (got.missing, got.spc09) == (["max_mismatches"], "WARN")
     assert parameters.consistency() == []
+
+
+def test_bins_do_not_show(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "b", None]), s, s + rng.choice([0, 1, 3, 10, 60, 300])) for s in (rng.randint(0, 900) for _ in range(150))]
+    df = spark.createDataFrame(rows, "k string, start long, end long")
+    got = [sorted(map(tuple, intervals.merge_intervals(df, ["k"], width=w).collect()), key=str) for w in (1, 7, 64, 1 << 20)]
+    want = []
+    for k in ("a", "b", None):
+        own = sorted((s, e) for x, s, e in rows if x == k)
+        for s, e in own:
+            if want and want[-1][0] == k and s <= want[-1][2]:
+                want[-1] = (k, want[-1][1], max(e, want[-1][2]), want[-1][3] + 1)
+            else:
+                want.append((k, s, e, 1))
+    assert all(g == sorted(want, key=str) for g in got)
+    gaps = [sorted(map(tuple, intervals.smallest_gap(df, ["k"], "start", 3, width=w).collect()), key=str) for w in (1, 16, 1 << 20)]
+    assert gaps[0] == gaps[1] == gaps[2]
+
+
+def test_rows_with_equal_hashes_or_nulls_are_told_apart(spark):
+    left = spark.createDataFrame([("a", 0, 5, None), ("a", 0, 5, None), ("a", 7, 9, "x"), (None, 0, 5, "y")], "k string, start long, end long, n string")
+    right = spark.createDataFrame([("a", 4, 6, 1)], "k string, start long, end long, m int")
+    assert sorted(tuple(r) for r in intervals.overlapping(left, right, ["k"]).collect()) == [("a", 0, 5, None)] * 2
+    assert sorted((tuple(r) for r in intervals.overlapping(left, right, ["k"], anti=True).collect()), key=str) == [("a", 7, 9, "x"), (None, 0, 5, "y")]
+
+
+def test_zipped(spark):
+    import pytest
+
+    one = spark.createDataFrame([("p", 1, "x"), ("p", 2, "y")], "k string, rank int, pair string")
+    assert sets.zipped(one, one.withColumnRenamed("k", "k"), ["k"], "rank", ["pair"]).count() == 2
+    for other in ([("p", 1, "x"), ("p", 2, "z")], [("p", 1, "x")], [("p", 1, "x"), ("p", 2, "y"), ("p", 3, "w")]):
+        with pytest.raises(Exception, match="tables differ"):
+            sets.zipped(one, spark.createDataFrame(other, "k string, rank int, pair string"), ["k"], "rank", ["pair"]).collect()
+
+
+def test_chunks_do_not_show(spark):
+    rng = random.Random(4)
+    seq = "".join(rng.choices("ACGT", k=5000))
+    df = spark.createDataFrame([("c", seq[:2000] + "é" + seq[2001:])], "chrom string, seq string")
+    primers = spark.createDataFrame([(seq[at : at + 20],) for at in (0, 1010, 1990, 2500, 4980)], "primer string")
+    found = [sorted((r.primer, r.start, r.strand) for r in search.strict_search(df, primers, chunk=c).collect()) for c in (64, 1000, 1 << 16)]
+    assert found[0] == found[1] == found[2] and {x[1] for x in found[0]} >= {0, 1010, 2500, 4980} and 1990 not in {x[1] for x in found[0]}
