@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm.common import written
+from strandlake.llm.common import forget, written
 from strandlake.llm.compression import kept_documents
 from strandlake.llm.decontamination import clean_documents
 from strandlake.llm.jaccard import one_of_each
@@ -51,10 +51,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another, each over the written result of the one before."""
+    """The stages one after another, each over the written result of the one before, which is deleted then; the last one's
+    input stays, as the result is read from it.
+
+    Nulls, empty tables and repeated rows pass through as each stage's operator says; a row without doc_id is never removed as
+    another's copy. Columns of documents beyond COLUMNS are left out.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"stage-{k + 1}")
+            if last is not None:
+                forget(last)
+            last = docs
     return docs
