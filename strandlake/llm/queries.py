@@ -22,35 +22,43 @@ from .tokens import token_counts
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut and packed; a row for each piece."""
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document, learned from the labels outside the held-out fold."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base verdict and compression verdict of every document."""
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of every document is left without strings of 50 bytes that stand in an earlier one."""
     return remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shingle count and group of near duplicates."""
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that every document names or holds."""
     found = license_scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_known", F.array_join("licenses", ",").alias("licenses"), "n_matches")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
     return token_counts(table(spark, sf_dir, "documents"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document before and after, and a digest of what is left."""
     kept = dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
@@ -88,10 +96,12 @@ def with_tool_calls(conversations: DataFrame) -> DataFrame:
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with derived tool calls, linked, ordered, checked and serialised."""
     return format_chats(with_tool_calls(table(spark, sf_dir, "conversations")), SCHEMAS)
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark, with the similarity."""
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
 

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from strandlake.llm.compression import Bands, Rules, duplicate_lines, kept_documents, quality_rules, repeated_words
+from strandlake.llm.compression import BANDS, CHUNK_BAND, LAST_BAND, Bands, Rules, duplicate_lines, kept_documents, quality_rules, repeated_words
 
 
 SYLLABLES = [a + b for a in "bcdfghklmnprstvw" for b in ("a", "e", "i", "o", "u", "an", "er")]
@@ -26,6 +26,23 @@ def brute(text):
     return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(inside), failed
 
 
+def brute_kept(text):
+    """The verdict, from the bands' figures alone."""
+    import zstandard
+
+    data = (text or "").encode()
+    ratio = lambda part: len(zstandard.compress(part, 3)) / len(part)
+    if brute(text)[5]:
+        return False
+    limits = [(low, high) for start, low, high in BANDS if start <= len(data)][-1]
+    judged = [(data, limits)]
+    if len(data) > 2048:
+        judged += [(data[i : i + 2048], CHUNK_BAND) for i in range(0, len(data) - 2047, 2048)]
+        rest = data[len(data) // 2048 * 2048 :]
+        judged += [(rest, LAST_BAND)] * (len(rest) >= 1024)
+    return all(low <= ratio(part) <= high for part, (low, high) in judged)
+
+
 def texts():
     rng = random.Random(3)
     vocab = ["a", "bé", "cc#", "d|d", "the", " x"] + ["".join(rng.choices("abcdefgh", k=6)) for _ in range(200)]
@@ -43,6 +60,17 @@ def test_base_counts(spark):
     assert not any(r.kept and r.base_failed for r in got)
 
 
+def test_kept_against_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices(SYLLABLES, k=rng.randint(1, 4)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    given = [prose(n) for n in (49, 50, 60, 120, 300, 700, 1500)] + [prose(200) + " " + "x" * n for n in (100, 1000, 1500, 4000)] + [f"{prose(150)} {prose(40)} " * 3, "é" * 900 + prose(80)]
+    given += ["".join(chr(rng.randint(33, 126)) + " " * (rng.random() < 0.2) for _ in range(n)) for n in (300, 900, 5000)] + [prose(rng.randint(50, 900)) for _ in range(20)]
+    got = {r.doc_id: r.kept for r in quality_rules(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")).collect()}
+    want = {k: brute_kept(t) for k, t in enumerate(given)}
+    assert got == want and 5 < sum(want.values()) < len(want) - 5
+
+
 def test_bands():
     rng = random.Random(1)
     prose = " ".join("".join(rng.choices(SYLLABLES, k=rng.randint(1, 4))) for _ in range(900))

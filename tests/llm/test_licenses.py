@@ -87,3 +87,10 @@ def test_own_words_wrapped_and_not(spark):
 def test_words_between_and_around(spark):
     got = scan(spark, ["We are released\nunder the MIT License.", "Released under\nour MIT License.", "Licensed under the Apache\nLicense, Version 2.0\n(the \"License\");", "Released under the\nMIT License.\nReleased under\nCC0 1.0."])
     assert [got[k] for k in range(4)] == [(0, [], 0), (0, [], 0), (1, ["Apache-2.0"], 1), (2, ["CC0-1.0", "MIT"], 2)]
+
+
+def test_nulls_and_repeated_rows(spark):
+    rows = [(1, "Licensed under the MIT License."), (1, "Licensed under the MIT License."), (None, "Released under\nApache 2.0"), (2, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'x' licenses", "1 line")
+    got = sorted(((r.doc_id, r.n_known, r.licenses, r.n_matches) for r in license_scan(docs).collect()), key=str)
+    assert got == sorted([(1, 1, ["MIT"], 1)] * 2 + [(None, 1, ["Apache-2.0"], 1), (2, 0, [], 0), (3, 0, [], 0)], key=str)

@@ -1,11 +1,11 @@
 import random
 
+import test_compression
 import test_decontamination
 import test_jaccard
 import test_lines
 
 import corpus_pipeline
-from strandlake.llm.compression import Rules
 
 SYLLABLES = [a + b for a in "bcdfghklmnprstvw" for b in ("a", "e", "i", "o", "u", "an", "er")]
 
@@ -28,8 +28,7 @@ def tables():
 
 
 def brute(docs, items):
-    rules = Rules()
-    docs = [x for x in docs if rules.judge(x[1])[-1]]
+    docs = [x for x in docs if test_compression.brute_kept(x[1])]
     docs = test_lines.brute(docs)
     named = {d: c for d, _, c in test_jaccard.brute(docs)}
     docs = [x for x in docs if named[x[0]] == x[0]]
@@ -52,3 +51,18 @@ def test_run_against_brute_force(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == {d for d, _ in kept}
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_repeated_rows_nulls_and_empty_tables(spark, tmp_path):
+    docs, items = tables()
+    rows = [(d, t, "en", None, None if t is None else len(t), "x") for d, t in docs[:9] + docs[2:4] + [(None, docs[5][1]), (99, None)]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, piece string"
+    given = spark.createDataFrame(rows, schema)
+    spark.createDataFrame(items[:2] + [(None, None), (7, "")], "item_id long, text string").write.parquet(str(tmp_path / "a" / "benchmark.parquet"))
+    given.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "a")).collect()
+    # Rows that repeat stay as often, a row without an id stays too: neither names another document.
+    assert sum(r.doc_id == 2 and r.piece == 0 for r in got) == 2 and any(r.doc_id is None for r in got) and not any(r.doc_id == 99 for r in got)
+    given.where("false").write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "b" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).collect() == []
