@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-HEADLINE = ["strict_search", "panel_qc", "cross_products", "thermodynamics", "composition", "overlap_join", "merge_intervals", "skyline", "set_metrics", "variant_qc"]
+HEADLINE = ["strict_search", "long_contig_search", "panel_qc", "cross_products", "thermodynamics", "composition", "overlap_join", "merge_intervals", "skyline", "set_metrics", "variant_qc"]
 
 
 def main() -> None:

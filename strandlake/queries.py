@@ -102,9 +102,10 @@ def long_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.groupBy("k").agg(F.array_sort(F.collect_list("x")).alias("all")).select(F.concat(F.lit("long"), F.col("k").cast("string")).alias("chrom"), F.array_join(F.transform("all", lambda x: x["seq"]), "").alias("seq"))
 
 
-@query(f"""WITH {CONTIGS}, {PANEL}, long AS (SELECT concat('long', doc_id // {IN_A_ROW}) AS chrom, string_agg(seq, '' ORDER BY doc_id) AS seq FROM contig GROUP BY doc_id // {IN_A_ROW}),
+#: Each document's windows with the first bases of the next one behind it.
+@query(f"""WITH {CONTIGS}, {PANEL}, long AS (SELECT concat('long', doc_id // {IN_A_ROW}) AS chrom, (row_number() OVER w - 1) * {32 * BLOCKS} AS ahead, seq || coalesce(left(lead(seq) OVER w, 19), '') AS seq FROM contig WINDOW w AS (PARTITION BY doc_id // {IN_A_ROW} ORDER BY doc_id)),
 primers AS (SELECT DISTINCT unnest([primer1, primer2]) AS primer FROM panel),
-windows AS (SELECT chrom, s, substr(seq, s + 1, 20) AS site FROM (SELECT chrom, seq, unnest(range(0, length(seq) - 19)) AS s FROM long)),
+windows AS (SELECT chrom, ahead + s AS s, substr(seq, s + 1, 20) AS site FROM (SELECT chrom, ahead, seq, unnest(range(0, length(seq) - 19)) AS s FROM long)),
 oriented AS (SELECT chrom, s, '+' AS strand, site AS o FROM windows UNION ALL SELECT chrom, s, '-', {_RC('site')} FROM windows)
 SELECT primer, chrom, CAST(s AS BIGINT) AS start, strand, CAST(hamming(primer, o) AS INTEGER) AS mismatches FROM oriented JOIN primers ON right(primer, {ANCHOR}) = right(o, {ANCHOR}) WHERE hamming(primer, o) <= {MOST}""")
 def long_contig_search(spark: SparkSession, sf_dir: str) -> DataFrame:
