@@ -103,3 +103,42 @@ h AS (SELECT doc_id, item_id, n, m, p, g, c FROM g JOIN c USING (k, g)),
 t AS (SELECT DISTINCT doc_id, item_id, n, m, greatest(1, least(p, n - m + 1)) AS q FROM h),
 o AS (SELECT doc_id, item_id, n, m, q, sum(least(x, c)) AS k FROM (SELECT t.doc_id, t.item_id, t.n, t.m, q, g, c, count(*) AS x FROM t JOIN h ON h.doc_id = t.doc_id AND h.item_id = t.item_id AND h.p >= q AND h.p < q + t.m GROUP BY ALL) GROUP BY ALL)
 SELECT doc_id, item_id, round(max(CAST(k AS DOUBLE) / (m + least(n, m) - k)), 6) AS similarity FROM o WHERE 100 * k >= 75 * (m + least(n, m) - k) GROUP BY doc_id, item_id"""
+
+
+def _crc32(text: str) -> str:
+    """The unsigned crc32 of a column of ASCII text, bit by bit."""
+    bits = f"flatten([[(ascii(c) >> k) & 1 FOR k IN range(8)] FOR c IN string_split({text}, '')])"
+    return f"xor(list_reduce([4294967295::BIGINT] || {bits}, lambda r, b: xor(r >> 1, 3988292384 * (xor(r, b) & 1))), 4294967295)"
+
+
+def _levels(start: str, name: str, depth: int) -> str:
+    """Nodes (g, i, n, h) of a tree of eights, level by level, each with the list of its run."""
+    parts = [f"{name}0 AS ({start})"]
+    for k in range(depth):
+        parts.append(f"{name}r{k} AS (SELECT g, i // 8 AS p, list(h ORDER BY i) AS run FROM {name}{k} WHERE n > 1 GROUP BY ALL)")
+        parts.append(f"{name}{k + 1} AS (SELECT g, i, n, h FROM {name}{k} WHERE n = 1 UNION ALL SELECT g, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM {name}{k} WHERE n > 1 GROUP BY g, i // 8, n)")
+    return ", ".join(parts)
+
+
+def _climbed(start: str, name: str, depth: int, of: str) -> str:
+    """start (g, i, h, proof, ...) carried up: at each level the node's place in its run is left to the folded digest."""
+    out = start
+    for k in range(depth):
+        left, right = "array_to_string(run[1:i % 8], '')", "array_to_string(run[i % 8 + 2:], '')"
+        out = f"SELECT u.* REPLACE (u.i // 8 AS i, CASE WHEN run IS NULL THEN h ELSE sha256({left} || h || {right}) END AS h, CASE WHEN run IS NULL THEN proof ELSE proof || {left} || {right} END AS proof) FROM ({out}) u LEFT JOIN {name}r{k} r ON r.g = u.{of} AND r.p = u.i // 8"
+    return out
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+_LEAF = lambda text: "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+#: Up to 8^7 documents and 8^3 languages.
+MERKLE = f"""
+WITH d AS (SELECT doc_id, coalesce('.' || lang, '') AS g, {_LEAF('text')} AS leaf,
+  {_LEAF("(CASE WHEN " + _crc32("CAST(doc_id AS VARCHAR)") + " % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END)")} AS shown FROM documents),
+e AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+{_levels("SELECT g, i, n, leaf AS h FROM e", "l", 7)},
+{_levels("SELECT '' AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n, h FROM l7", "t", 3)},
+s AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS ord FROM l7),
+a AS ({_climbed("SELECT doc_id, g, leaf, i, shown AS h, '' AS proof FROM e", "l", 7, "g")}),
+b AS ({_climbed("SELECT doc_id, leaf, subroot, '' AS whole, ord AS i, h, proof FROM a JOIN s USING (g)", "t", 3, "whole")})
+SELECT doc_id, leaf, subroot, t3.h AS root, sha256(proof) AS proof_sha256, b.h AS folded_root, b.h = t3.h AS verified FROM b, t3"""

@@ -15,6 +15,7 @@ from .decontamination import contaminated
 from .jaccard import jaccard_components
 from .licenses import license_scan
 from .lines import dedup_lines
+from .merkle import proofs
 from .packing import pack_documents
 from .quality_model import classify
 from .suffixes import remove_repeats
@@ -106,6 +107,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, its proof, and whether what is shown of it folds to the root."""
+    return proofs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -118,4 +124,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_line_dedup": oracles.LINES,
     "op9_chat_formatting": oracles.CHATS,
     "op10_benchmark_decontamination": oracles.LEAKS,
+    "op12_merkle_manifest": oracles.MERKLE,
 }
