@@ -13,6 +13,7 @@ from .common import table
 from .compression import quality_rules
 from .decontamination import contaminated
 from .jaccard import jaccard_components
+from .language_id import identified
 from .licenses import license_scan
 from .lines import dedup_lines
 from .merkle import proofs
@@ -112,6 +113,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs(table(spark, sf_dir, "documents"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, as the documents outside the held-out fold teach it."""
+    return identified(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
