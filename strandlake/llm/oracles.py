@@ -142,3 +142,27 @@ s AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS ord
 a AS ({_climbed("SELECT doc_id, g, leaf, i, shown AS h, '' AS proof FROM e", "l", 7, "g")}),
 b AS ({_climbed("SELECT doc_id, leaf, subroot, '' AS whole, ord AS i, h, proof FROM a JOIN s USING (g)", "t", 3, "whole")})
 SELECT doc_id, leaf, subroot, t3.h AS root, sha256(proof) AS proof_sha256, b.h AS folded_root, b.h = t3.h AS verified FROM b, t3"""
+
+#: The DP row by row with whole edit strings, runs of up to two inserts before any edit.
+REPAIRS = f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS c FROM conversations),
+e AS (SELECT conv_id, turn, CASE WHEN c = 4 THEN 'user' ELSE role END AS role, CASE WHEN c = 1 THEN '' WHEN c = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN c = 3 THEN 2 ELSE 1 END)) FROM c WHERE c <> 0),
+o AS (SELECT *, left(role, 1) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM e),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+  WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault, lag(x) OVER (PARTITION BY conv_id ORDER BY i) || x AS two FROM o),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+edits AS (SELECT k, op FROM (SELECT unnest([0, 1, 2]) AS k), (SELECT unnest(['D', 'K', 'R']) AS op)),
+d AS (SELECT conv_id, 0 AS i, '' AS st, 0 AS cost, '' AS audit, []::VARCHAR[] AS said FROM n
+  UNION ALL SELECT conv_id, i, st, cost, audit, said FROM (
+    SELECT conv_id, i, CASE op WHEN 'D' THEN m WHEN 'K' THEN x ELSE nx END AS st, cost + 5 * k + CASE op WHEN 'D' THEN 2 WHEN 'K' THEN 0 ELSE 1 END + CASE WHEN op <> 'D' AND fault = 'truncated' THEN 5 ELSE 0 END AS cost,
+      audit || repeat('I', k) || op AS audit, said || CASE WHEN k = 0 THEN [] WHEN k = 1 AND st = 'u' THEN ['assistant:'] WHEN k = 1 THEN ['user:'] WHEN st = 'u' THEN ['assistant:', 'user:'] ELSE ['user:', 'assistant:'] END
+      || CASE op WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [CASE WHEN nx = 'u' THEN 'user:' ELSE 'assistant:' END || text] END AS said
+    FROM (SELECT d.conv_id, r.i, d.st, d.cost, d.audit, d.said, r.x, r.role, r.text, r.fault, k, op, CASE WHEN k = 0 THEN d.st WHEN (d.st = 'u') = (k = 2) THEN 'u' ELSE 'a' END AS m, CASE WHEN (CASE WHEN k = 0 THEN d.st WHEN (d.st = 'u') = (k = 2) THEN 'u' ELSE 'a' END) = 'u' THEN 'a' ELSE 'u' END AS nx
+      FROM d JOIN f r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.i = d.i + 1, edits)
+    WHERE op = 'D' OR (fault NOT IN ('blank', 'duplicate') AND (op = 'R' OR (x = 's' AND m = '') OR (x IN ('u', 'a') AND x = nx)))
+    QUALIFY row_number() OVER (PARTITION BY conv_id, CASE op WHEN 'D' THEN m WHEN 'K' THEN x ELSE nx END ORDER BY cost + 5 * k + CASE op WHEN 'D' THEN 2 WHEN 'K' THEN 0 ELSE 1 END + CASE WHEN op <> 'D' AND fault = 'truncated' THEN 5 ELSE 0 END, audit || repeat('I', k) || op) = 1)),
+z AS (SELECT d.conv_id, cost + CASE st WHEN 'u' THEN 5 WHEN 's' THEN 10 ELSE 0 END AS cost, audit || CASE st WHEN 'u' THEN 'I' WHEN 's' THEN 'II' ELSE '' END AS audit, said || CASE st WHEN 'u' THEN ['assistant:'] WHEN 's' THEN ['user:', 'assistant:'] ELSE [] END AS said
+  FROM d JOIN n ON n.conv_id IS NOT DISTINCT FROM d.conv_id AND n.n = d.i QUALIFY row_number() OVER (PARTITION BY d.conv_id ORDER BY cost + CASE st WHEN 'u' THEN 5 WHEN 's' THEN 10 ELSE 0 END, audit || CASE st WHEN 'u' THEN 'I' WHEN 's' THEN 'II' ELSE '' END) = 1),
+a AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id"""

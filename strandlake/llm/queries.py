@@ -19,6 +19,7 @@ from .lines import dedup_lines
 from .merkle import proofs
 from .packing import pack_documents
 from .quality_model import classify
+from .repair import damaged_and_repaired
 from .suffixes import remove_repeats
 from .tokens import token_counts
 
@@ -108,6 +109,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by hashes, with its faults and its cheapest repair."""
+    return damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, its proof, and whether what is shown of it folds to the root."""
     return proofs(table(spark, sf_dir, "documents"))
@@ -130,5 +136,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_line_dedup": oracles.LINES,
     "op9_chat_formatting": oracles.CHATS,
     "op10_benchmark_decontamination": oracles.LEAKS,
+    "op11_conversation_repair": oracles.REPAIRS,
     "op12_merkle_manifest": oracles.MERKLE,
 }
