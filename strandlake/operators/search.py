@@ -1,4 +1,4 @@
-"""Binding-site search: exact k-mer seeds as equi-joins, then a Hamming check of the whole primer.
+"""Binding-site search: k-mer seeds as equi-joins, then a Hamming check of the whole primer.
 
 A contig is cut into chunks that overlap by the longest primer, so that a site lies whole in the chunk that owns its start.
 Cuts are made in bytes, which takes as long as what is cut; a cut of a string would walk over all that lies before it.
@@ -15,9 +15,11 @@ from strandlake.functions.dna import hamming, is_strict, normalized, reverse_com
 from strandlake.functions.masks import base_bits, mismatch_mask_of_bits, rendered
 
 from .intervals import containment_join, merge_intervals
+from .tables import settled
 
-#: Starts that a chunk owns, rows of seeds that are broadcast, and the most mismatches of the anchored search.
-CHUNK, BROADCAST_SEEDS, MOST_ANCHORED = 1 << 12, 2_000_000, 3
+#: Starts that a chunk owns, rows of seeds that are broadcast, the most mismatches of the anchored search, and the longest seed of
+#: the unanchored one.
+CHUNK, BROADCAST_SEEDS, MOST_ANCHORED, MOST_SEED = 1 << 12, 2_000_000, 3, 10
 
 
 def _cut(data: str, at: Column, n: Column) -> Column:
@@ -35,7 +37,7 @@ def chunks(contigs: DataFrame, longest: int, size: int = CHUNK, as_is: bool = Fa
     return each.select("chrom", at.cast("long").alias("chunk_start"), _cut("data", at, F.lit(size + longest - 1)).alias("seq"), F.least(F.lit(size), F.col("n") - at).alias("owned"))
 
 
-def _each_start(parts: DataFrame, k: int) -> DataFrame:
+def starts_of(parts: DataFrame, k: int) -> DataFrame:
     """parts with at (every start of k letters in a chunk), seed (these) and data (the chunk's bytes)."""
     flat = parts.where(F.length("seq") >= k).withColumn("data", F.col("seq").cast("binary"))
     return flat.select("*", F.explode(F.sequence(F.lit(0), F.length("data") - k)).alias("at")).withColumn("seed", _cut("data", F.col("at"), F.lit(k)))
@@ -43,31 +45,41 @@ def _each_start(parts: DataFrame, k: int) -> DataFrame:
 
 def kmers(parts: DataFrame, k: int) -> DataFrame:
     """chrom, pos, kmer of every owned start; windows with an N have none. The persisted form is an index: write it by chrom."""
-    return _each_start(parts, k).where("at < owned").select("chrom", (F.col("chunk_start") + F.col("at")).alias("pos"), F.col("seed").alias("kmer")).where(is_strict("kmer"))
+    return starts_of(parts, k).where("at < owned").select("chrom", (F.col("chunk_start") + F.col("at")).alias("pos"), F.col("seed").alias("kmer")).where(is_strict("kmer"))
 
 
-def _sites(parts: DataFrame, seeds: DataFrame, k: int, longest: int) -> DataFrame:
-    """primer, strand, bits, chrom, start, site of every start at which a seed (seed, primer, strand, shift, bits) fits."""
+def _hits(parts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Every start at which one of seeds (k, seed, and others) fits, with those others; parts are read once for all lengths k."""
+    lengths = sorted(r.k for r in seeds.select("k").distinct().collect())  # up to MOST_SEED of them
+    few = seeds.count() <= BROADCAST_SEEDS
+    flat = parts.withColumn("data", F.col("seq").cast("binary"))
+    starts = flat.select("*", F.explode(F.sequence(F.lit(0), F.length("data") - 1)).alias("at"))
+    each = starts.select("*", F.explode(F.array(*[F.lit(k) for k in lengths])).alias("k")) if len(lengths) != 1 else starts.withColumn("k", F.lit(lengths[0]))
+    each = each.where(F.col("at") + F.col("k") <= F.length("data")).withColumn("seed", _cut("data", F.col("at"), F.col("k")))
+    return each.join(F.broadcast(seeds.select("k", "seed").distinct()), ["k", "seed"], "left_semi") if few else each
+
+
+def _sites(parts: DataFrame, seeds: DataFrame, longest: int) -> DataFrame:
+    """The columns of seeds (primer, strand, bits, shift, k, seed, ...), chrom, start and site of every start at which a seed fits."""
     few = seeds.count() <= BROADCAST_SEEDS
-    starts = _each_start(parts, k)
-    if few:
-        starts = starts.join(F.broadcast(seeds.select("seed").distinct()), "seed", "left_semi")
     # What meets the seeds is no chunk, but the bases that a primer on this start can reach.
-    low = F.greatest(F.col("at") - (longest - k), F.lit(0))
-    near = starts.select("chrom", "chunk_start", "owned", "at", "seed", low.alias("low"), _cut("data", low, F.col("at") + longest - low).alias("near"))
-    hits = near.join(F.broadcast(seeds) if few else seeds, "seed").withColumn("local", F.col("at") - F.col("shift")).where("local >= 0 and local < owned")
+    low = F.greatest(F.col("at") - (longest - F.col("k")), F.lit(0))
+    near = _hits(parts, seeds).select("chrom", "chunk_start", "owned", "at", "k", "seed", low.alias("low"), _cut("data", low, F.col("at") + longest - low).alias("near"))
+    hits = near.join(F.broadcast(seeds) if few else seeds, ["k", "seed"]).withColumn("local", F.col("at") - F.col("shift")).where("local >= 0 and local < owned")
     site = F.substring(F.col("near"), F.col("local") - F.col("low") + 1, F.length("primer"))
-    return hits.select("primer", "strand", "bits", "chrom", (F.col("chunk_start") + F.col("local")).alias("start"), site.alias("site")).where(F.length("site") == F.length("primer")).where(is_strict("site"))
+    placed = hits.select(*[c for c in seeds.columns if c != "seed"], "chrom", (F.col("chunk_start") + F.col("local")).alias("start"), site.alias("site"))
+    return placed.where(F.length("site") == F.length("primer")).where(is_strict("site"))
 
 
-def _verified(sites: DataFrame, most: int) -> DataFrame:
+def verified(sites: DataFrame, most: int) -> DataFrame:
     oriented = F.when(F.col("strand") == "+", F.col("site")).otherwise(reverse_complement("site"))
     masked = sites.withColumn("oriented", oriented).withColumn("mask_bits", mismatch_mask_of_bits(F.col("bits"), base_bits("oriented"), F.length("primer")))
     found = masked.withColumn("mismatches", F.bit_count("mask_bits")).where(F.col("mismatches") <= most)
-    return found.select("primer", "chrom", "start", (F.col("start") + F.length("primer")).alias("end"), "strand", "mismatches", "mask_bits", "oriented", F.col("site").alias("site_plus")).withColumn("mask", rendered("mask_bits", F.length("primer")))
+    extra = [c for c in sites.columns if c not in ("primer", "chrom", "start", "strand", "bits", "site")]
+    return found.select("primer", "chrom", "start", (F.col("start") + F.length("primer")).alias("end"), "strand", "mismatches", "mask_bits", "oriented", F.col("site").alias("site_plus"), *extra).withColumn("mask", rendered("mask_bits", F.length("primer")))
 
 
-def _primers(primers: DataFrame, least: int) -> DataFrame:
+def primers_of(primers: DataFrame, least: int) -> DataFrame:
     return primers.select(F.upper(F.trim("primer")).alias("primer")).where(is_strict("primer") & F.length("primer").between(least, 63)).distinct()
 
 
@@ -79,31 +91,69 @@ def strict_search(contigs: DataFrame, primers: DataFrame, anchor: int = 12, most
     """
     if not 0 <= most <= MOST_ANCHORED:
         raise ValueError(f"the anchored search allows {MOST_ANCHORED} mismatches at most")
-    wanted = _primers(primers, anchor)
+    wanted = primers_of(primers, anchor)
     longest = wanted.agg(F.max(F.length("primer"))).first()[0] or anchor
     last = F.right("primer", F.lit(anchor))
-    seeds = wanted.withColumn("bits", base_bits("primer")).select("primer", "bits", F.inline(F.array(F.struct(last.alias("seed"), F.lit("+").alias("strand"), (F.length("primer") - anchor).alias("shift")), F.struct(reverse_complement(last).alias("seed"), F.lit("-").alias("strand"), F.lit(0).alias("shift")))))
-    return _verified(_sites(chunks(contigs, longest, chunk), seeds, anchor, longest), most).distinct()
+    seeds = wanted.withColumn("bits", base_bits("primer")).select("primer", "bits", F.lit(anchor).alias("k"), F.inline(F.array(F.struct(last.alias("seed"), F.lit("+").alias("strand"), (F.length("primer") - anchor).alias("shift")), F.struct(reverse_complement(last).alias("seed"), F.lit("-").alias("strand"), F.lit(0).alias("shift")))))
+    # A primer has one seed a strand, and a start one owner: each site comes once.
+    return verified(_sites(chunks(contigs, longest, chunk), seeds, longest).drop("k", "shift"), most)
+
+
+def _segments(most: int) -> tuple[int, int]:
+    """Segments of a primer, and mismatches in one of them, so that a site with at most so many in all has one such segment."""
+    each = 1 if most >= 2 else 0
+    return most // (each + 1) + 1, each
+
+
+def within_one(seed: Column) -> Column:
+    """All strict strings that differ from a strict one, of a letter at least, in one place at most; the string first."""
+    at = F.sequence(F.lit(1), F.length(seed))
+    others = lambda j: F.filter(F.array(*[F.lit(b) for b in "ACGT"]), lambda b: b != F.substring(seed, j, F.lit(1)))
+    changed = F.flatten(F.transform(at, lambda j: F.transform(others(j), lambda b: F.concat(F.substring(seed, F.lit(1), j - 1), b, F.substring(seed, j + 1, F.length(seed))))))
+    return F.concat(F.array(seed), changed)
+
+
+def neighbourhood(primers: DataFrame, most: int) -> DataFrame:
+    """primer, strand, bits, segment, step, k, shift, seed: what a site with at most so many mismatches must hold.
+
+    A primer is cut into segments, two for two or three mismatches, one of which has one mismatch at most: all strings this
+    near to it are seeds, of MOST_SEED letters at most. step is the distance of the segments, shift where one begins.
+    """
+    n, each = _segments(most)
+    step = F.floor(F.length("primer") / n).cast("int")
+    both = F.array(F.struct(F.col("primer").alias("text"), F.lit("+").alias("strand")), F.struct(reverse_complement("primer").alias("text"), F.lit("-").alias("strand")))
+    texts = primers_of(primers, n).select("primer", base_bits("primer").alias("bits"), step.alias("step"), F.least(step, F.lit(MOST_SEED)).alias("k"), F.inline(both))
+    cut = texts.select("primer", "strand", "bits", "step", "k", "text", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("segment"))
+    exact = cut.withColumn("shift", F.col("segment") * F.col("step")).withColumn("part", F.substring(F.col("text"), F.col("shift") + 1, F.col("k")))
+    return exact.select("primer", "strand", "bits", "segment", "step", "k", "shift", F.explode(within_one(F.col("part")) if each else F.array("part")).alias("seed"))
+
+
+def _first_to_fit(most: int) -> Column:
+    """Of a verified site: no earlier segment is as near, so that a site which several segments find is kept once."""
+    n, each = _segments(most)
+    out = F.lit(True)
+    for i in range(n - 1):
+        begin = F.when(F.col("strand") == "+", i * F.col("step")).otherwise(F.length("primer") - i * F.col("step") - F.col("k"))
+        part = F.call_function("shiftrightunsigned", "mask_bits", begin.cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k")) - 1)
+        out = out & ((F.col("segment") <= i) | (F.bit_count(part) > each))
+    return out
 
 
 def sensitive_search(contigs: DataFrame, primers: DataFrame, most: int = 3, chunk: int = CHUNK) -> DataFrame:
-    """Sites on both strands with at most so many mismatches anywhere: most + 1 disjoint seeds, one of which must fit."""
-    wanted = _primers(primers, most + 1)
-    out = None
-    # One pass for each seed length; primers of one length share it.
-    for (length,) in sorted(wanted.select((F.length("primer")).alias("n")).distinct().collect()):
-        k = length // (most + 1)
-        own = wanted.where(F.length("primer") == length)
-        both = own.withColumn("bits", base_bits("primer")).select("primer", "bits", F.inline(F.array(F.struct(F.col("primer").alias("text"), F.lit("+").alias("strand")), F.struct(reverse_complement("primer").alias("text"), F.lit("-").alias("strand")))))
-        seeds = both.select("primer", "bits", "strand", F.inline(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(F.substring(F.col("text"), i * k + 1, k).alias("seed"), (i * k).alias("shift")))))
-        found = _verified(_sites(chunks(contigs, length, chunk), seeds, k, length), most).distinct()
-        out = found if out is None else out.union(found)
-    return out if out is not None else strict_search(contigs, wanted, 1, 0, chunk)
+    """Sites on both strands with at most so many mismatches anywhere, by the neighbourhoods of the primers' segments.
+
+    For three mismatches and a primer of 20 bases that is 124 seeds of 10 letters: a base meets one of them with 1.2e-4, where
+    four exact seeds of 5 letters would meet with 7.8e-3. Columns as of strict_search().
+    """
+    seeds = neighbourhood(primers, most)
+    longest = primers_of(primers, _segments(most)[0]).agg(F.max(F.length("primer"))).first()[0] or 1
+    found = verified(_sites(chunks(contigs, longest, chunk), seeds, longest), most)
+    return found.where(_first_to_fit(most)).drop("segment", "step", "k", "shift")
 
 
 def search_difficulty(contigs: DataFrame, primers: DataFrame, anchor: int = 12, easy: int = 10, moderate: int = 100, hard: int = 1000) -> DataFrame:
     """primer, n_anchor (places of its anchor on both strands), difficulty."""
-    exact = _primers(primers, anchor).withColumn("last", F.right("primer", F.lit(anchor)))
+    exact = primers_of(primers, anchor).withColumn("last", F.right("primer", F.lit(anchor)))
     places = strict_search(contigs, exact.select(F.col("last").alias("primer")), anchor, 0).groupBy(F.col("primer").alias("last")).agg(F.count("*").alias("k"))
     n = F.coalesce("k", F.lit(0))
     level = F.when(n <= easy, "EASY").when(n <= moderate, "MODERATE").when(n <= hard, "HARD").otherwise("REPEAT_RICH")
@@ -167,14 +217,33 @@ def constrained_search(contigs: DataFrame, first: DataFrame, mates: DataFrame, m
     return inside.select("primer", "chrom", "start", "end", "strand", "mismatches", "mask_bits", "oriented", "site_plus", "mask")
 
 
-def seed_cost(contigs: DataFrame, primers: DataFrame, most: int = 3) -> DataFrame:
-    """primer, n_candidates: places at which a seed of the unanchored search fits, a measure of what its check costs."""
-    wanted = _primers(primers, most + 1).select("primer", F.floor(F.length("primer") / (most + 1)).cast("int").alias("k"))
-    seeds = wanted.select("primer", "k", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.substring(F.col("primer"), i * F.col("k") + 1, F.col("k")))).alias("kmer"))
-    both = seeds.select("primer", "k", F.explode(F.array("kmer", reverse_complement("kmer"))).alias("kmer"))
-    out = None
-    for (k,) in sorted(wanted.select("k").distinct().collect()):
-        counts = kmers(chunks(contigs, k), k).groupBy("kmer").agg(F.count("*").alias("n"))
-        found = both.where(F.col("k") == k).join(counts, "kmer", "left").groupBy("primer").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_candidates"))
-        out = found if out is None else out.union(found)
-    return out if out is not None else wanted.select("primer", F.lit(0).cast("long").alias("n_candidates"))
+def seed_cost(contigs: DataFrame, primers: DataFrame, most: int = 3, chunk: int = CHUNK) -> DataFrame:
+    """primer, n_candidates: starts at which a seed of the unanchored search fits, on both strands; what its check costs.
+
+    One pass over the contigs: seeds are counted where they stand, and a count goes to every primer in whose neighbourhood it is.
+    """
+    seeds = neighbourhood(primers, most)
+    counts = _hits(chunks(contigs, MOST_SEED, chunk), seeds).where("at < owned").groupBy("k", "seed").agg(F.count("*").alias("n"))
+    found = seeds.join(counts, ["k", "seed"]).groupBy("primer").agg(F.sum("n").alias("n"))
+    return primers_of(primers, _segments(most)[0]).join(found, "primer", "left").select("primer", F.coalesce("n", F.lit(0)).alias("n_candidates"))
+
+
+def anchors(pairs: DataFrame, cost: DataFrame) -> DataFrame:
+    """pair_id, anchor, mate: of each pair (pair_id, primer1, primer2) the primer whose search costs less, ties by the primer."""
+    each = pairs.select("pair_id", "primer1", "primer2", F.explode(F.array("primer1", "primer2")).alias("primer"))
+    best = each.join(cost, "primer").groupBy("pair_id", "primer1", "primer2").agg(F.min_by("primer", F.struct("n_candidates", "primer")).alias("anchor"))
+    return best.select("pair_id", "anchor", F.when(F.col("anchor") == F.col("primer1"), F.col("primer2")).otherwise(F.col("primer1")).alias("mate"))
+
+
+def paired_search(contigs: DataFrame, pairs: DataFrame, most: int = 3, reach: int = 3000, chunk: int = CHUNK) -> DataFrame:
+    """Unanchored sites of a panel's primers, as far as they can make products: of each pair the cheaper primer is searched
+    everywhere, and the other one within reach of what was found. Every product of up to reach bases keeps both of its sites.
+
+    Pairs with a primer that can't be searched have no sites.
+    """
+    able = pairs.select("pair_id", F.upper(F.trim("primer1")).alias("primer1"), F.upper(F.trim("primer2")).alias("primer2")).where(is_strict("primer1") & is_strict("primer2"))
+    chosen = settled(anchors(able, seed_cost(contigs, able.select(F.explode(F.array("primer1", "primer2")).alias("primer")), most, chunk)))
+    first = settled(sensitive_search(contigs, chosen.select(F.col("anchor").alias("primer")), most, chunk))
+    # A mate that is another pair's anchor has all its sites already.
+    mates = chosen.select(F.col("mate").alias("primer")).distinct().join(chosen.select(F.col("anchor").alias("primer")), "primer", "left_anti")
+    return first.unionByName(constrained_search(contigs, first, mates, most, reach))

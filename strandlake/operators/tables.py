@@ -6,7 +6,7 @@ import functools
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.cache
@@ -14,11 +14,17 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="strandlake-")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; where that is unset, a folder of our own in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder or _own_folder()
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df, computed now and kept in spark.checkpoint.dir; where that is unset, in a folder of our own in local mode only."""
+    """df, computed now and kept in shared_folder()."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(_own_folder())
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
