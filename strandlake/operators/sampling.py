@@ -1,36 +1,52 @@
-"""Seeded bootstrap intervals, and evenly spaced selections from quantile strata."""
+"""Bootstrap intervals by weights of a hash, and evenly spaced selections from quantile strata."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Resamples that one digest serves: four numbers of 32 bits.
+A_DIGEST = 4
+#: How often a row comes in a resample is Poisson distributed; up to so many times are told apart (one more has 1e-11).
+MOST_TIMES = 12
+POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(MOST_TIMES)]
 
-def bootstrap_mean(df: DataFrame, keys: Sequence[str], value: str, resamples: int = 10_000, seed: int = 810_081, level: float = 0.95) -> DataFrame:
-    """keys, n, mean, low, high of the mean of value in each group, by resampling; the values of a group must fit a task.
 
-    Groups are what a report compares, such as the per-pair metrics of one method. Nulls don't count.
-    """
+def times(uniform: Column) -> Column:
+    """How often a row comes in a resample, by a number from 0 up to 1."""
+    out = F.lit(MOST_TIMES)
+    for k in range(MOST_TIMES - 1, -1, -1):
+        out = F.when(uniform < POISSON[k], k).otherwise(out)
+    return out
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf[value].dropna().to_numpy(float))
-        out = pdf[list(keys)].head(1).assign(n=len(x), mean=x.mean() if len(x) else None, low=None, high=None)
-        if len(x):
-            rng, means = np.random.default_rng(seed), []
-            step = max(1, 1_000_000 // len(x))
-            for at in range(0, resamples, step):
-                means.append(x[rng.integers(0, len(x), (min(step, resamples - at), len(x)))].mean(1))
-            out["low"], out["high"] = np.quantile(np.concatenate(means), [(1 - level) / 2, (1 + level) / 2])
-        return out
-
-    types = dict(df.dtypes)
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["n long", "mean double", "low double", "high double"])
-    return df.groupBy(*keys).applyInPandas(run, schema)
+def bootstrap_mean(df: DataFrame, keys: Sequence[str], value: str, identity: Sequence[str], resamples: int = 1000, seed: int = 810_081, level: float = 0.95) -> DataFrame:
+    """keys, n, mean, low, high of the mean of value in each group, by resampling.
+
+    Every row has a weight in every resample, which a digest of its identity, the resample and the seed tells, so that a
+    resample needs no other row of its group: sums are added up wherever the rows lie, and a group of any size is the work of
+    many tasks. Rows that agree in identity come in the same resamples. Nulls don't count; a group without values has no mean.
+    """
+    known = df.where(F.col(value).isNotNull())
+    digests = F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // A_DIGEST) - 1)))
+    drawn = known.select(*keys, F.col(value).cast("double").alias("_x"), *[F.col(c).alias(f"_i{k}") for k, c in enumerate(identity)], digests.alias("_d"))
+    name = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(f"_i{k}").cast("string"), F.lit("")) for k in range(len(identity))], F.col("_d").cast("string"))
+    uniform = lambda k: F.conv(F.substring("_h", 8 * k + 1, 8), 16, 10).cast("double") / float(1 << 32)
+    each = F.array(*[F.struct((F.col("_d") * A_DIGEST + k).alias("_b"), times(uniform(k)).alias("_w")) for k in range(A_DIGEST)])
+    weighted = drawn.withColumn("_h", F.md5(name)).select(*keys, "_x", F.inline(each)).where(F.col("_b") < resamples)
+    means = weighted.groupBy(*keys, "_b").agg((F.sum(F.col("_w") * F.col("_x")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
+    cut = means.groupBy(*keys).agg(F.percentile("_m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("_q"))
+    sums = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(F.col(value).cast("double")).alias("mean"))
+    on = None
+    for k in keys:
+        same = sums[k].eqNullSafe(cut[k])
+        on = same if on is None else on & same
+    both = sums.join(cut, on, "left") if keys else sums.crossJoin(cut)  # one row each
+    return both.select(*[sums[k] for k in keys], "n", "mean", F.get("_q", F.lit(0)).alias("low"), F.get("_q", F.lit(1)).alias("high"))
 
 
 def spaced_strata(df: DataFrame, keys: Sequence[str], order: Sequence[str], strata: int, each: int, name: str = "stratum") -> DataFrame:

@@ -138,7 +138,7 @@ def test_scores_and_chemistry(spark):
 
 def test_sampling(spark):
     df = spark.createDataFrame([("a", i, float(i)) for i in range(40)] + [("b", 0, 1.0)], "k string, i int, v double")
-    r = {x.k: x for x in sampling.bootstrap_mean(df, ["k"], "v", 500).collect()}
+    r = {x.k: x for x in sampling.bootstrap_mean(df, ["k"], "v", ["i"], 500).collect()}
     assert r["a"].mean == 19.5 and r["a"].low < 19.5 < r["a"].high and (r["b"].low, r["b"].high) == (1.0, 1.0)
     picked = sampling.spaced_strata(df.where("k = 'a'"), ["k"], ["v"], 4, 3).collect()
     assert len(picked) == 12 and sorted(x.picked for x in picked) == list(range(12)) and {x.stratum for x in picked} == {1, 2, 3, 4}
