@@ -74,3 +74,29 @@ def summary(rows: DataFrame) -> DataFrame:
 def verdicts(rows: DataFrame) -> DataFrame:
     """target, verdict, n_warn, n_fail."""
     return rows.groupBy("target").agg(worst_of("severity", VERDICTS).alias("verdict"), F.count_if(F.col("severity") == "WARN").alias("n_warn"), F.count_if(F.col("severity") == "FAIL").alias("n_fail"))
+
+
+def _faults() -> list[tuple[str, Column]]:
+    """What a record's columns must be like: a reason, and the condition under which it rejects the record."""
+    is_object = lambda c: F.coalesce(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.lit(False))
+    return [
+        ("rule", ~F.coalesce(F.col("rule").rlike(r"^[A-Z]{2,4}-[0-9]{2}[a-z]?$"), F.lit(False))),
+        ("target", F.coalesce(F.trim("target") == "", F.lit(True))),
+        ("severity", ~F.coalesce(F.col("severity").isin(*SEVERITIES), F.lit(False))),
+        ("value", ~is_object("value")),
+        ("threshold", ~is_object("threshold")),
+    ]
+
+
+def as_variants(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records whose value and threshold are VARIANT columns, and the rejected ones as they came, with reason: the first of rule,
+    target, severity, value and threshold that isn't as it must be. Values are asked for by path: value_of("$.tm_c", "double")."""
+    reason = F.coalesce(*[F.when(fails, name) for name, fails in _faults()])
+    told = rows.withColumn("reason", reason)
+    parsed = {c: F.try_parse_json(c) for c in ("value", "threshold")}
+    return told.where("reason is null").drop("reason").withColumns(parsed), told.where("reason is not null")
+
+
+def value_of(path: str, kind: str, column: str = "value") -> Column:
+    """What a VARIANT column has at a path, null where it has none or another kind."""
+    return F.try_variant_get(column, path, kind)

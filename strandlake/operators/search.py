@@ -29,7 +29,10 @@ def _cut(data: str, at: Column, n: Column) -> Column:
 
 def chunks(contigs: DataFrame, longest: int, size: int = CHUNK, as_is: bool = False) -> DataFrame:
     """chrom, chunk_start, seq (with longest - 1 bases of the next chunk), owned (how many starts). Letters beyond ASCII are N,
-    and others normalised unless as_is."""
+    and others normalised unless as_is. Contigs that were read as chunks (sources.indexed_fasta) are taken as they come; their
+    overlap must be longest - 1 at least."""
+    if {"chunk_start", "owned"} <= set(contigs.columns):
+        return contigs.select("chrom", "chunk_start", "seq", "owned")
     letters = F.col("seq") if as_is else normalized("seq")
     flat = contigs.select("chrom", F.regexp_replace(letters, "[^\\x00-\\x7F]", "N").cast("binary").alias("data")).where("length(data) > 0")
     each = flat.select("chrom", "data", F.length("data").alias("n"), F.explode(F.sequence(F.lit(0), F.floor((F.length("data") - 1) / size))).alias("k"))

@@ -433,4 +433,4 @@ def designed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return design.design(targets, Constraints(length=(20, 20), tm=(59.7, 60.3), product=(100, 140)))["pairs"]
 
 
-from strandlake import ranking_queries, rule_queries, search_queries  # noqa: E402, F401  (add their own to QUERIES)
+from strandlake import ranking_queries, rule_queries, search_queries, surface_queries  # noqa: E402, F401  (add their own to QUERIES)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from strandlake.functions import structures
+from strandlake.functions import structures, tables
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Arrow functions for the dynamic programs, and SQL functions (expressions, no Python) for the rest; the names."""
+    """Arrow functions for the dynamic programs, table functions for contigs that come in parts, and SQL functions
+    (expressions, no Python) for the rest; the names."""
     spark.udf.register("dna_dimer", structures.dimer_udf(False))
     spark.udf.register("dna_dimer_3p", structures.dimer_udf(True))
     spark.udf.register("dna_hairpin", structures.hairpin_udf())
@@ -26,4 +27,4 @@ def register(spark: SparkSession) -> list[str]:
     }
     for head, body in expressions.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
-    return sorted([h.split("(")[0] for h in expressions] + ["dna_dimer", "dna_dimer_3p", "dna_hairpin", "dna_fold", "dna_unpaired", "dna_melt"])
+    return sorted([h.split("(")[0] for h in expressions] + tables.register(spark) + ["dna_dimer", "dna_dimer_3p", "dna_hairpin", "dna_fold", "dna_unpaired", "dna_melt"])
