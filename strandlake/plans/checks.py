@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandlake.functions import dna, masks, thermo
-from strandlake.functions.structures import dimer_udf, fold_udf, hairpin_udf, melt_udf, on_distinct, unpaired_udf
+from strandlake.functions import dna, masks, melting, thermo
+from strandlake.functions.structures import dimer_udf, fold_udf, hairpin_udf, on_distinct, unpaired_udf
 from strandlake.functions.parameters import all_steps
 from strandlake.operators.intervals import containment_join, merge_intervals
 from strandlake.operators.ranking import top_k
@@ -255,7 +255,8 @@ def hybrid_check(target: str, primer: str = "primer", total: float = 2.0e-7) ->
 
 def melt_checks(amplicons: DataFrame, target: str, cond: thermo.Conditions = thermo.Conditions()) -> tuple[DataFrame, list[Column]]:
     """amplicons with their melting profile and fold, and AMP-02 (QPCR-02), SS-04 over them."""
-    out = on_distinct(amplicons, ["amplicon"], "melt", lambda a: melt_udf(cond.monovalent)(a))
+    curves = on_distinct(amplicons, ["amplicon"], "melt", lambda a: melting.theta(a, cond.monovalent))
+    out = curves.withColumn("melt", melting.profile(F.col("melt")))
     out = on_distinct(out, ["amplicon"], "fold", lambda a: fold_udf()(a))
     t = F.col(target)
     tm = structure_tm(F.col("amplicon"), F.col("fold"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import dna, masks, thermo
 from strandlake.operators import intervals, products, ranking, rules, search, sets
 from strandlake.plans import checks, design, multiplex, specificity, variants
-from strandlake.plans.profiles import PROFILES, Constraints
+from strandlake.plans.profiles import limits
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -245,7 +245,7 @@ def melting_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("primer", F.inline(thermo.melting_curve(F.col("m"), 20.0, 95.0, 2.5))).select("primer", "t", F.round("theta", 6).alias("theta"))
 
 
-_CONS = PROFILES["qpcr_sybr"]
+_CONS = limits("qpcr_sybr")
 
 
 @query(f"""WITH {CONTIGS}, w AS (SELECT chrom, s, s + n AS e, substr(seq, s + 1, n) AS x FROM (SELECT chrom, seq, unnest(range(0, length(seq))) AS s FROM contig), (SELECT unnest(range(18, 28)) AS n) WHERE s + n <= length(seq)),
@@ -417,20 +417,11 @@ def structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.records(p, *checks.structure_checks("pair_id")).select("target", "rule", "value", "severity")
 
 
-@query(None)
-def melting_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The melting profile of every contig's product; tests hold it against a plain loop."""
-    from strandlake.functions.structures import melt_udf, on_distinct
-
-    a = contigs(spark, sf_dir).select("chrom", F.substring("seq", 12, 177).alias("amplicon"))
-    return on_distinct(a, ["amplicon"], "melt", lambda s: melt_udf()(s)).select("chrom", F.round("melt.tm", 3).alias("tm_c"), F.size("melt.peaks").alias("n_peaks"), F.round("melt.gap", 2).alias("gap"))
-
-
 @query(None)
 def designed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked primer pairs of every contig."""
     targets = contigs(spark, sf_dir).select(F.col("chrom").alias("target_id"), "seq")
-    return design.design(targets, Constraints(length=(20, 20), tm=(59.7, 60.3), product=(100, 140)))["pairs"]
+    return design.design(targets, limits("qpcr_sybr"))["pairs"]
 
 
-from strandlake import ranking_queries, rule_queries, search_queries, surface_queries  # noqa: E402, F401  (add their own to QUERIES)
+from strandlake import ranking_queries, rule_queries, search_queries, structure_queries, surface_queries  # noqa: E402, F401  (add their own to QUERIES)

@@ -9,7 +9,7 @@ from strandlake import queries as q
 from strandlake.functions.parameters import HYBRID, HYBRID_START
 from strandlake.operators import products, ranking, rules, search, sets
 from strandlake.plans import checks, design, mains, multiplex, reports, specificity
-from strandlake.plans.profiles import Constraints
+from strandlake.plans.profiles import limits
 
 _FOUR_G = r"G{3,}\w{1,7}G{3,}\w{1,7}G{3,}\w{1,7}G{3,}"
 _G4 = lambda s: f"(regexp_matches({s}, '{_FOUR_G}') OR regexp_matches({q._RC(s)}, '{_FOUR_G}'))"
@@ -178,7 +178,7 @@ def gene_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("target", F.get_json_object("value", "$.gene").alias("gene"), F.col("severity").alias("ct06"))
 
 
-_PLACED = Constraints(length=(18, 20), region=(20, 220))
+_PLACED = limits(given={"length": (18, 20), "REGION": (20, 220)})
 
 
 @q.query(f"""WITH {q.CONTIGS}, t AS (SELECT chrom, doc_id, CASE WHEN doc_id % 4 = 0 THEN left(seq, 59) || 'N' || substr(seq, 61) ELSE seq END AS seq FROM contig), v AS (SELECT chrom, doc_id % 200 AS a, doc_id % 200 + 1 + doc_id % 3 AS b FROM contig),

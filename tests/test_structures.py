@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from strandlake.functions import melting as M
 from strandlake.functions import structures as S
 from strandlake.functions.parameters import END_AT, END_GC, GAS, LOOPS, MISMATCHES, T37, all_steps, mismatch_key
 
@@ -128,19 +130,41 @@ def test_melting_chain_against_all_states():
     grow = [math.exp(-(h - kelvin * (s + salt) / 1000) / (GAS * kelvin / 1000)) for h, s in (STEPS[seq[i : i + 2]] for i in range(len(seq) - 1))]
     total = held = 0.0
     for state in itertools.product((0, 1), repeat=len(seq)):
-        w = S.SIGMA if state[0] else 1.0
+        w = M.SIGMA if state[0] else 1.0
         for i in range(1, len(seq)):
             if state[i]:
-                w *= grow[i - 1] * (1.0 if state[i - 1] else S.SIGMA)
+                w *= grow[i - 1] * (1.0 if state[i - 1] else M.SIGMA)
         total += w
         held += w * sum(state) / len(seq)
-    assert math.isclose(S.helix_fractions(seq, np.array([t]))[0], held / total, rel_tol=1e-9)
+    assert math.isclose(M.helix_fractions(seq, np.array([t]))[0], held / total, rel_tol=1e-9)
 
 
-def test_profile_and_loops():
+def plain_profile(curve, t):
+    slope = [0.0] + [-(curve[i + 1] - curve[i - 1]) / (t[i + 1] - t[i - 1]) for i in range(1, len(t) - 1)] + [0.0]
+    tops = [i for i in range(2, len(t) - 2) if slope[i - 1] <= slope[i] > slope[i + 1] and slope[i] > 0]
+    peaks = [t[i] for i in tops if slope[i] >= 0.15 * max(slope[j] for j in tops)]
+    tm = next((t[i] + (curve[i] - 0.5) / (curve[i] - curve[i + 1]) * 0.25 for i in range(len(t) - 1) if curve[i] >= 0.5 > curve[i + 1]), None)
+    return tm, peaks, max((b - a for a, b in itertools.pairwise(peaks)), default=0.0)
+
+
+def test_melting_profiles(spark):
     rng = random.Random(8)
-    profile = S.melt_profile("".join(rng.choices("ACGT", k=90)))
-    assert 60 < profile["tm"] < 95 and profile["peaks"]
+    seqs = ["".join(rng.choices("ACGT", k=n)) for n in (2, 3, 40, 90, 177, 1500)] + ["AT" * 60 + "GC" * 60, "G" * 50, "A" * 30]
+    df = spark.createDataFrame([(s,) for s in [*seqs, None, "A", "ACGN"]], "s string")
+    curves = df.withColumn("c", M.theta(F.col("s")))
+    found = {r.s: (r.c, r.p) for r in curves.withColumn("p", M.profile(F.col("c"))).collect()}
+    t = M.temperatures()
+    assert len(t) == 193 and t[-1] == 98.0
+    for s in seqs:
+        curve, p = found[s]
+        assert np.allclose(curve, M.helix_fractions(s, np.array(t)), atol=1e-12)
+        tm, peaks, gap = plain_profile(curve, t)
+        assert (p.tm is None) == (tm is None) and (tm is None or math.isclose(p.tm, tm, rel_tol=1e-9)) and p.peaks == peaks and p.gap == gap
+    assert found["AT" * 60 + "GC" * 60][1].peaks
+    assert found[None] == found["A"] == found["ACGN"] == (None, None)
+
+
+def test_loops():
     assert S.loop_energy("hairpin", 3) == 3.5 and 4.6 < S.loop_energy("hairpin", 11) < 5.0
     assert S.loop_energy("bulge", 31) > 5.9 and S.loop_energy("internal", 2) == math.inf
 
