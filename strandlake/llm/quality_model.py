@@ -140,8 +140,8 @@ def _held_out(doc_id) -> F.Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_passages: int = SAMPLE_PASSAGES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """From labelled texts outside the held-out fold, in the order of a hash of the id, until sample or sample_passages is
-    reached; these go to the driver. Labels without a document, or other than 0 and 1, are passed over."""
+    """From labelled texts outside the held-out fold, in the order of a hash of the id, as many as sample allows, without those
+    that sample_passages has no room for; these go to the driver. Labels without a document, or other than 0 and 1, are passed over."""
     known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~_held_out(F.col("doc_id")))
     there = docs.select(docs[id_col].cast("long").alias("doc_id"))
     known = known.groupBy("doc_id").agg(F.min("y").alias("y")).join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -151,9 +151,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_passa
     sizes = texts.select("doc_id", F.ceil(words / PASSAGE).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"), F.xxhash64("doc_id").alias("o"))
     chosen, total = [], 0
     for doc_id, n, _ in sizes.orderBy("o", "doc_id").collect():  # sample rows of three numbers
+        if total + n > sample_passages:
+            continue  # a very long text is left out, and those behind it are still learned from
         total += n
-        if total > sample_passages:
-            break
         chosen.append((doc_id,))
     if not chosen:
         return fit([], [])
@@ -167,11 +167,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_passa
     return fit([np.frombuffer(x, np.float32).reshape(-1, N_FEATURES) for _, _, x in found], [y for _, y, _ in found])
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", at_once: int = 256) -> DataFrame:
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", at_once: int = 4096) -> DataFrame:
     """doc_id, held_out, score, predicted of every document.
 
     Null and empty texts get a score as well. Rows that repeat are each scored; a null id stays null, and is not held out.
-    Only the text is an input. Other columns are not read.
+    Only the text is an input. Other columns are not read. Texts are scored together up to about at_once passages.
     """
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
@@ -180,12 +180,13 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
             for (doc_id, out, _), p in zip(held, model.scores(np.concatenate([x for *_, x in held]), start).tolist(), strict=True):
                 yield doc_id, out, p, int(p >= threshold)
 
-        held = []
+        held, size = [], 0
         for doc_id, out, text in it:
             held.append((doc_id, out, passages(text)))
-            if len(held) >= at_once:
+            size += len(held[-1][2])
+            if size >= at_once:
                 yield from scored(held)
-                held = []
+                held, size = [], 0
         if held:
             yield from scored(held)
 

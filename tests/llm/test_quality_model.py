@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -85,3 +86,38 @@ def test_the_sample_is_bounded_by_whole_texts(spark):
         Q.fit = old
     every = sorted(len(Q.passages(t)) for d, t, _ in rows if zlib.crc32(str(d).encode()) % 4 != 2)
     assert seen[0] == every and 500 in every and len(seen[1]) == 5 and sum(seen[2]) <= 20
+
+
+def plain_score(model, bag):
+    """One text's score, passage by passage, number by number."""
+    w = model.weights
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    codes, attention = [], []
+    for row in bag.tolist():
+        x = [(v - m) / s for v, m, s in zip(row, model.mean.tolist(), model.scale.tolist(), strict=True)]
+        h = [math.tanh(sum(v * w["e"][i][j] for i, v in enumerate(x)) + w["eb"][j]) for j in range(len(w["eb"]))]
+        gated = [math.tanh(sum(v * w["v"][i][j] for i, v in enumerate(h))) * sig(sum(v * w["u"][i][j] for i, v in enumerate(h))) for j in range(len(w["a"]))]
+        codes.append(h)
+        attention.append(sum(a * b for a, b in zip(gated, w["a"], strict=True)))
+    weights = [math.exp(a - max(attention)) for a in attention]
+    whole = [sum(a * h[j] for a, h in zip(weights, codes, strict=True)) / sum(weights) for j in range(len(w["c"]))]
+    return sig(sum(a * b for a, b in zip(whole, w["c"], strict=True)) + w["cb"][0])
+
+
+def test_scores_equal_plain_loops(spark):
+    rows = texts(60)
+    rows += [(500, rows[1][1] * 40, 1), (501, "", 0), (502, "one", 0)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    model = Q.learn(docs, spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, quality int"))
+    for at_once in (1, 7, 4096):
+        got = {r.doc_id: r.score for r in Q.score(docs, model, at_once=at_once).collect()}
+        assert all(abs(got[d] - plain_score(model, Q.passages(t))) < 1e-9 for d, t, _ in rows)
+
+
+def test_a_text_beyond_the_sample_is_passed_over(spark):
+    rows = [(d, t, y) for d, t, y in texts(90)]
+    docs = spark.createDataFrame([(d, t * 2000 if d == 0 else t) for d, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, quality int")
+    model = Q.learn(docs, labels, sample_passages=600)
+    got = {r.doc_id: r.predicted for r in Q.score(docs.where("doc_id > 0"), model).collect()}
+    assert sum(got[d] == y for d, _, y in rows[1:]) > 80
