@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .tables import settled
+
 
 def _renamed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(c if c in keys else f"{prefix}{c}") for c in df.columns])
@@ -75,7 +77,8 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], start: str = "start", en
     """keys, start, end, n of the unions of intervals that overlap or touch, each grown by pad on both sides first (not below 0).
 
     Intervals are merged within bins of their starts. What no other bin touches is final; of the rest each bin has two rows at
-    most (what earlier bins reach into, and what reaches on), and these are stitched key by key. Nulls take no part.
+    most (what earlier bins reach into, and what reaches on), and these are stitched key by key. Nulls take no part. What the
+    bins hold is computed once and kept, as it is looked at four times.
     """
     grown = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*keys, F.greatest(F.col(start) - pad, F.lit(0)).alias(start) if pad else F.col(start), (F.col(end) + pad).alias(end))
     ahead = lambda by: by.rowsBetween(Window.unboundedPreceding, -1)
@@ -86,7 +89,7 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], start: str = "start", en
         marked = rows.withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)).withColumn("_island", F.sum("_new").over(order))
         return marked.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), n.alias("n")).drop("_island")
 
-    local = islands(grown.withColumn("_bin", F.floor(F.col(start) / width)), [*keys, "_bin"], F.count("*"))
+    local = settled(islands(grown.withColumn("_bin", F.floor(F.col(start) / width)), [*keys, "_bin"], F.count("*")))
     bins = local.groupBy(*keys, "_bin").agg(F.max(end).alias("_reach")).withColumn("_ahead", F.max("_reach").over(ahead(Window.partitionBy(*keys).orderBy("_bin"))))
     placed = _per_bin(local, bins, keys, "_ahead").withColumn("_in", F.coalesce(F.col(start) <= F.col("_ahead"), F.lit(False)))
     alone = ~F.col("_in") & (F.col(end) < (F.col("_bin") + 1) * width)

@@ -381,19 +381,31 @@ def bisulfite_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel(spark, sf_dir).select("pair_id", dna.cpg_count("primer1").alias("cpg"), one["severity"].alias("bis01"), two["severity"].alias("bis02"), three["severity"].alias("bis03"))
 
 
-#: A gene for each shared block, with two transcripts; the second lacks the exon of the right primer for odd documents.
-@query(f"""WITH {CONTIGS}, e AS (SELECT chrom, 'g' || doc_id AS gene, 't1' AS t, unnest([(0, 100), (100, 140), (150, 200)]) AS x FROM contig UNION ALL SELECT chrom, 'g' || doc_id, 't2', unnest(CASE WHEN doc_id % 2 = 0 THEN [(5, 60), (160, 190)] ELSE [(5, 60), (170, 190)] END) FROM contig)
-SELECT doc_id, CAST(2 AS BIGINT) AS n_isoforms, CASE WHEN doc_id % 2 = 0 THEN 't1,t2' ELSE 't1' END AS targeted, 'INFO' AS rt03 FROM contig WHERE (SELECT count(*) FROM e) > 0""")
+#: Three transcripts for each contig's gene, but none for every seventh. Each exon's ends are digits of a hash; the second exon of a
+#: transcript may overlap or touch its first one, and the third lies around the right primer or just beside it.
+_DIGIT = lambda k: f"('0x' || substr(md5(concat('exon', doc_id, t)), {k}, 1))::BIGINT"
+
+
+@query(f"""WITH {CONTIGS}, t AS (SELECT doc_id, t FROM contig, (SELECT unnest(['t1', 't2', 't3']) AS t) WHERE doc_id % 7 <> 0),
+e AS (SELECT doc_id, t, unnest([{_DIGIT(1)}, 18 + {_DIGIT(2)}, 156 + {_DIGIT(3)}]) AS a, unnest([20 + {_DIGIT(4)}, 40 + {_DIGIT(5)}, 176 + 2 * {_DIGIT(6)}]) AS b FROM t),
+m AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, t ORDER BY a, b) AS k FROM (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id, t ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM e)),
+x AS (SELECT doc_id, t, min(a) AS a, max(b) AS b FROM m GROUP BY doc_id, t, k),
+h AS (SELECT doc_id, t, bool_or(a <= 11 AND b >= 31) AND bool_or(a <= 168 AND b >= 188) AS hit FROM x GROUP BY doc_id, t)
+SELECT c.doc_id, count(h.t) AS n_isoforms, coalesce(string_agg(h.t, ',' ORDER BY h.t) FILTER (hit), '') AS targeted, coalesce(string_agg(h.t, ',' ORDER BY h.t) FILTER (NOT hit), '') AS untargeted,
+  CASE WHEN count(h.t) > 0 AND count(*) FILTER (hit) = 0 THEN 'WARN' ELSE 'INFO' END AS rt03 FROM contig c LEFT JOIN h ON h.doc_id = c.doc_id GROUP BY c.doc_id""")
 def isoform_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts whose merged exons hold both primers of a pair."""
     c = contigs(spark, sf_dir)
     gene = F.concat(F.lit("g"), F.col("doc_id").cast("string"))
-    exon = lambda t, a, b: F.struct(F.lit(t).alias("transcript_id"), F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"))
-    last = F.when(F.col("doc_id") % 2 == 0, exon("t2", 160, 190)).otherwise(exon("t2", 170, 190))
-    exons = c.select("chrom", gene.alias("gene_name"), F.inline(F.array(exon("t1", 0, 100), exon("t1", 100, 140), exon("t1", 150, 200), exon("t2", 5, 60), last)))
+    each = c.where("doc_id % 7 <> 0").select("chrom", "doc_id", gene.alias("gene_name"), F.explode(F.array(*[F.lit(f"t{k}") for k in (1, 2, 3)])).alias("transcript_id"))
+    each = each.withColumn("h", F.md5(F.concat(F.lit("exon"), F.col("doc_id").cast("string"), "transcript_id")))
+    digit = lambda k: F.conv(F.substring("h", k, 1), 16, 10).cast("long")
+    exon = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    exons = each.select("chrom", "gene_name", "transcript_id", F.inline(F.array(exon(digit(1), 20 + digit(4)), exon(18 + digit(2), 40 + digit(5)), exon(156 + digit(3), 176 + 2 * digit(6)))))
     n = lambda k: F.lit(k).cast("long")
     pairs = c.select(F.col("doc_id").alias("pair_id"), gene.alias("gene"), "chrom", n(11).alias("fwd_start"), n(31).alias("fwd_end"), n(168).alias("rev_start"), n(188).alias("rev_end"))
     found = checks.isoform_coverage(pairs, exons)
-    return found.select(F.col("pair_id").alias("doc_id"), "n_isoforms", F.array_join("targeted", ",").alias("targeted"), "rt03")
+    return found.select(F.col("pair_id").alias("doc_id"), "n_isoforms", F.array_join("targeted", ",").alias("targeted"), F.array_join("untargeted", ",").alias("untargeted"), "rt03")
 
 
 @query("""WITH b AS (SELECT date_trunc('hour', ts) AS window_start, event_type FROM events) SELECT window_start, event_type, count(*) AS n FROM b GROUP BY ALL""")

@@ -37,24 +37,33 @@ _PRIMER = _levels(
 )
 
 
-@q.query(f"""{_WITH}, primers AS (SELECT DISTINCT primer1 AS primer FROM panel), {q._THERMO},
+#: Every rule of every primer of the panel.
+_PRIMER_RULES = f"""{_WITH}, primers AS (SELECT DISTINCT unnest([primer1, primer2]) AS primer FROM panel), {q._THERMO},
 a AS (SELECT primer, dh AS h5, ds AS s5 FROM (SELECT primer, {q._duplex_sql('left(primer, 10)')} FROM primers)), b AS (SELECT primer, dh AS h3, ds AS s3 FROM (SELECT primer, {q._duplex_sql('right(primer, 10)')} FROM primers)),
 v AS (SELECT *, primer AS s, tm - 273.15 AS t, {q.entropy_sql('primer')} AS h, 1 - 1 / (1 + exp(-(1000 * dh - 333.15 * dse) / (1.9872 * 333.15)) * c) AS theta,
   {q.steps_sql('right(primer, 5)', 0)} - 310.15 * {q.steps_sql('right(primer, 5)', 1)} / 1000 AS tail FROM e JOIN a USING (primer) JOIN b USING (primer)),
-r AS (SELECT primer, unnest({_PRIMER}) AS x FROM v)
-SELECT pair_id AS target, x.rule AS rule, x.severity AS severity FROM panel JOIN r ON r.primer = panel.primer1""")
+r AS (SELECT primer, unnest({_PRIMER}) AS x FROM v),
+ends AS (SELECT unnest([pair_id || '_F', pair_id || '_R']) AS target, unnest([primer1, primer2]) AS primer FROM panel),
+told AS (SELECT target, x.rule AS rule, x.severity AS severity FROM ends JOIN r USING (primer))"""
+
+
+def panel_primers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """target, primer: both primers of every pair."""
+    end = lambda tag, c: F.struct(F.concat("pair_id", F.lit(tag)).alias("target"), F.col(c).alias("primer"))
+    return q.panel(spark, sf_dir).select(F.inline(F.array(end("_F", "primer1"), end("_R", "primer2"))))
+
+
+@q.query(f"{_PRIMER_RULES} SELECT * FROM told")
 def primer_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SEQ-01..03, CMP-05..08 and TH-01..05 of every left primer."""
-    return rules.records(q.panel(spark, sf_dir), listed=checks.primer_checks("primer1", "pair_id")).select("target", "rule", "severity")
+    """SEQ-01..03, CMP-05..08 and TH-01..05 of every primer."""
+    return rules.records(panel_primers(spark, sf_dir), listed=checks.primer_checks("primer", "target")).select("target", "rule", "severity")
 
 
-@q.query(f"""{_WITH}, primers AS (SELECT DISTINCT primer1 AS primer FROM panel), {q._THERMO},
-w AS (SELECT primer, CASE WHEN tm - 273.15 NOT BETWEEN 55 AND 65 THEN 2 WHEN tm - 273.15 NOT BETWEEN 58 AND 62 THEN 1 ELSE 0 END AS th, CASE WHEN right(primer, 1) = 'T' THEN 1 ELSE 0 END AS t FROM e)
-SELECT pair_id AS target, CASE greatest(th, t) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARN' ELSE 'PASS' END AS verdict, CAST((th = 1)::INT + t AS BIGINT) AS n_warn, CAST((th = 2)::INT AS BIGINT) AS n_fail FROM panel JOIN w ON w.primer = panel.primer1""")
+@q.query(f"""{_PRIMER_RULES} SELECT target, CASE WHEN bool_or(severity = 'FAIL') THEN 'FAIL' WHEN bool_or(severity = 'WARN') THEN 'WARN' ELSE 'PASS' END AS verdict,
+count(*) FILTER (severity = 'WARN') AS n_warn, count(*) FILTER (severity = 'FAIL') AS n_fail FROM told GROUP BY target""")
 def primer_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The worst of two rules of every left primer."""
-    found = rules.records(q.panel(spark, sf_dir), listed=checks.primer_checks("primer1", "pair_id")).where(F.col("rule").isin("TH-01", "CMP-08"))
-    return rules.verdicts(found)
+    """The worst of all rules of every primer."""
+    return rules.verdicts(rules.records(panel_primers(spark, sf_dir), listed=checks.primer_checks("primer", "target")))
 
 
 _PAIR = _levels(
