@@ -1,15 +1,23 @@
+import itertools
 import random
+import struct
+import zlib
 
+import public_tokenizers
 import test_compression
 import test_decontamination
 import test_jaccard
 import test_lines
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 
 SYLLABLES = [a + b for a in "bcdfghklmnprstvw" for b in ("a", "e", "i", "o", "u", "an", "er")]
 
 
+tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def tables():
     rng = random.Random(6)
     word = lambda: "".join(rng.choices(SYLLABLES, k=rng.randint(1, 4)))
@@ -49,7 +57,14 @@ def test_run_against_brute_force(spark, tmp_path):
         assert at.columns == corpus_pipeline.COLUMNS
     assert sorted((r.doc_id, r.text, r.n_chars) for r in at.collect()) == sorted((d, t, len(t)) for d, t in kept)
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in got} == {d for d, _ in kept}
+    ids = {d: [*tokens.encode(t, add_special_tokens=False).ids, 2] for d, t in kept}
+    places = {d: sorted((r.start, r.length) for r in got if r.doc_id == d) for d in ids}
+    assert {r.doc_id for r in got} == set(ids)
+    for d, pieces in places.items():
+        assert [a for a, _ in pieces] == [0, *itertools.accumulate(n for _, n in pieces)][:-1] and sum(n for _, n in pieces) == len(ids[d])
+    for r in got:
+        piece = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(struct.pack(f"<{len(piece)}I", *piece))
     assert len(corpus_pipeline.STAGES) == 5
 
 
