@@ -1,11 +1,13 @@
 """N-gram Jaccard join over a token-group matrix.
 
 A text is its set of distinct 5-word shingles. Texts with equal sets form one class, whose smallest doc_id stands for it.
-Classes that agree in a min-hash are compared with one of them, and those linked this way form the groups. The matrix
-tells which groups hold a token among the tokens that a partner must share (the rarest quarter of each set, by an order
-that puts frequent tokens last). A class queries the groups that hold one of its own; a group is opened only if the
-query's overlap with the union of the group's tokens can reach the threshold, and then only members of fitting size and
-overlap are compared, exactly. Every link between groups is found this way; links inside a group change no component.
+Classes that agree in a min-hash, or share most of their rare tokens, are compared with one of them; those that are similar
+(NEAR or more) form the groups. The matrix tells which groups hold a token among the tokens that a partner must share (the
+rarest quarter of each set, by an order that puts frequent tokens last). A class queries the groups that hold one of its own;
+a group is opened only if the query's overlap with the union of the group's tokens can reach the threshold. An opened group is
+compared with its queries exactly, block by block, and so are the parts of a group that no link joins yet: classes that are
+similar, but not linked, to very many others meet these in blocks, and never as pairs. Every link between parts is found this
+way; links inside a part change no component.
 """
 
 from __future__ import annotations
@@ -26,11 +28,12 @@ from .graphs import components
 from .sharing import shared_tags, tagged
 
 WORDS, PERCENT = 5, 75
-#: Min-hashes by which classes meet first; rounds, at most, in which they then meet classes of other groups, how many for a
-#: token, and the share of meetings (one in so many) that must link for another round.
-BANDS, ROUNDS, PIVOTS, WORTH = 4, 8, 4, 10
-#: Members of a block of an opened group, and queries that meet a block in one task.
-MEMBERS, QUERIES = 64, 256
+#: The percentage from which classes share a group; min-hashes by which classes meet first; rounds, at most, in which they then
+#: meet classes of other groups, how many for a token, the share of the tokens to be shared (one in so many) from which they do,
+#: and the share of meetings (one in so many) that must be similar for another round.
+NEAR, BANDS, ROUNDS, PIVOTS, SHARE, WORTH = 50, 4, 8, 4, 3, 4
+#: Members of a block of an opened group, queries that meet a block in one task, and tokens of either, all at most about.
+MEMBERS, QUERIES, TOKENS = 256, 256, 1 << 18
 #: Counters of the frequency sketch, whatever the input's size, and how they are cut into rows.
 COUNTERS, CHUNK = 1 << 20, 1 << 12
 #: Bytes of text that are hashed at once.
@@ -115,28 +118,32 @@ def _counted(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _surveyed(docs: DataFrame) -> DataFrame:
-    """A row for each document, and each task's counts of tokens by their lowest bits."""
+    """A row for each document, and each task's counts of tokens by their lowest bits.
+
+    folds: how many of its tokens share their lowest 32 bits with another, and so may share a tag.
+    """
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         counts, held, n_held = np.zeros(COUNTERS, np.int64), [], 0
         for doc_id, text in it:
             s = shingles(text)
             if not len(s):
-                yield doc_id, 0, None, None, None, None
+                yield doc_id, 0, 0, None, None, None, None
                 continue
             held.append(s)
             n_held += len(s)
             if n_held >= COUNTERS:
                 counts += _counted(held)
                 held, n_held = [], 0
-            yield doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), [int(((s ^ k) * _P).min() >> np.uint64(1)) for k in _BAND_KEYS], None, None
+            folds = len(s) - len(np.unique(s.astype(np.uint32)))
+            yield doc_id, len(s), folds, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), [int(((s ^ k) * _P).min() >> np.uint64(1)) for k in _BAND_KEYS], None, None
         if held:
             counts += _counted(held)
         if counts.any():
             for at in range(0, COUNTERS, CHUNK):
-                yield None, None, None, None, at // CHUNK, counts[at : at + CHUNK].astype("<u4").tobytes()
+                yield None, None, None, None, None, at // CHUNK, counts[at : at + CHUNK].astype("<u4").tobytes()
 
-    return arrow_rows(docs, "doc_id long, n long, sig binary, mins array<long>, chunk int, counts binary", rows)
+    return arrow_rows(docs, "doc_id long, n long, folds int, sig binary, mins array<long>, chunk int, counts binary", rows)
 
 
 def _levels(survey: DataFrame) -> np.ndarray:
@@ -189,43 +196,62 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _opened(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the queries (a, h) and the members (h, b) of the groups they ask, one for a query and a block.
+    """Links (a, b) between the queries (a, h, ca) and the members (h, b, cb) of the groups they ask, ca and cb being the parts
+    that they belong to: of a lot and a block, as few as join all parts that their links join.
 
-    A group is cut into blocks of about MEMBERS, and many queries of a group into lots of about QUERIES; a task compares a
-    lot with a block's token matrix, so that neither grows with the group and no pair becomes a row.
+    A group is cut into blocks of about MEMBERS and the queries of a group into lots of about QUERIES, or fewer where their sets
+    are large (TOKENS); a task compares a lot with a block through the block's inverted index, so that neither grows with the
+    group and no pair becomes a row.
     """
-    blocks = members.groupBy("h").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("blocks"))
-    lots = asked.groupBy("h").agg(F.ceil(F.count("*") / F.lit(QUERIES)).cast("int").alias("lots"))
+    sizes = sets.select(F.col("id"), (F.length("tokens") / 8).alias("n"))
+    parts = lambda most: F.ceil(F.greatest(F.count("*") / F.lit(most), F.sum("n") / F.lit(TOKENS))).cast("int")
+    blocks = members.join(sizes, F.col("b") == F.col("id")).groupBy("h").agg(parts(MEMBERS).alias("blocks"))
+    lots = asked.join(sizes, F.col("a") == F.col("id")).groupBy("h").agg(parts(QUERIES).alias("lots"))
     plan = blocks.join(lots, "h")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(plan, "h").select("a", "h", F.pmod(F.xxhash64("a"), F.col("lots")).alias("lot"), spread("blocks").alias("block"))
-    right = members.join(plan, "h").select("b", "h", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots").cast("long") - 1)).alias("lot"))
-    left = left.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").select("h", "block", "lot", "a", "ta")
-    right = right.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b").select(F.col("h").alias("h2"), F.col("block").alias("block2"), F.col("lot").alias("lot2"), "b", "tb")
+    left = asked.join(plan, "h").select("a", "ca", "h", F.pmod(F.xxhash64("a"), F.col("lots")).cast("int").alias("lot"), spread("blocks").alias("block"))
+    right = members.join(plan, "h").select("b", "cb", "h", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), spread("lots").alias("lot"))
+    left = left.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").select("h", "block", "lot", "a", "ca", "ta")
+    right = right.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b").select(F.col("h").alias("h2"), F.col("block").alias("block2"), F.col("lot").alias("lot2"), "b", "cb", "tb")
 
     def compare(queries: pa.Table, block: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := above.get(x, x)) != x:
+                above[x] = above.get(y, y)
+                x = y
+            return x
+
         if queries.num_rows and block.num_rows:
             owned = [np.frombuffer(x, np.uint64) for x in block["tb"].to_pylist()]
-            names, n = block["b"].to_pylist(), np.array([len(x) for x in owned])
-            tokens, column = np.unique(np.concatenate(owned), return_inverse=True)
-            matrix = np.zeros((len(owned), len(tokens)), np.float32)
-            matrix[np.repeat(np.arange(len(owned)), n), column] = 1
-            for a, data in zip(queries["a"].to_pylist(), queries["ta"].to_pylist(), strict=True):
+            names, part, n = block["b"].to_pylist(), np.array(block["cb"].to_pylist()), np.array([len(x) for x in owned])
+            tokens, owner = np.concatenate(owned), np.repeat(np.arange(len(owned)), n)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            for a, own, data in zip(*(queries[c].to_pylist() for c in ("a", "ca", "ta")), strict=True):
                 s = np.frombuffer(data, np.uint64)
-                at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                same = matrix[:, at[tokens[at] == s]].sum(1).astype(np.int64)
-                linked = np.flatnonzero(100 * same >= percent * (n + len(s) - same))
-                if len(linked):
-                    found.append((a, names[linked[0]]))
+                low, high = np.searchsorted(tokens, s, "left"), np.searchsorted(tokens, s, "right")
+                held = np.flatnonzero(high > low)
+                each = high[held] - low[held]
+                # The places low..high of all the query's tokens, one run after another.
+                at = np.repeat(low[held] - np.cumsum(each) + each, each) + np.arange(each.sum())
+                same = np.bincount(owner[at], minlength=len(n))
+                linked = np.flatnonzero((100 * same >= percent * (n + len(s) - same)) & (part != own))
+                for k in linked[np.unique(part[linked], return_index=True)[1]]:
+                    x, y = top(own), top(int(part[k]))
+                    if x != y:
+                        above[x] = y
+                        found.append((a, names[k]))
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return left.groupBy("h", "block", "lot").cogroup(right.groupBy("h2", "block2", "lot2")).applyInArrow(compare, "a long, b long")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link, by their whole sets."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that are similar by their whole sets, and whether they link."""
     tokens = sets.select("id", "tokens")
     both = pairs.join(tokens.withColumnsRenamed({"id": "a", "tokens": "ta"}), "a").join(tokens.withColumnsRenamed({"id": "b", "tokens": "tb"}), "b")
 
@@ -233,17 +259,18 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for a, b, ta, tb in it:
             x, y = np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64)
             same = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * same >= percent * (len(x) + len(y) - same):
-                yield a, b
+            union = len(x) + len(y) - same
+            if 100 * same >= min(percent, NEAR) * union:
+                yield a, b, 100 * same >= percent * union
 
-    return arrow_rows(both.select("a", "b", "ta", "tb"), "a long, b long", rows)
+    return arrow_rows(both.select("a", "b", "ta", "tb"), "a long, b long, linked boolean", rows)
 
 
-def _bound(n: Column, least: Column, most: Column, percent: int, slack: int) -> Column:
+def _bound(n: Column, least: Column, most: Column, percent: int, slack: Column) -> Column:
     """So many tokens among their first ones does a set of n share with a linked set of least to most tokens.
 
     Linked sets share percent / (100 + percent) of n + m tokens, all but so many of either; so their first ones, of which
-    there are prefix_length(), share the rest. One less, for two tokens that one tag stands for.
+    there are prefix_length(), share the rest; less those of the set's tokens that share a tag.
     """
     first = lambda x: x - F.ceil(percent * x / F.lit(100)) + 1
     both = lambda m: F.ceil(percent * (n + m) / F.lit(100 + percent) - 1e-9)
@@ -264,39 +291,44 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     """
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     survey = written(_surveyed(docs), "survey")
-    each = survey.where("chunk is null").select("doc_id", "n", "sig", "mins")
-    classes = written(each.where("n > 0").groupBy("n", "sig").agg(F.min("doc_id").alias("id"), F.first("mins").alias("mins")), "classes")
+    each = survey.where("chunk is null").select("doc_id", "n", "folds", "sig", "mins")
+    classes = written(each.where("n > 0").groupBy("n", "sig").agg(F.min("doc_id").alias("id"), F.first("mins").alias("mins"), F.first("folds").alias("folds")), "classes")
 
     # Tokens that a partner must share one of, where another class has them too.
     tokens = each.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-tokens * (100 - percent) // (100 * BUCKET_TOKENS)))
     levels = docs.sparkSession.sparkContext.broadcast(_levels(survey))  # COUNTERS bytes
-    known = classes.where("id is not null").select("id", "n")
+    known = classes.where("id is not null").select("id", "n", "folds")
     rare = shared_tags(docs, _prefix_tags(levels, buckets, percent), buckets).select(F.col("doc_id").alias("id"), F.col("tag").alias("token"))
-    shared = written(rare.join(known, "id").select("token", "id", "n").distinct(), "tokens")
+    shared = written(rare.join(known, "id").select("token", "id", "n", "folds").distinct(), "tokens")
 
-    # Groups: classes that a min-hash brings together and the whole sets link.
+    # Groups: classes that a min-hash brings together and the whole sets find similar.
     met = classes.where("id is not null").select("id", "n", F.posexplode("mins").alias("band", "low"))
     pivots = met.groupBy("band", "low").agg(F.min(F.struct(F.xxhash64("band", "id").alias("h"), F.col("id").alias("b"), F.col("n").alias("m"))).alias("p"), F.count("*").alias("k")).where("k > 1").select("band", "low", "p.b", "p.m")
     first = written(met.join(pivots, ["band", "low"]).where("id <> b").where(_fits("n", "m", percent)).select(F.col("id").alias("a"), "b").distinct(), "pairs")
     sets = _sets_of(docs, first.select("a").union(first.select("b")))
-    links = written(_linked(first, sets, percent), "links")
+    similar = [written(_compared(first, sets, percent), "similar")]
     forget(first, sets)
-    group = components(links, 2)
+
+    def pairs(linked: bool) -> DataFrame:
+        all_pairs = functools.reduce(DataFrame.union, similar)
+        return (all_pairs.where("linked") if linked else all_pairs).select("a", "b")
+
+    group = components(pairs(False), 2)
 
     def sized(group: DataFrame) -> DataFrame:
-        """id, g, size of the classes that are linked at all."""
+        """id, g, size of the classes that are in a group with others."""
         return group.join(group.groupBy("component").agg(F.count("*").alias("size")), "component").select(F.col("node").alias("id"), F.col("component").alias("g"), "size")
 
     def between_groups(base: DataFrame, group: DataFrame) -> DataFrame:
-        """token, id, n, g, size of tokens that two groups still share."""
-        placed = base.select("token", "id", "n").join(sized(group), "id", "left").select("token", "id", "n", F.coalesce("g", "id").alias("g"), F.coalesce("size", F.lit(1)).alias("size"))
+        """token, id, n, folds, g, size of tokens that two groups still share."""
+        placed = base.select("token", "id", "n", "folds").join(sized(group), "id", "left").select("token", "id", "n", "folds", F.coalesce("g", "id").alias("g"), F.coalesce("size", F.lit(1)).alias("size"))
         # Aggregated and joined, so that a frequent token is no one task's.
         ends = placed.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")).where("lo < hi").drop("lo", "hi")
         each = written(placed.join(ends, "token"), "shared")
         # A class must hold as many such tokens as it has to share with a partner of any size that they are shared with.
-        able = each.groupBy("id", "n").agg(F.count("*").alias("k"), F.min("least").alias("least"), F.max("most").alias("most"))
-        able = able.where(F.col("k") >= _bound(F.col("n"), F.col("least"), F.col("most"), percent, 2)).select("id", "n")
+        able = each.groupBy("id", "n", "folds").agg(F.count("*").alias("k"), F.min("least").alias("least"), F.max("most").alias("most"))
+        able = able.where(F.col("k") >= _bound(F.col("n"), F.col("least"), F.col("most"), percent, F.col("folds"))).select("id", "n")
         kept = written(each.drop("least", "most").join(able, ["id", "n"], "left_semi"), "kept")
         still = kept.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("token")
         out = written(kept.join(still, "token", "left_semi"), "between")
@@ -304,7 +336,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
         return out
 
     # Groups grow: of a few classes for each token every class meets the one of another group with which it shares most, as
-    # many pairs as there are classes. What links here needs no look at the other pairs between the two groups.
+    # many pairs as there are classes. What is similar needs no look at the other pairs between the two groups.
     between = between_groups(shared, group)
     forget(shared)
     for r in range(ROUNDS):
@@ -313,33 +345,40 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
         least = [F.min_by(seen, F.xxhash64("id", F.lit(r * PIVOTS + k))).alias(f"p{k}") for k in range(PIVOTS)]
         chosen = dealt.groupBy("token").agg(*least).select("token", F.inline(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))))
         meeting = dealt.join(chosen, "token").where("g <> h_g").where(_fits("n", "m", percent)).groupBy(F.col("id").alias("a"), "b", "n", "m").agg(F.count("*").alias("k"))
-        meeting = meeting.where(2 * F.col("k") >= _bound(F.col("n"), F.col("m"), F.col("m"), percent, 1)).groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
+        meeting = meeting.where(SHARE * F.col("k") >= _bound(F.col("n"), F.col("m"), F.col("m"), percent, F.lit(0))).groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
         meeting = written(meeting, "meeting")
         sets = _sets_of(docs, meeting.select("a").union(meeting.select("b")))
-        found = written(_linked(meeting, sets, percent), "links")
+        found = written(_compared(meeting, sets, percent), "similar")
         n_met, n_found = meeting.count(), found.count()
         forget(meeting, sets)
+        similar.append(found)
         if n_found:
-            links = links.union(found)
-            group = components(links, 2)
+            group = components(pairs(False), 2)
             last, between = between, between_groups(between, group)
             forget(last)
         if WORTH * n_found < n_met:
             break
 
     # The matrix, and the queries that may reach another group: classes of the smaller of two groups ask the larger.
-    placed = known.join(group.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("component", "id").alias("g"))
-    dealt = between.select("token", "id", "n", F.struct("size", "g").alias("rank")).repartition("token")
+    part = components(pairs(True), 2).select(F.col("node").alias("id"), F.col("component").alias("c"))
+    placed = known.join(group.withColumnRenamed("node", "id"), "id", "left").join(part, "id", "left").select("id", F.coalesce("component", "id").alias("g"), F.coalesce("c", "id").alias("c"))
+    placed = written(placed, "placed")
+    dealt = between.select("token", "id", "n", "folds", F.struct("size", "g").alias("rank")).repartition("token")
     matrix = dealt.groupBy("token", F.col("rank").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     reach = dealt.join(matrix, "token").where("rank < other").where((100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n")))
-    overlap = reach.groupBy("id", "n", F.col("other.g").alias("h")).agg(F.count("*").alias("k"), F.min("least").alias("least"), F.max("most").alias("most"))
-    asked = written(overlap.where(F.col("k") >= _bound(F.col("n"), F.col("least"), F.col("most"), percent, 2)).select(F.col("id").alias("a"), "h"), "asked")
+    overlap = reach.groupBy("id", "n", "folds", F.col("other.g").alias("h")).agg(F.count("*").alias("k"), F.min("least").alias("least"), F.max("most").alias("most"))
+    across = overlap.where(F.col("k") >= _bound(F.col("n"), F.col("least"), F.col("most"), percent, F.col("folds"))).select("id", "h")
+    # Within a group, all parts but the largest ask for the others.
+    parts = placed.groupBy("g", "c").agg(F.count("*").alias("k"))
+    whole = parts.groupBy("g").agg(F.max_by("c", F.struct("k", "c")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").select("g", "largest")
+    within = placed.join(whole, "g").where("c <> largest").select("id", F.col("g").alias("h"))
+    asked = written(across.union(within).join(placed.select("id", "c"), "id").select(F.col("id").alias("a"), F.col("c").alias("ca"), "h"), "asked")
 
     # Open them: whole sets, block by block.
-    members = written(placed.select(F.col("g").alias("h"), F.col("id").alias("b")).join(asked.select("h").distinct(), "h", "left_semi"), "members")
+    members = written(placed.select(F.col("g").alias("h"), F.col("id").alias("b"), F.col("c").alias("cb")).join(asked.select("h").distinct(), "h", "left_semi"), "members")
     sets = _sets_of(docs, asked.select("a").union(members.select("b")))
-    whole = components(links.union(_opened(asked, members, sets, percent)))
-    forget(between, asked, members, sets)
+    whole = components(pairs(True).union(_opened(asked, members, sets, percent)))
+    forget(between, placed, asked, members, sets, *similar)
 
     named = classes.select("n", "sig", "id").join(whole.withColumnRenamed("node", "id"), "id", "left").select("n", "sig", F.coalesce("component", "id").alias("component_id"))
     full = each.where("n > 0").join(named, ["n", "sig"]).select("doc_id", "n", "component_id")

@@ -75,3 +75,39 @@ def test_empty_and_one_of_each(spark):
 def test_shingles_of_short_texts():
     assert len(shingles("a b")) == 1 and len(shingles(" \t")) == 0 and len(shingles(None)) == 0
     assert (shingles("A b") == shingles("a\nb")).all()
+
+
+def test_similar_but_unlinked_documents(spark):
+    # One base text of which each document keeps about 85 %: most pairs are at 0.5 to 0.74, a few link, and copies do.
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(160)]
+    docs = []
+    for i in range(140):
+        t = list(base)
+        for k in rng.sample(range(160), rng.choice([1, 3, 4, 5])):
+            t[k] = f"x{i}.{k}"
+        docs.append((i, " ".join(t)))
+    docs += [(200 + i, docs[i][1] + " tail") for i in range(0, 140, 9)]
+    rng.shuffle(docs)
+    got = jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(brute(docs))
+
+
+def test_very_long_texts_at_the_threshold(spark):
+    # With this many shingles some share a tag. The second text of a pair keeps just enough, or just too few, of the first's.
+    docs, n = [], 60_000
+    for pair, extra in enumerate([0, 1]):
+        words = [f"{pair}.{i}" for i in range(n + 4)]
+        same = -(-n * 75 // 100) - extra
+        docs += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(words[: same + 4]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {0: (n, 0), 1: (45_000, 0), 2: (n, 2), 3: (44_999, 3)}
+
+
+def test_folded_tokens_are_counted(spark):
+    from strandlake.llm import jaccard
+
+    text = " ".join(f"w{i}" for i in range(200_000))
+    row = jaccard._surveyed(spark.createDataFrame([(1, text)], "doc_id long, text string")).where("doc_id = 1").first()
+    s = shingles(text)
+    assert row.folds == len(s) - len({int(x) & 0xFFFFFFFF for x in s}) and row.n == len(s)
