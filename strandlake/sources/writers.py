@@ -1,4 +1,4 @@
-"""Sinks: tab-separated tables, JSON lines of evidence, contracts, k-mer indexes by chromosome, and a small HTML report."""
+"""Sinks: tab-separated tables, JSON lines of evidence, contracts, and a small HTML report. operators.kmer_index writes indexes."""
 
 from __future__ import annotations
 
@@ -18,11 +18,6 @@ def json_lines(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
 
 
-def kmer_index(kmers: DataFrame, path: str) -> None:
-    """Parquet by chromosome, sorted by k-mer, so that a lookup reads a few row groups of its chromosomes."""
-    kmers.repartition("chrom").sortWithinPartitions("chrom", "kmer", "pos").write.partitionBy("chrom").parquet(path)
-
-
 def contract(values: DataFrame) -> DataFrame:
     """A wide row as field, value."""
     pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in values.columns])

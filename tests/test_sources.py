@@ -60,9 +60,6 @@ def test_writers(spark, tmp_path):
     writers.tsv(df, str(tmp_path / "t"))
     assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "t")).first().c == "[1,2]"
     assert "a&lt;b" in writers.html_report(df, "T") and writers.contract(df.drop("c")).count() == 2
-    k = spark.createDataFrame([("c1", 3, "ACG"), ("c2", 1, "AAA")], "chrom string, pos long, kmer string")
-    writers.kmer_index(k, str(tmp_path / "k"))
-    assert spark.read.parquet(str(tmp_path / "k")).where("chrom = 'c1'").count() == 1
 
 
 def test_sql_and_windows(spark):
