@@ -45,7 +45,7 @@ def helix_fractions(seq: str, celsius: np.ndarray, monovalent: float = 0.050, si
     return (helix + coil) / len(seq)
 
 
-def theta(seq: Column, monovalent: float = 0.050) -> Column:
+def theta_udf(monovalent: float = 0.050):
     """array<double>: helix_fractions() at temperatures(); null where a string isn't strict DNA of two bases or more."""
 
     @F.pandas_udf("array<double>")
@@ -54,7 +54,11 @@ def theta(seq: Column, monovalent: float = 0.050) -> Column:
         for batch in batches:
             yield pd.Series([helix_fractions(s, at, monovalent) if isinstance(s, str) and len(s) > 1 and strict.issuperset(s) else None for s in batch], dtype=object)
 
-    return run(seq)
+    return run
+
+
+def theta(seq: Column, monovalent: float = 0.050) -> Column:
+    return theta_udf(monovalent)(seq)
 
 
 def _at(values: str | Column, k: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from strandlake.functions import structures, tables
+from strandlake.functions import melting, structures, tables
 
 
 def register(spark: SparkSession) -> list[str]:
@@ -15,6 +15,7 @@ def register(spark: SparkSession) -> list[str]:
     spark.udf.register("dna_hairpin", structures.hairpin_udf())
     spark.udf.register("dna_fold", structures.fold_udf())
     spark.udf.register("dna_unpaired", structures.unpaired_udf())
+    spark.udf.register("dna_melt_curve", melting.theta_udf())
     expressions = {
         "dna_reverse_complement(s STRING) RETURNS STRING": "reverse(translate(s, 'ACGT', 'TGCA'))",
         "dna_gc_fraction(s STRING) RETURNS DOUBLE": "(length(s) - length(translate(s, 'GC', ''))) / length(s)",
@@ -26,4 +27,4 @@ def register(spark: SparkSession) -> list[str]:
     }
     for head, body in expressions.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
-    return sorted([h.split("(")[0] for h in expressions] + tables.register(spark) + ["dna_dimer", "dna_dimer_3p", "dna_hairpin", "dna_fold", "dna_unpaired"])
+    return sorted([h.split("(")[0] for h in expressions] + tables.register(spark) + ["dna_dimer", "dna_dimer_3p", "dna_hairpin", "dna_fold", "dna_unpaired", "dna_melt_curve"])

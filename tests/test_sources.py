@@ -66,6 +66,7 @@ def test_sql_and_windows(spark):
     assert "dna_dimer" in sql.register(spark)
     row = spark.sql("SELECT dna_reverse_complement('AACG') r, dna_gc_fraction('AACG') g, dna_hamming('AC', 'AG') h, dna_dimer('GGGG', 'CCCC').found f").first()
     assert tuple(row) == ("CGTT", 0.5, 1, True)
+    assert len(spark.sql("SELECT dna_melt_curve('ACGTACGT') c").first().c) == 193
     e = spark.sql("SELECT timestamp'2024-01-01 00:10:00' ts, 'a' k UNION ALL SELECT timestamp'2024-01-01 00:50:00', 'a'")
     assert windowed_counts(e, "ts", "k").first().n == 2
 
