@@ -16,11 +16,13 @@ MOST_TIMES = 12
 POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(MOST_TIMES)]
 
 
-def times(uniform: Column) -> Column:
-    """How often a row comes in a resample, by a number from 0 up to 1."""
+def times(word: Column) -> Column:
+    """How often a row comes in a resample, by eight hexadecimal digits (lower case) as a number from 0 up to 1: digits of one length
+    are in the order of their numbers, so that none is made of them."""
     out = F.lit(MOST_TIMES)
     for k in range(MOST_TIMES - 1, -1, -1):
-        out = F.when(uniform < POISSON[k], k).otherwise(out)
+        least = math.ceil(POISSON[k] * (1 << 32))
+        out = F.when(word < f"{least:08x}", k).otherwise(out) if least < 1 << 32 else F.lit(k)
     return out
 
 
@@ -35,10 +37,11 @@ def bootstrap_mean(df: DataFrame, keys: Sequence[str], value: str, identity: Seq
     digests = F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // A_DIGEST) - 1)))
     drawn = known.select(*keys, F.col(value).cast("double").alias("_x"), *[F.col(c).alias(f"_i{k}") for k, c in enumerate(identity)], digests.alias("_d"))
     name = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(f"_i{k}").cast("string"), F.lit("")) for k in range(len(identity))], F.col("_d").cast("string"))
-    uniform = lambda k: F.conv(F.substring("_h", 8 * k + 1, 8), 16, 10).cast("double") / float(1 << 32)
-    each = F.array(*[F.struct((F.col("_d") * A_DIGEST + k).alias("_b"), times(uniform(k)).alias("_w")) for k in range(A_DIGEST)])
-    weighted = drawn.withColumn("_h", F.md5(name)).select(*keys, "_x", F.inline(each)).where(F.col("_b") < resamples)
-    means = weighted.groupBy(*keys, "_b").agg((F.sum(F.col("_w") * F.col("_x")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
+    # The resamples of a digest are added up side by side, so that a row is one row for each digest.
+    weighted = drawn.withColumn("_h", F.md5(name)).select(*keys, "_x", "_d", *[times(F.substring("_h", 8 * k + 1, 8)).alias(f"_w{k}") for k in range(A_DIGEST)])
+    added = weighted.groupBy(*keys, "_d").agg(*[f for k in range(A_DIGEST) for f in (F.sum(F.col(f"_w{k}") * F.col("_x")).alias(f"_s{k}"), F.sum(f"_w{k}").alias(f"_n{k}"))])
+    each = F.array(*[F.struct((F.col("_d") * A_DIGEST + k).alias("_b"), (F.col(f"_s{k}") / F.nullif(F.col(f"_n{k}"), F.lit(0))).alias("_m")) for k in range(A_DIGEST)])
+    means = added.select(*keys, F.inline(each)).where(F.col("_b") < resamples)
     cut = means.groupBy(*keys).agg(F.percentile("_m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("_q"))
     sums = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(F.col(value).cast("double")).alias("mean"))
     on = None
