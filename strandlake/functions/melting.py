@@ -2,13 +2,13 @@
 
 A base is in a helix or not. A step between two helix bases weighs exp(-dG / RT), a new helix SIGMA. The chain is read base by
 base with three numbers for each temperature: the share r of the weight whose last base is in a helix, and the mean count of helix
-bases so far, once for each of the two states (times its share). A small numpy helper does that for all temperatures of a row at
-once; curves, slopes, peaks and the melting temperature are array expressions.
+bases so far, once for each of the two states (times its share). Small numpy helpers do that for all temperatures of some rows at
+once, and read slopes, peaks and the melting temperature off the curves, which needn't leave the task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -28,21 +28,52 @@ def temperatures(low: float = LOW, high: float = HIGH, step: float = STEP) -> li
     return [low + step * k for k in range(int((high - low) / step + 1e-9) + 1)]
 
 
-def helix_fractions(seq: str, celsius: np.ndarray, monovalent: float = 0.050, sigma: float = SIGMA) -> np.ndarray:
-    """The expected share of a strict sequence's bases in a helix, at each temperature."""
+#: Rows whose curves are read together: their states stay in a core's cache.
+ROWS = 32
+
+
+def all_helix_fractions(seqs: Sequence[str], celsius: np.ndarray, monovalent: float = 0.050, sigma: float = SIGMA) -> np.ndarray:
+    """The expected share of strict sequences' bases in a helix, by (sequence, temperature)."""
     kelvin = np.asarray(celsius, float) + ZERO
     salt = SALT * np.log(max(monovalent, 1e-6))
     # How much likelier a helix base goes on as one than not, as a share: w / (1 + w), by the 16 kinds of steps.
-    on = {k: 1 / (1 + np.exp((dh - kelvin * (ds + salt) / 1000) / (GAS * kelvin / 1000))) for k, (dh, ds) in _STEPS.items()}
-    share = np.full(len(kelvin), sigma / (1 + sigma))
-    helix, coil = share.copy(), np.zeros(len(kelvin))
-    for i in range(len(seq) - 1):
-        p = on[seq[i : i + 2]]
-        grown = p * (share + sigma * (1 - share))
-        total = grown + (1 - p)
-        helix, coil = (p * (helix + sigma * coil) + grown) / total, (1 - p) * (helix + coil) / total
-        share = grown / total
-    return (helix + coil) / len(seq)
+    kinds = list(_STEPS)
+    on = np.array([1 / (1 + np.exp((dh - kelvin * (ds + salt) / 1000) / (GAS * kelvin / 1000))) for dh, ds in _STEPS.values()])
+    off = 1 - on
+    code = np.zeros(256, np.intp)
+    code[[ord(x) for x in "ACGT"]] = range(4)
+    place = np.zeros(16, np.intp)
+    place[[4 * "ACGT".index(k[0]) + "ACGT".index(k[1]) for k in kinds]] = range(16)
+    out = np.empty((len(seqs), len(kelvin)))
+    longest_first = sorted(range(len(seqs)), key=lambda k: -len(seqs[k]))
+    for first in range(0, len(seqs), ROWS):
+        rows = longest_first[first : first + ROWS]
+        width = len(seqs[rows[0]])
+        letters = code[np.frombuffer("".join(seqs[k].ljust(width, "A") for k in rows).encode(), np.uint8).reshape(len(rows), width)]
+        steps = place[4 * letters[:, :-1] + letters[:, 1:]]
+        sizes = np.array([len(seqs[k]) for k in rows])
+        share = np.full((len(rows), len(kelvin)), sigma / (1 + sigma))
+        helix, coil = share.copy(), np.zeros_like(share)
+        for i in range(width - 1):
+            n = int(np.count_nonzero(sizes > i + 1))  # the shorter ones have ended
+            p, q = on[steps[:n, i]], off[steps[:n, i]]
+            grown = p * (share[:n] + sigma * (1 - share[:n]))
+            total = grown + q
+            h, c = helix[:n], coil[:n]
+            helix[:n], coil[:n] = (p * (h + sigma * c) + grown) / total, q * (h + c) / total
+            share[:n] = grown / total
+        out[rows] = (helix + coil) / sizes[:, None]
+    return out
+
+
+def helix_fractions(seq: str, celsius: np.ndarray, monovalent: float = 0.050, sigma: float = SIGMA) -> np.ndarray:
+    """The expected share of a strict sequence's bases in a helix, at each temperature."""
+    return all_helix_fractions([seq], celsius, monovalent, sigma)[0]
+
+
+def _able(batch: pd.Series) -> np.ndarray:
+    strict = set("ACGT")
+    return np.array([isinstance(s, str) and len(s) > 1 and strict.issuperset(s) for s in batch], bool)
 
 
 def theta_udf(monovalent: float = 0.050):
@@ -50,9 +81,11 @@ def theta_udf(monovalent: float = 0.050):
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        at, strict = np.array(temperatures()), set("ACGT")
+        at = np.array(temperatures())
         for batch in batches:
-            yield pd.Series([helix_fractions(s, at, monovalent) if isinstance(s, str) and len(s) > 1 and strict.issuperset(s) else None for s in batch], dtype=object)
+            able = _able(batch)
+            curves = iter(all_helix_fractions(batch[able].tolist(), at, monovalent))
+            yield pd.Series([next(curves) if x else None for x in able], dtype=object)
 
     return run
 
@@ -61,8 +94,23 @@ def theta(seq: Column, monovalent: float = 0.050) -> Column:
     return theta_udf(monovalent)(seq)
 
 
-def _at(values: str | Column, k: Column) -> Column:
-    return F.get(values, k)
+PROFILE = "tm double, peaks array<double>, gap double"
+
+
+def profiles_of(curves: np.ndarray) -> pd.DataFrame:
+    """profile() of curves, by (row, temperature)."""
+    c, t = curves, np.array(temperatures())
+    slope = np.zeros_like(c)
+    slope[:, 1:-1] = -(c[:, 2:] - c[:, :-2]) / (2 * STEP)
+    tops = np.zeros(c.shape, bool)
+    tops[:, 2:-2] = (slope[:, 2:-2] >= slope[:, 1:-3]) & (slope[:, 2:-2] > slope[:, 3:-1]) & (slope[:, 2:-2] > 0)
+    high = tops & (slope >= PEAK_SHARE * np.where(tops, slope, 0.0).max(1, keepdims=True))
+    falls = (c[:, :-1] >= 0.5) & (c[:, 1:] < 0.5)
+    row, k = np.arange(len(c)), falls.argmax(1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        tm = np.where(falls.any(1), t[k] + (c[row, k] - 0.5) / (c[row, k] - c[row, k + 1]) * STEP, np.nan)
+    peaks = [t[x] for x in high]
+    return pd.DataFrame({"tm": tm, "peaks": pd.Series(peaks, dtype=object), "gap": [np.diff(x).max(initial=0.0) for x in peaks]})
 
 
 def profile(curve: Column) -> Column:
@@ -72,29 +120,25 @@ def profile(curve: Column) -> Column:
     temperatures at which the slope (by central differences) is as high as before and higher than behind, above 0 and at least
     PEAK_SHARE of the highest such; the outermost two places on both sides have none. gap is the widest between neighbours.
     """
-    n = len(temperatures())
-    places = lambda low, high: F.sequence(F.lit(low), F.lit(high))
-    celsius = lambda k: F.lit(LOW) + k * STEP
-
-    def of_curve(c: Column) -> Column:
-        slope = F.transform(places(0, n - 1), lambda k: F.when((k > 0) & (k < n - 1), -(_at(c, k + 1) - _at(c, k - 1)) / (2 * STEP)).otherwise(0.0))
-        down = F.array_min(F.filter(places(0, n - 2), lambda k: (_at(c, k) >= 0.5) & (_at(c, k + 1) < 0.5)))
-        tm = F.when(down.isNotNull(), celsius(down) + (_at(c, down) - 0.5) / (_at(c, down) - _at(c, down + 1)) * STEP)
-        return F.struct(tm.alias("tm"), slope.alias("slope"))
-
-    def of_slope(s: Column) -> Column:
-        tops = F.filter(places(2, n - 3), lambda k: (_at(s["slope"], k) >= _at(s["slope"], k - 1)) & (_at(s["slope"], k) > _at(s["slope"], k + 1)) & (_at(s["slope"], k) > 0))
-        return F.struct(s["tm"].alias("tm"), F.transform(tops, lambda k: F.struct(celsius(k).alias("t"), _at(s["slope"], k).alias("v"))).alias("tops"))
-
-    def of_tops(s: Column) -> Column:
-        high = F.filter(s["tops"], lambda x: x["v"] >= PEAK_SHARE * F.array_max(F.transform(s["tops"], lambda y: y["v"])))
-        return F.struct(s["tm"].alias("tm"), F.transform(high, lambda x: x["t"]).alias("peaks"))
-
-    def of_peaks(s: Column) -> Column:
-        gaps = F.transform(F.slice(s["peaks"], F.lit(2), F.greatest(F.size(s["peaks"]) - 1, F.lit(0))), lambda t, k: t - _at(s["peaks"], k))
-        return F.struct(s["tm"].alias("tm"), s["peaks"].alias("peaks"), F.coalesce(F.array_max(gaps), F.lit(0.0)).alias("gap"))
-
-    out = curve
-    for step in (of_curve, of_slope, of_tops, of_peaks):
-        out = F.get(F.transform(F.array(out), step), F.lit(0))
-    return F.when(curve.isNotNull(), out)
+
+    @F.pandas_udf(PROFILE)
+    def run(batch: pd.Series) -> pd.DataFrame:
+        return _spread(batch.notna().to_numpy(), profiles_of(np.array(batch.dropna().tolist()).reshape(-1, len(temperatures()))))
+
+    return F.when(curve.isNotNull(), run(curve))
+
+
+def melted(seq: Column, monovalent: float = 0.050) -> Column:
+    """profile() of theta(), without the curve."""
+
+    @F.pandas_udf(PROFILE)
+    def run(batch: pd.Series) -> pd.DataFrame:
+        able = _able(batch)
+        return _spread(able, profiles_of(all_helix_fractions(batch[able].tolist(), np.array(temperatures()), monovalent)))
+
+    return F.when(seq.rlike("^[ACGT]{2,}$"), run(seq))
+
+
+def _spread(able: np.ndarray, found: pd.DataFrame) -> pd.DataFrame:
+    """found at the rows that are able, nulls elsewhere."""
+    return found if able.all() else found.set_index(np.flatnonzero(able)).reindex(range(len(able))).astype(object).replace({np.nan: None})
