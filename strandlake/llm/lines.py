@@ -21,17 +21,6 @@ EDITS, CHARACTERS = 2, 20
 HEAVY, BROADCAST_LINES = 1000, 250_000
 
 
-def _segments(length: Column, pieces: int) -> list[tuple[Column, Column]]:
-    """1-based place and length of each of the even segments; the last ones take the rest."""
-    rest = length % pieces
-    base = ((length - rest) / pieces).cast("int")
-    out = []
-    for k in range(pieces):
-        longer = F.greatest(F.lit(0), F.lit(k) - (pieces - rest))
-        out.append((base * k + longer + 1, base + F.when(F.lit(k) >= pieces - rest, 1).otherwise(0)))
-    return out
-
-
 def _flat(line: str) -> Column:
     """One byte for each code point, alike for all that aren't ASCII: equal segments stay equal, and bytes are cut in no time."""
     return F.regexp_replace(line, "[^\\x00-\\x7F]", "?").cast("binary")
@@ -56,27 +45,34 @@ def _profiles(edits: int, characters: int) -> list[tuple[int, list[int]]]:
     return out
 
 
-def _keys(line: str, length: str, edits: int, characters: int) -> Column:
-    """role (0: index, 1: probe), key of each segment of the flat line and of each substring that can be another's segment."""
-    # The length of the shorter line, the segment's number and its text.
-    key = lambda size, k, at, n: F.xxhash64(size, F.lit(k), F.col(line).substr(at, n))
+def _keyed(flat: DataFrame, edits: int, characters: int) -> DataFrame:
+    """h, role, key of flat (h, flat, n): the key of each of a line's segments (role 0) and of each substring that can be another's
+    segment (role 1). A segment of the line itself is both (role 2), as one row.
 
-    def of(profile: list[int]) -> Column:
+    What there is to cut is a constant list for each profile of lengths; a row of it becomes a key by one short expression,
+    which stays within what the JVM compiles.
+    """
+
+    def cuts(profile: list[int]) -> Column:
         out = []
-        for k, (at, n) in enumerate(_segments(F.col(length), profile[0] + 1) if profile[0] > 0 else []):
-            out.append(F.struct(F.lit(0).alias("role"), key(F.col(length), k, at, n).alias("key")))
         for gap, most in enumerate(profile):
-            size = F.col(length) - gap
-            for k, (at, n) in enumerate(_segments(size, most + 1) if most > 0 else []):
+            for k in range(most + 1) if most > 0 else ():
                 for move in range(max(-k, gap - (most - k)), min(k, gap + (most - k)) + 1):
-                    out.append(F.struct(F.lit(1).alias("role"), key(size, k, at + move, n).alias("key")))
-        return F.array(*out) if out else F.array().cast("array<struct<role:int,key:bigint>>")
+                    role = 2 if gap == 0 and move == 0 else 1
+                    out.append(f"named_struct('role', {role}, 'gap', {gap}, 'pieces', {most + 1}, 'k', {k}, 'move', {move})")
+        return F.expr(f"array({', '.join(out)})") if out else F.expr("cast(array() as array<struct<role:int,gap:int,pieces:int,k:int,move:int>>)")
 
     first, *more = _profiles(edits, characters)
-    keys = of(first[1])
+    lists = cuts(first[1])
     for least, profile in more:
-        keys = F.when(F.col(length) >= least, of(profile)).otherwise(keys)
-    return keys
+        lists = F.when(F.col("n") >= least, cuts(profile)).otherwise(lists)
+    each = flat.select("h", "flat", "n", F.inline(lists)).withColumn("size", F.col("n") - F.col("gap"))
+    # The even segments; the last ones take the rest.
+    rest, pieces, k = F.col("size") % F.col("pieces"), F.col("pieces"), F.col("k")
+    base = F.expr("size div pieces").cast("int")
+    at = base * k + F.greatest(F.lit(0), k - (pieces - rest)) + 1 + F.col("move")
+    # The length of the shorter line, the segment's number and its text.
+    return each.select("h", "role", F.xxhash64("size", "k", F.substring(F.col("flat"), at, base + (k >= pieces - rest).cast("int"))).alias("key"))
 
 
 def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -182,11 +178,13 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, characters: int = CHARAC
     heavy = firsts.where(F.col("k") * HEAVY > total).select("h", F.col("doc_id").alias("f_doc"), F.col("at").alias("f_at"))
     given_once = lines.select(h, "doc_id", "at", "line").join(F.broadcast(heavy), "h", "left").where("f_doc is null or (doc_id = f_doc and at = f_at)")
     flat = given_once.select("h", _flat("line").alias("flat"), F.char_length("line").alias("n"))
-    keyed = flat.select("h", F.inline(_keys("flat", "n", edits, characters)))
+    keyed = _keyed(flat, edits, characters)
 
     # Keys at which different lines meet, in one pass over each key's rows.
     by_key = Window.partitionBy("key")
-    met = keyed.withColumn("lo", F.min("h").over(by_key)).withColumn("hi", F.max("h").over(by_key)).where("lo < hi").select("key", "role", "h").distinct()
+    met = keyed.withColumn("lo", F.min("h").over(by_key)).withColumn("hi", F.max("h").over(by_key)).where("lo < hi")
+    roles = F.when(F.col("role") == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array("role"))
+    met = met.select("key", F.explode(roles).alias("role"), "h").distinct()
     met = written(met.join(firsts.drop("k"), "h"), "met")
     ends = met.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, place)).alias(f"e{r}") for r in (0, 1)]).where("e0 is not null and e1 is not null")
 

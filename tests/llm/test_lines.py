@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandlake.llm.lines import banded_distance, dedup_lines
+from strandlake.llm.lines import _keyed, banded_distance, dedup_lines
 
 
 def levenshtein(a, b):
@@ -82,3 +82,11 @@ def test_the_pipeline_removes_short_copies(spark):
     docs = spark.createDataFrame([(1, "a\nAll rights reserved.", "en", "s", 22), (2, "All rights reserved.\nb\n", "en", "s", 23)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.without_repeated_lines(spark, docs, "").collect()}
     assert got == {1: ("a\nAll rights reserved.", 22), 2: ("b\n", 2)}
+
+
+def test_a_segment_is_one_key_for_both_roles(spark):
+    """Twelve keys for a line of two edits: its three segments stand for themselves and for what an equally long line may have."""
+    flat = spark.createDataFrame([(1, "x" * 20 + "y" * 20 + "z" * 21, 61), (2, "ab" * 15, 30), (3, "short", 5)], "h long, s string, n int").select("h", F.col("s").cast("binary").alias("flat"), "n")
+    found = _keyed(flat, 2, 20).groupBy("h").agg(F.count("*").alias("n"), F.count_if(F.col("role") == 2).alias("own")).collect()
+    # One edit: two segments, two moves of equal length and two for a line that is shorter by one.
+    assert sorted(map(tuple, found)) == [(1, 12, 3), (2, 6, 2)]
