@@ -15,15 +15,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.functions.dna import _let, normalized, reverse_complement
-from strandlake.functions.masks import base_bits, mismatches_of_packed, packed, unpacked
+from strandlake.functions.dna import normalized, reverse_complement
+from strandlake.functions.masks import WORD, base_bits, mismatches_of_packed, numbers_of, packed, strict_run, unpacked, window_of, words
 
 from .search import BROADCAST_SEEDS, CHUNK, chunks, primers_of, verified
 
 #: Letters of an indexed k-mer, of the bases kept on each side of it, and of the folders' names.
 K, FLANK, PREFIX = 12, 24, 2
-#: Letters of a chunk's numbers (two bits a letter), which begin at every STEP-th letter, so that any WORD letters lie within one.
-LETTERS, STEP, WORD = 31, 8, 24
 #: Anchors up to which each is looked up by itself, so that the scan's filters reach the row groups.
 LOOKUPS = 128
 #: Rows of a segment, which one task sorts, and bytes of a row group: what a lookup reads at least.
@@ -40,34 +38,8 @@ class Index:
     prefix: int = PREFIX
 
 
-def _words(n: int) -> list[tuple[int, int]]:
-    """n letters beside a k-mer as words of up to WORD letters: how far from it each begins, and its length."""
-    return [(at, min(WORD, n - at)) for at in range(0, n, WORD)]
-
-
-def _numbers(digits: Column) -> Column:
-    """LETTERS digits (0 to 3) from every STEP-th on as numbers, the last digit lowest; zeros stand behind the end."""
-    cut = lambda d: F.transform(F.sequence(F.lit(0), F.length(d) - LETTERS - 1, F.lit(STEP)), lambda i: F.conv(F.substring(d, i + 1, LETTERS).cast("string"), 4, 10).cast("long"))
-    return _let(F.concat(digits, F.lit("0" * LETTERS)).cast("binary"), cut)
-
-
-def _window(numbers: str, at: Column, n: int) -> Column:
-    """Of _numbers(), n digits (WORD at most) from a place on."""
-    shift = 2 * (LETTERS - n - at.bitwiseAND(STEP - 1))
-    return F.call_function("shiftrightunsigned", F.get(numbers, F.floor(at / STEP).cast("int")), shift.cast("int")).bitwiseAND(F.lit((1 << 2 * n) - 1).cast("long"))
-
-
-def _strict_run(marks: list[tuple[Column, int]]) -> Column:
-    """How many letters of words (marks of what isn't strict, length) come before the first mark, from the lowest end on."""
-    out = F.lit(0)
-    for x, n in reversed(marks):
-        run = F.least(F.bit_count(x.bitwiseAND(-x) - 1).cast("int").bitwiseAND(126), F.lit(2 * n))
-        out = F.call_function("shiftright", run, F.lit(1)) + F.when(x == 0, out).otherwise(0)
-    return out
-
-
 def _sides(index: Index) -> dict[str, list[str]]:
-    return {side: [f"{side}{i}" for i in range(len(_words(index.flank)))] for side in ("before", "after")}
+    return {side: [f"{side}{i}" for i in range(len(words(index.flank)))] for side in ("before", "after")}
 
 
 def indexed_rows(contigs: DataFrame, index: Index, size: int = CHUNK, tasks: int | None = None) -> DataFrame:
@@ -84,19 +56,18 @@ def indexed_rows(contigs: DataFrame, index: Index, size: int = CHUNK, tasks: int
     parts = chunks(padded, whole, size, as_is=True).where(F.length("seq") >= whole)
     parts = parts.repartition(tasks) if tasks else parts.repartition("chrom", "chunk_start")
     # Letters and marks of Ns as numbers, once for a chunk, read in both directions.
-    texts = {"ahead": F.col("seq"), "back": F.reverse("seq")}
-    numbers = {name: _numbers(F.translate(text, "ACGTN", "01230")) for name, text in texts.items()} | {f"{name}_n": _numbers(F.translate(text, "ACGTN", "00001")) for name, text in texts.items()}
+    numbers = numbers_of("seq")
     last = F.least(F.col("owned"), F.length("seq") - whole + 1) - 1
     read = parts.select("chrom", "chunk_start", F.length("seq").alias("n"), last.alias("last"), F.col("seq").cast("binary").alias("data"), *[x.alias(name) for name, x in numbers.items()])
     starts = read.select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("at"))
     first, behind = F.col("at") + flank, F.col("at") + flank + k
-    words = {"before": [("ahead", first - at - n, n) for at, n in _words(flank)], "after": [("back", F.col("n") - behind - at - n, n) for at, n in _words(flank)]}
+    beside = {"before": [("ahead", first - at - n, n) for at, n in words(flank)], "after": [("back", F.col("n") - behind - at - n, n) for at, n in words(flank)]}
     columns = []
     for side, names in _sides(index).items():
-        columns += [_strict_run([(_window(f"{way}_n", at, n), n) for way, at, n in words[side]]).alias(f"n_{side}")]
-        columns += [_window(way, at, n).alias(name) for name, (way, at, n) in zip(names, words[side], strict=True)]
+        columns += [strict_run([(window_of(f"{way}_n", at, n), n) for way, at, n in beside[side]]).alias(f"n_{side}")]
+        columns += [window_of(way, at, n).alias(name) for name, (way, at, n) in zip(names, beside[side], strict=True)]
     part = F.substring("data", first + 1, F.lit(index.prefix)).cast("string")
-    return starts.where(_window("ahead_n", first, k) == 0).select(part.alias("part"), _window("ahead", first, k).alias("kmer"), "chrom", (F.col("chunk_start") + F.col("at")).alias("pos"), *columns)
+    return starts.where(window_of("ahead_n", first, k) == 0).select(part.alias("part"), window_of("ahead", first, k).alias("kmer"), "chrom", (F.col("chunk_start") + F.col("at")).alias("pos"), *columns)
 
 
 def write_index(contigs: DataFrame, index: Index, size: int = CHUNK) -> Index:
@@ -145,8 +116,8 @@ def indexed_search(spark: SparkSession, index: Index, primers: DataFrame, anchor
         raise ValueError(f"the index holds sites of {index.k + index.flank} bases, and a primer has {longest}")
     sides = _sides(index)
     asked = [f"out{i}" for i in range(len(sides["before"]))]
-    words = [packed(F.substring(F.lpad("out", index.flank, "A"), index.flank - at - n + 1, n)) for at, n in _words(index.flank)]
-    seeds = texts.select("primer", "strand", packed("text").alias("seed"), *[w.alias(name) for w, name in zip(words, asked, strict=True)])
+    numbers = [packed(F.substring(F.lpad("out", index.flank, "A"), index.flank - at - n + 1, n)) for at, n in words(index.flank)]
+    seeds = texts.select("primer", "strand", packed("text").alias("seed"), *[w.alias(name) for w, name in zip(numbers, asked, strict=True)])
     plus = F.col("strand") == "+"
     beside = [F.when(plus, F.col(b)).otherwise(F.col(a)) for b, a in zip(sides["before"], sides["after"], strict=True)]
     there = F.when(plus, F.col("n_before")).otherwise(F.col("n_after"))
